@@ -1,0 +1,4 @@
+from casebook.catalog import texts
+from casebook.catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "texts"]
