@@ -1,4 +1,4 @@
-from casebook.catalog import ingest, texts
+from casebook.catalog import access, ingest, texts
 from casebook.catalog.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ingest", "texts"]
+__all__ = ["ORACLES", "QUERIES", "access", "ingest", "texts"]

@@ -30,7 +30,7 @@ inputs(
         UNION ALL SELECT n_nationkey, 'Suppliers', 2, 3, ' ', true FROM {nation}
         UNION ALL SELECT doc_id, 'Suppliers', CAST(rn AS INT), 1, s_name, true FROM {supplier_rows}
         UNION ALL SELECT doc_id, 'Suppliers', CAST(rn AS INT), 2, CAST(s_suppkey AS STRING), false FROM {supplier_rows}
-        UNION ALL SELECT doc_id, 'Suppliers', CAST(rn AS INT), 3, CASE WHEN s_acctbal > 5000 THEN 'rich' ELSE '' END, true FROM {supplier_rows}""",
+        UNION ALL SELECT doc_id, 'Suppliers', CAST(rn AS INT), 3, CASE WHEN s_acctbal > 5000 THEN '7' ELSE '' END, false FROM {supplier_rows}""",
     figure_images="""
         SELECT l_suppkey AS doc_id, CASE WHEN l_returnflag = 'A' THEN 'docx' ELSE 'pdf' END AS kind,
           l_orderkey * 10 + l_linenumber AS ord, CAST(l_quantity * 10 AS INT) AS width, CAST(l_quantity * 20 AS INT) AS height,
@@ -169,7 +169,7 @@ def markdown_sections(spark, sf):
 
 @query("sheet_records", """
     SELECT doc_id, rn AS ord, 'Sheet Suppliers — Row ' || rn || ' — Name: ' || s_name || ' | Key: ' || s_suppkey
-      || CASE WHEN s_acctbal > 5000 THEN ' | Column 3: rich' ELSE '' END AS text, 'Suppliers' AS section FROM {supplier_rows}""")
+      || CASE WHEN s_acctbal > 5000 THEN ' | Column 3: 7' ELSE '' END AS text, 'Suppliers' AS section FROM {supplier_rows}""")
 def sheet_records(spark, sf):
     return blocks.sheet_records(given(spark, sf, "supplier_cells")).select("doc_id", "ord", "text", "section")
 
@@ -177,7 +177,7 @@ def sheet_records(spark, sf):
 @query("record_parse", """
     SELECT doc_id, rn AS row, 'Name' AS header, s_name AS value FROM {supplier_rows}
     UNION ALL SELECT doc_id, rn, 'Key', CAST(s_suppkey AS VARCHAR) FROM {supplier_rows}
-    UNION ALL SELECT doc_id, rn, 'Column 3', 'rich' FROM {supplier_rows} WHERE s_acctbal > 5000""")
+    UNION ALL SELECT doc_id, rn, 'Column 3', '7' FROM {supplier_rows} WHERE s_acctbal > 5000""")
 def record_parse(spark, sf):
     chunks = blocks.sheet_records(given(spark, sf, "supplier_cells")).withColumnRenamed("text", "content")
     found = evidence.records(chunks, ["doc_id"], ["ord"])
@@ -264,26 +264,36 @@ def chunks(spark, sf):
     return packed.withColumn("chunk_id", chunking.chunk_id())
 
 
-@query("chunks_without_overlap", """
-    SELECT doc_id, CAST(sum(greatest(1, n)) AS BIGINT) AS tokens, md5(string_agg(line, chr(10) || chr(10) ORDER BY ord)) AS content_md5 FROM (
-      SELECT doc_id, ord, regexp_replace(trim(line), '[\\s\\p{Z}]+', ' ', 'g') AS line,
-        coalesce(list_sum(list_transform(regexp_extract_all(line, '[\\p{L}\\p{N}_]+'), lambda w: (length(w) + 5) // 6)), 0)
-          + len(regexp_extract_all(line, '[^\\p{L}\\p{N}_\\s\\p{Z}]')) AS n
-      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM {documents})
-      WHERE trim(line) <> '') GROUP BY doc_id""")
+_LINES = """SELECT doc_id, source, ord, regexp_replace(trim(line), '[\\s\\p{Z}]+', ' ', 'g') AS line FROM (
+      SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM {documents})
+    WHERE trim(line) <> ''"""
+
+
+@query("chunks_without_overlap", f"""
+    SELECT doc_id, md5(string_agg(line, ' ' ORDER BY ord)) AS content_md5 FROM ({_LINES}) GROUP BY doc_id""")
 def chunks_without_overlap(spark, sf):
-    """Without overlap the passages of a document, put end to end, are its lines again.
-
-    The limit is set above the longest line so that no line is split, which would join its parts differently.
-    """
-    packed = chunking.chunk_texts(given(spark, sf, "documents"), max_tokens=100_000, overlap=0)
-    small = chunking.chunk_blocks(blocks.lines(given(spark, sf, "documents")).select(
-        "doc_id", "ord", "text", F.lit(None).cast("int").alias("page"), F.lit("").alias("section")), max_tokens=2_000, overlap=0, segment=64)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]), "\n\n")
-    whole = packed.select("doc_id", F.col("content").alias("whole"))
-    parts = small.groupBy("doc_id").agg(F.sum("token_count").alias("tokens"), joined.alias("content"))
-    return parts.join(whole, "doc_id").select(
-        "doc_id", "tokens", F.when(F.col("whole") == F.col("content"), F.md5("content")).otherwise("differ").alias("content_md5"))
+    """Without overlap the passages of a document, put end to end, are its text again."""
+    packed = chunking.chunk_texts(given(spark, sf, "documents"), overlap=0)
+    return _rejoined(packed).select("doc_id", "content_md5")
+
+
+@query("chunks_across_segments", f"""
+    SELECT source, md5(string_agg(line, ' ' ORDER BY doc_id, ord)) AS content_md5 FROM ({_LINES}) GROUP BY source""")
+def chunks_across_segments(spark, sf):
+    """The lines of a whole source as one long document, packed by segments."""
+    lines = blocks.lines(given(spark, sf, "documents"), carry=["source"])
+    rows = lines.select(
+        F.xxhash64("source").alias("doc_id"), (F.col("doc_id") * 100_000 + F.col("ord")).alias("ord"), "text",
+        F.lit(None).cast("int").alias("page"), F.lit("").alias("section"))
+    sources = given(spark, sf, "documents").select("source").distinct().withColumn("doc_id", F.xxhash64("source"))
+    packed = chunking.chunk_blocks(rows, max_tokens=60, overlap=0, segment=200)
+    return _rejoined(packed).join(sources, "doc_id").select("source", "content_md5")
+
+
+def _rejoined(packed):
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"])
+    text = F.replace(F.array_join(parts, " "), F.lit("\n\n"), F.lit(" "))
+    return packed.groupBy("doc_id").agg(F.md5(text).alias("content_md5"))
 
 
 @query("html_chunks")
