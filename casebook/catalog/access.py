@@ -28,7 +28,7 @@ inputs(
           o_orderkey % 2 = 0 AS use_reference FROM {orders}""",
     notes="""
         SELECT event_id AS entry_id, user_id % 25 AS library, ts AS created_at,
-          CASE event_type WHEN 'purchase' THEN 'decision' WHEN 'view' THEN 'preference' ELSE 'fact' END AS entry_type, 'value ' || CAST(CAST(value AS INT) AS STRING) AS content
+          CASE event_type WHEN 'purchase' THEN 'decision' WHEN 'view' THEN 'preference' ELSE 'fact' END AS entry_type, 'value ' || CAST(CAST(floor(value) AS INT) AS STRING) AS content
         FROM {events}""",
     job_links="SELECT DISTINCT l_suppkey AS job_id, l_partkey AS doc_id FROM {lineitem} WHERE l_quantity > 25",
 )

@@ -34,7 +34,7 @@ inputs(
     figure_images="""
         SELECT l_suppkey AS doc_id, CASE WHEN l_returnflag = 'A' THEN 'docx' ELSE 'pdf' END AS kind,
           l_orderkey * 10 + l_linenumber AS ord, CAST(l_quantity * 10 AS INT) AS width, CAST(l_quantity * 20 AS INT) AS height,
-          CAST(l_extendedprice AS INT) AS bytes FROM {lineitem}""",
+          CAST(floor(l_extendedprice) AS INT) AS bytes FROM {lineitem}""",
     caption_pages="""
         SELECT p_partkey AS doc_id, p_size AS page, 'Report on ' || p_brand || chr(10) || CASE p_size % 4
           WHEN 0 THEN '  Figure ' || p_size || '. ' || p_name WHEN 1 THEN 'See the diagram of ' || p_name

@@ -49,11 +49,11 @@ def rerank(candidates: DataFrame, k: int = sc.KEPT, scorer: Scorer | None = None
 def diversified(candidates: DataFrame, questions: DataFrame) -> DataFrame:
     """Comparison questions take their candidates document by document."""
     flags = questions.select("question_id", tx.is_comparison(F.col("text")).alias("_compare"))
-    mixed = interleaved(candidates, ["question_id"], "doc_id", "rank", "_turn")
+    mixed = interleaved(candidates, ["question_id"], "doc_id", "rank", "_spot")
     return (
         mixed.join(flags, "question_id")
-        .withColumn("rank", F.when(F.col("_compare"), F.col("_turn")).otherwise(F.col("rank")))
-        .drop("_turn", "_compare")
+        .withColumn("rank", F.when(F.col("_compare"), F.col("_spot")).otherwise(F.col("rank")))
+        .drop("_spot", "_compare")
     )
 
 
@@ -108,8 +108,8 @@ def evidence_text(numbered: DataFrame) -> DataFrame:
 
 
 def prepare(
-    questions: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame, index: DataFrame | None = None,
-    scorer: Scorer | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+    questions: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame, vectors: DataFrame | None = None,
+    index: DataFrame | None = None, scorer: Scorer | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(sources, confidence) of a batch of questions.
 
@@ -123,7 +123,7 @@ def prepare(
     scope = SCOPE_COLUMNS if scoped else []
 
     columns = ["chunk_id", "filename", "page_start", "page_end", "section", "content"]
-    fused = retrieve(ordinary, chunks, index, sc.CANDIDATES, floor, scoped)
+    fused = retrieve(ordinary, chunks, vectors, index, sc.CANDIDATES, floor, scoped)
     full = diversified(fused, ordinary).join(chunks.select(*columns), "chunk_id").join(
         ordinary.select("question_id", "text"), "question_id"
     )
@@ -135,7 +135,7 @@ def prepare(
         facts.select("fact_id", "doc_id", "filename", "page", "locator", "label", "value"), "fact_id"
     )
 
-    whole = retrieve_whole(listing, chunks, documents, index, floor, scoped)
+    whole = retrieve_whole(listing, chunks, documents, vectors, index, floor, scoped)
     passages = kept.select("question_id", "position", "doc_id", *columns, "rerank_score").unionByName(
         whole.select("question_id", F.col("rank").alias("position"), "doc_id", *columns, F.lit(None).cast("double").alias("rerank_score"))
     )
@@ -208,7 +208,7 @@ def spreadsheet_counts(whole: DataFrame) -> DataFrame:
 
 def figure_or_passages(
     requests: DataFrame, figures: DataFrame, chunks: DataFrame, scope: Column | None = None, carry: list[str] | None = None,
-    index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+    vectors: DataFrame | None = None, index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> DataFrame:
     """The matching figure of each diagram request, else the six best passages (P5)."""
     from casebook.operators.facts import best_figures
@@ -217,7 +217,7 @@ def figure_or_passages(
     asked = requests.select("question_id", "text", *(["library", "thread", "use_reference"] if scoped else []))
     found = best_figures(asked, figures, scope, carry).select("question_id", "figure_id")
     rest = requests.join(found, "question_id", "left_anti")
-    passages = retrieve(rest, chunks, index, 6, floor, scoped).select("question_id", "rank", "chunk_id")
+    passages = retrieve(rest, chunks, vectors, index, 6, floor, scoped).select("question_id", "rank", "chunk_id")
     return found.select("question_id", F.lit(1).alias("rank"), "figure_id").unionByName(passages, allowMissingColumns=True)
 
 

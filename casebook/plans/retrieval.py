@@ -57,29 +57,32 @@ def vector_list(questions: DataFrame, chunks: DataFrame, k: int = sc.LIST_SIZE,
 def fuse(vectors: DataFrame, words: DataFrame, floor: float = sc.MIN_SIMILARITY) -> DataFrame:
     """Weighted rank fusion of the two lists (J8, E19); the floor drops vector hits but not their ranks."""
     near = vectors.filter(F.col("similarity") >= floor).select(
-        "question_id", "chunk_id", "doc_id", sc.rrf(F.col("rank"), sc.VECTOR_WEIGHT).alias("part")
+        "question_id", "chunk_id", sc.rrf(F.col("rank"), sc.VECTOR_WEIGHT).alias("part")
     )
-    said = words.select("question_id", "chunk_id", "doc_id", sc.rrf(F.col("rank"), sc.LEXICAL_WEIGHT).alias("part"))
-    fused = near.unionByName(said).groupBy("question_id", "chunk_id", "doc_id").agg(F.sum("part").alias("rrf"))
+    said = words.select("question_id", "chunk_id", sc.rrf(F.col("rank"), sc.LEXICAL_WEIGHT).alias("part"))
+    fused = near.unionByName(said).groupBy("question_id", "chunk_id").agg(F.sum("part").alias("rrf"))
     return fused.withColumn("rrf", F.round("rrf", 12))
 
 
 def retrieve(
-    questions: DataFrame, chunks: DataFrame, index: DataFrame | None = None, k: int | None = sc.CANDIDATES,
-    floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+    questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, index: DataFrame | None = None,
+    k: int | None = sc.CANDIDATES, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> DataFrame:
     """Fused candidates per question, best first (P1, T1). ``k=None`` keeps both lists whole.
 
     ``questions``: question_id, text, vector, library, thread, use_reference.
-    ``chunks``: chunk_id, doc_id, content, vector, library, thread, is_reference.
+    ``chunks``: chunk_id, doc_id, content, scope columns. ``vectors``: chunk_id, vector, scope columns; left out,
+    the passages carry their vectors. ``index``: what ``postings`` gives. Passages are named by id until the cut,
+    and only then joined to their document.
     """
     scope = SCOPE_COLUMNS if scoped else []
-    index = postings(chunks.select("chunk_id", "doc_id", "content", *scope), ["doc_id", *scope]) if index is None else index
-    owner = chunks.select("chunk_id", "doc_id")
-    near = vector_list(questions, chunks.select("chunk_id", "vector", *scope), scoped=scoped).join(owner, "chunk_id")
+    vectors = chunks if vectors is None else vectors
+    index = postings(chunks.select("chunk_id", "content", *scope), scope) if index is None else index
+    near = vector_list(questions, vectors.select("chunk_id", "vector", *scope), scoped=scoped)
     fused = fuse(near, lexical_list(questions, index, scoped=scoped), floor)
     # both lists are capped, so a question has at most 80 rows here
-    return top_k(fused, ["question_id"], [F.col("rrf").desc(), F.col("chunk_id")], k or 2 * sc.LIST_SIZE)
+    best = top_k(fused, ["question_id"], [F.col("rrf").desc(), F.col("chunk_id")], k or 2 * sc.LIST_SIZE)
+    return best.join(chunks.select("chunk_id", "doc_id"), "chunk_id")
 
 
 def best_document(ranked: DataFrame, named: DataFrame | None = None) -> DataFrame:
@@ -119,11 +122,11 @@ def whole_document(
 
 
 def retrieve_whole(
-    questions: DataFrame, chunks: DataFrame, documents: DataFrame, index: DataFrame | None = None,
-    floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+    questions: DataFrame, chunks: DataFrame, documents: DataFrame, vectors: DataFrame | None = None,
+    index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> DataFrame:
     """Count/list questions answered from the one document that fits best."""
-    ranked = retrieve(questions, chunks, index, None, floor, scoped)
+    ranked = retrieve(questions, chunks, vectors, index, None, floor, scoped)
     scope = SCOPE_COLUMNS if scoped else []
     asked = questions.select("question_id", "text", *(["library", "thread", "use_reference"] if scoped else []))
     named = best_filename(asked, documents.select("doc_id", "filename", *scope), in_scope() if scoped else None, scope)
