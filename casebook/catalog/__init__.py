@@ -1,4 +1,4 @@
-from casebook.catalog import access, ingest, search, texts
+from casebook.catalog import access, ingest, search, texts, welding
 from casebook.catalog.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "access", "ingest", "search", "texts"]
+__all__ = ["ORACLES", "QUERIES", "access", "ingest", "search", "texts", "welding"]

@@ -29,12 +29,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table, or an input derived from tables."""
-    if name in TABLES:
-        return table(spark, folder, name)
-    sql = INPUTS[name]
-    return spark.sql(sql, **{n: given(spark, folder, n) for n in set(_PLACE.findall(sql))})
+def given(spark: SparkSession, folder: str, name: str, read: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A table, or an input derived from tables; ``read`` holds what this call has opened already."""
+    read = {} if read is None else read
+    if name not in read:
+        if name in TABLES:
+            read[name] = table(spark, folder, name)
+        else:
+            sql = INPUTS[name]
+            read[name] = spark.sql(sql, **{n: given(spark, folder, n, read) for n in sorted(set(_PLACE.findall(sql)))})
+    return read[name]
 
 
 def _needed(sql: str, seen: dict[str, None]) -> dict[str, None]:
