@@ -32,18 +32,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, so a lost executor recomputes nothing upstream.
+def work_folder(spark: SparkSession) -> str:
+    """A folder every executor reaches: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
+    folder = tempfile.mkdtemp(prefix="casebook-work-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint, so a lost executor recomputes nothing upstream."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="casebook-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)
