@@ -84,19 +84,19 @@ def test_correction_round_trip(spark, job):
     assert judged.first().verdict == "unreadable value"
     assert correct(spark, job, "x", key="nothing")[0].first().verdict == "unknown field"
     judged, fixed = correct(spark, job, "E7018")
-    assert "consumable_mismatch" not in {r.check for r in checks.cross_check(documents, fixed, log).collect()}
+    assert "consumable_mismatch" not in {r.check for r in checks.cross_check(documents, fixed, log, durable).collect()}
     judged, back = correct(spark, job, "")
     assert judged.first().verdict == "revert"
-    assert "consumable_mismatch" in {r.check for r in checks.cross_check(documents, back, log).collect()}
+    assert "consumable_mismatch" in {r.check for r in checks.cross_check(documents, back, log, durable).collect()}
     _, removed = correct(spark, job, None)
-    got = [r for r in checks.cross_check(documents, removed, log).collect() if r.check == "missing_field"]
+    got = [r for r in checks.cross_check(documents, removed, log, durable).collect() if r.check == "missing_field"]
     assert [r.title for r in got] == ["Classification not found in Sample_TC-4471.pdf"]
 
 
 def test_without_the_log(job):
     documents, extracted, log = job
     kept = documents.filter("doc_type <> 'weld_log'")
-    got = {r.check for r in checks.cross_check(kept, extracted, log).collect()}
+    got = {r.check for r in checks.cross_check(kept, extracted, log, durable).collect()}
     assert "no_log" in got and "continuity_lapse" not in got and not any(c.startswith("log_") for c in got)
 
 
@@ -104,7 +104,7 @@ def test_recheck_equals_full_check(spark, job, found):
     other = tuple(t.withColumn("job_id", F.lit("J2")) for t in job)
     both = tuple(a.unionByName(b) for a, b in zip(job, other))
     changed = spark.createDataFrame([(golden.JOB,)], "job_id string")
-    again = checks.recheck(changed, *both)
+    again = checks.recheck(changed, *both, durable)
     assert sorted(r.id for r in again.collect()) == sorted(r.id for r in found.collect())
 
 
