@@ -25,8 +25,21 @@ INPUTS: dict[str, str] = {}
 _PLACE = re.compile(r"\{([a-z]\w+)\}")
 
 
+# Tables whose rows take real work: long texts, and the rows that texts are built from.
+_HEAVY = ("documents", "pages", "lineitem")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table as stored; a heavy one that would scan as fewer tasks than there are cores is spread first.
+
+    A Parquet file is split at row groups only, so a small table in one file would keep one core busy.
+    A table of many files has tasks enough and is left alone.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _HEAVY and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def given(spark: SparkSession, folder: str, name: str, read: dict[str, DataFrame] | None = None) -> DataFrame:

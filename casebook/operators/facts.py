@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions import text as tx
 from casebook.functions.scoring import FACT_LIMIT
-from casebook.operators.matching import shared_terms, term_rows
+from casebook.operators.matching import best_by_words
 from casebook.operators.windows import numbered
 
 LABEL_CHARS, VALUE_CHARS = 500, 2000
@@ -66,10 +66,9 @@ def match_facts(
     (overlap, fact) hold the first k of the best tier, so one bounded list per question is enough.
     """
     asked = questions.withColumn("terms", tx.content_tokens(F.col("text"))).drop("text")
-    items = term_rows(facts.withColumnRenamed("fact_id", "item_id"), "item_id", tx.content_tokens(F.col("label")), carry or [], False)
-    best = shared_terms(asked, items, k, [F.col("score").desc(), F.col("item_id")], scope)
+    best = best_by_words(asked, facts, "fact_id", tx.content_tokens(F.col("label")), k, scope, carry)
     tier = F.max("score").over(Window.partitionBy("question_id"))
-    return best.withColumn("_tier", tier).filter("score = _tier").drop("_tier").withColumnRenamed("item_id", "fact_id")
+    return best.withColumn("_tier", tier).filter("score = _tier").drop("_tier")
 
 
 def best_figures(
@@ -80,26 +79,14 @@ def best_figures(
     ``figures``: figure_id, created_at, caption. Ties go to the oldest document, then the figure id.
     """
     terms = tx.content_tokens(F.col("text"), tx.DIAGRAM_WORDS)
-    asked = requests.withColumn("terms", terms).withColumn("wanted", F.size("terms")).drop("text")
-    items = term_rows(
-        figures.withColumnRenamed("figure_id", "item_id"), "item_id",
-        tx.content_tokens(F.col("caption"), tx.DIAGRAM_WORDS), ["created_at", *(carry or [])], False,
-    )
-    order = [F.col("score").desc(), F.col("created_at"), F.col("item_id")]
-    best = shared_terms(asked, items, 1, order, scope)
+    asked = requests.withColumn("terms", terms).drop("text")
+    words = tx.content_tokens(F.col("caption"), tx.DIAGRAM_WORDS)
+    best = best_by_words(asked, figures, "figure_id", words, 1, scope, carry, ["created_at"])
     needed = requests.select("question_id", F.least(F.lit(FIGURE_OVERLAP), F.size(terms)).alias("_need"))
-    return (
-        best.join(needed, "question_id").filter("score >= _need").drop("_need")
-        .withColumnRenamed("item_id", "figure_id")
-    )
+    return best.join(needed, "question_id").filter("score >= _need").drop("_need")
 
 
 def best_filename(questions: DataFrame, documents: DataFrame, scope: Column | None = None, carry: list[str] | None = None) -> DataFrame:
     """The document whose file name shares most terms with the question."""
     asked = questions.withColumn("terms", tx.question_terms(F.col("text"))).drop("text")
-    items = term_rows(
-        documents.withColumnRenamed("doc_id", "item_id"), "item_id", tx.filename_terms(F.col("filename")), carry or [], False
-    )
-    return shared_terms(asked, items, 1, [F.col("score").desc(), F.col("item_id")], scope).withColumnRenamed(
-        "item_id", "doc_id"
-    )
+    return best_by_words(asked, documents, "doc_id", tx.filename_terms(F.col("filename")), 1, scope, carry)

@@ -51,7 +51,7 @@ def shared_terms(
     question: str = "question_id",
     item: str = "item_id",
 ) -> DataFrame:
-    """Top k items per question by the weight of the terms they share.
+    """Top k items per question by the weight of the terms they share.
 
     ``questions``: question, ``terms`` array, scope columns. ``items``: one row per (item, ``term``)
     with ``weight``, plus columns that depend on the item only, hash-partitioned on the item. Then the
@@ -72,15 +72,39 @@ def shared_terms(
     return _union(results)
 
 
-def term_rows(items: DataFrame, item: str, tokens: Column, carry: list[str], count: bool) -> DataFrame:
-    """(item, term, weight) rows hash-partitioned on the item; weight is the count or 1."""
+def term_rows(items: DataFrame, item: str, tokens: Column, carry: list[str]) -> DataFrame:
+    """(item, term, weight) rows hash-partitioned on the item; weight is the number of uses."""
     spread = items.select(item, *carry, tokens.alias("_tokens")).repartition(F.col(item))
-    if not count:
-        return spread.select(item, *carry, F.explode(F.array_distinct("_tokens")).alias("term"), F.lit(1).alias("weight"))
     rows = spread.select(item, *carry, F.explode("_tokens").alias("term"))
     return rows.groupBy(item, *carry, "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def best_by_words(
+    questions: DataFrame, items: DataFrame, item: str, tokens: Column, k: int, scope: Column | None = None,
+    carry: list[str] | None = None, order: list[str] | None = None, question: str = "question_id",
+) -> DataFrame:
+    """Top k short labelled items per question by shared words; ties by ``order``, then the item.
+
+    Items with the same words and the same scope columns score alike, and labels repeat a lot: one wording may
+    hold a third of all rows. So each wording keeps its first k items, cut in the map tasks, and is scored once.
+    The k best wordings by (score, first item) hold the k best items, because a wording behind k others starts
+    after k better items.
+    """
+    carry, order = carry or [], order or []
+    keyed = items.select(item, *carry, *order, F.array_sort(F.array_distinct(tokens)).alias("_words")).filter(F.size("_words") > 0)
+    kept = top_k(keyed, ["_words", *carry], [F.col(c) for c in (*order, item)], k, "_n")
+    member = F.struct(*order, item)
+    wordings = kept.groupBy("_words", *carry).agg(F.min(member).alias("_lead"), F.collect_list(member).alias("_members"))
+    wordings = wordings.withColumn("item_id", F.col(f"_lead.{item}"))
+    rows = wordings.select("item_id", "_lead", *carry, "_words").repartition("item_id").select(
+        "item_id", "_lead", *carry, F.explode("_words").alias("term"), F.lit(1).alias("weight")
+    )
+    best = shared_terms(questions, rows, k, [F.col("score").desc(), F.col("_lead")], scope, question)
+    members = best.select(question, "item_id", "score").join(wordings.select("item_id", F.explode("_members").alias("_m")), "item_id")
+    found = members.select(question, "score", "_m.*")
+    return top_k(found, [question], [F.col("score").desc(), *[F.col(c) for c in (*order, item)]], k)
+
+
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)

@@ -35,7 +35,7 @@ def postings(chunks: DataFrame, carry: list[str]) -> DataFrame:
 
     Written bucketed by chunk_id this is the lexical index, and a search then starts without a shuffle.
     """
-    return term_rows(chunks.withColumnRenamed("chunk_id", "item_id"), "item_id", tx.words(F.col("content")), carry, True)
+    return term_rows(chunks.withColumnRenamed("chunk_id", "item_id"), "item_id", tx.words(F.col("content")), carry)
 
 
 def lexical_list(questions: DataFrame, index: DataFrame, k: int = sc.LIST_SIZE, scoped: bool = True) -> DataFrame:
