@@ -102,8 +102,14 @@ def _prose(spark, sf, k=sc.CANDIDATES):
 @query("lexical_top40", "WITH " + list_ctes("prose_questions", "prose", True) + " SELECT question_id, chunk_id, score, rank FROM lx")
 def lexical_top40(spark, sf):
     chunks = given(spark, sf, "prose").select("chunk_id", "content", *rt.SCOPE_COLUMNS)
-    found = rt.lexical_list(given(spark, sf, "prose_questions"), rt.postings(chunks, rt.SCOPE_COLUMNS))
-    return found.select("question_id", "chunk_id", "score", "rank")
+    return rt.lexical_list(given(spark, sf, "prose_questions"), chunks)
+
+
+@query("lexical_index_top40", "WITH " + list_ctes("prose_questions", "prose", True) + " SELECT question_id, chunk_id, score, rank FROM lx")
+def lexical_index_top40(spark, sf):
+    """The same list by way of the postings table."""
+    chunks = given(spark, sf, "prose").select("chunk_id", "content", *rt.SCOPE_COLUMNS)
+    return rt.lexical_list(given(spark, sf, "prose_questions"), chunks, rt.postings(chunks, rt.SCOPE_COLUMNS))
 
 
 @query("knn_top40", """

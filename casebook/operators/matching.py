@@ -6,6 +6,7 @@ are completed inside the task that holds the item, and only k rows per question
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from casebook.operators.windows import top_k
 
-# Broadcast bound: rows of (question, term) or question vectors sent to every task at once.
+# Broadcast bounds: (question, term) rows of a join, and questions scored inside the tasks.
 MAX_BROADCAST_TERMS = 200_000
 MAX_BROADCAST_VECTORS = 4_096
 SCORES_PER_SLICE = 2_000_000
@@ -127,25 +128,18 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tupl
     return rows[keep], ids[keep], scores[keep]
 
 
-def nearest(
-    questions: DataFrame,
-    items: DataFrame,
-    k: int,
-    question: str = "question_id",
-    item: str = "item_id",
-    scoped: bool = True,
+def _top_in_task(
+    questions: DataFrame, items: DataFrame, k: int, question: str, item: str, scoped: bool, field: str, limit: int,
+    prepare, score, value: str,
 ) -> DataFrame:
-    """Top k items per question by cosine, exact, scope applied before the cut.
+    """Top k items per question, scored where the items lie; only k rows per question leave a task.
 
-    ``questions``: question, ``vector`` and, when scoped, ``library``, ``thread``, ``use_reference``.
-    ``items``: item (bigint), ``vector`` and, when scoped, ``library``, ``thread``, ``is_reference``.
-    Each task multiplies its Arrow batches with the broadcast question matrix and keeps k per question.
-    Similarity is rounded to nine decimals so equal vectors tie exactly; ties go to the smaller item id.
+    ``prepare(table)`` turns a collected block of questions into what every task needs; ``score(payload, part)``
+    gives the question x item scores of an Arrow slice, -inf where there is no match.
     """
     spark = items.sparkSession
     results = []
-    known = questions.filter(F.col("vector").isNotNull())
-    for block in question_blocks(known, question, MAX_BROADCAST_VECTORS):
+    for block in question_blocks(questions, question, limit):
         table = block.toArrow()
         if table.num_rows == 0:
             continue
@@ -153,44 +147,94 @@ def nearest(
         scope_rows = (
             list(zip(*[table.column(c).to_pylist() for c in ("library", "thread", "use_reference")])) if scoped else None
         )
-        shared = spark.sparkContext.broadcast((_unit(_matrix(table.column("vector"))), scope_rows))
+        shared = spark.sparkContext.broadcast((len(names), prepare(table), scope_rows))
 
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matrix, scope = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, payload, scope = shared.value
             kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            step = max(1, SCORES_PER_SLICE // max(1, len(matrix)))
+            step = max(1, SCORES_PER_SLICE // asked)
             for batch in batches:
                 for start in range(0, batch.num_rows, step):
                     part = batch.slice(start, step)
                     ids = part.column(0).to_numpy(zero_copy_only=False)
-                    sims = np.round(matrix @ _unit(_matrix(part.column(1))).T, 9)
+                    found = score(payload, part)
                     if scope is not None:
-                        sims[~_allowed(scope, part)] = -np.inf
-                    n = sims.shape[1]
-                    cut = np.partition(sims, n - k, axis=1)[:, n - k] if n > k else np.full(len(sims), -np.inf)
-                    rows, cols = np.nonzero((sims >= cut[:, None]) & (sims > -np.inf))
-                    merged = [np.concatenate(p) for p in zip(kept, (rows, ids[cols], sims[rows, cols]))]
-                    kept = _best(*merged, k)
+                        found[~_allowed(scope, part)] = -np.inf
+                    n = found.shape[1]
+                    cut = np.partition(found, n - k, axis=1)[:, n - k] if n > k else np.full(asked, -np.inf)
+                    rows, cols = np.nonzero((found >= cut[:, None]) & (found > -np.inf))
+                    kept = _best(*[np.concatenate(p) for p in zip(kept, (rows, ids[cols], found[rows, cols]))], k)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kept[0], pa.int32()), pa.array(kept[1], pa.int64()), pa.array(kept[2], pa.float64())],
-                names=["_q", item, "similarity"],
+                names=["_q", item, value],
             )
 
-        columns = [item, "vector"] + (["library", "thread", "is_reference"] if scoped else [])
-        local = items.select(F.col(item).cast("bigint").alias(item), *columns[1:]).mapInArrow(
-            score, f"_q int, {item} bigint, similarity double"
-        )
-        best = top_k(local, ["_q"], [F.col("similarity").desc(), F.col(item)], k)
-        keys = spark.createDataFrame(
-            list(enumerate(names)), f"_q int, {question} {dict(block.dtypes)[question]}"
-        )
+        columns = [F.col(item).cast("bigint").alias(item), field, *(["library", "thread", "is_reference"] if scoped else [])]
+        local = items.select(*columns).mapInArrow(run, f"_q int, {item} bigint, {value} double")
+        best = top_k(local, ["_q"], [F.col(value).desc(), F.col(item)], k)
+        keys = spark.createDataFrame(list(enumerate(names)), f"_q int, {question} {dict(block.dtypes)[question]}")
         results.append(best.join(F.broadcast(keys), "_q").drop("_q"))
     if not results:
         kind = dict(questions.dtypes)[question]
-        return spark.createDataFrame([], f"{item} bigint, similarity double, rank int, {question} {kind}")
+        return spark.createDataFrame([], f"{item} bigint, {value} double, rank int, {question} {kind}")
     return _union(results)
 
 
+def nearest(
+    questions: DataFrame, items: DataFrame, k: int, question: str = "question_id", item: str = "item_id", scoped: bool = True
+) -> DataFrame:
+    """Top k items per question by cosine, exact, scope applied before the cut.
+
+    ``questions``: question, ``vector`` and, when scoped, ``library``, ``thread``, ``use_reference``.
+    ``items``: item (bigint), ``vector`` and, when scoped, ``library``, ``thread``, ``is_reference``.
+    Similarity is rounded to nine decimals so equal vectors tie exactly; ties go to the smaller item id.
+    """
+
+    def score(matrix: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+        return np.round(matrix @ _unit(_matrix(part.column(1))).T, 9)
+
+    return _top_in_task(
+        questions.filter(F.col("vector").isNotNull()), items, k, question, item, scoped, "vector", MAX_BROADCAST_VECTORS,
+        lambda table: _unit(_matrix(table.column("vector"))), score, "similarity",
+    )
+
+
+def most_words(
+    questions: DataFrame, items: DataFrame, k: int, text: str, question: str = "question_id", item: str = "item_id", scoped: bool = True
+) -> DataFrame:
+    """Top k texts per question by the number of uses of its ``terms`` (J7), read once and not shuffled."""
+
+    def prepare(table: pa.Table) -> tuple[dict[str, int], list[np.ndarray], int]:
+        askers: dict[str, list[int]] = {}
+        for q, terms in enumerate(table.column("terms").to_pylist()):
+            for term in terms or ():
+                askers.setdefault(term, []).append(q)
+        return {t: i for i, t in enumerate(askers)}, [np.array(q) for q in askers.values()], table.num_rows
+
+    def score(payload, part: pa.RecordBatch) -> np.ndarray:
+        known, askers, asked = payload
+        terms, places, uses = [], [], []
+        for place, content in enumerate(part.column(1).to_pylist()):
+            counts: dict[int, int] = {}
+            for word in re.findall(r"[a-z0-9]+", (content or "").lower()):
+                if word in known:
+                    counts[known[word]] = counts.get(known[word], 0) + 1
+            terms += counts
+            uses += counts.values()
+            places += [place] * len(counts)
+        found = np.zeros((asked, part.num_rows))
+        order = np.argsort(terms, kind="stable")
+        terms, places, uses = (np.array(a, np.int64)[order] for a in (terms, places, uses))
+        edges = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1], True]) if len(terms) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            found[np.ix_(askers[terms[a]], places[a:b])] += uses[a:b]
+        found[found == 0] = -np.inf
+        return found
+
+    best = _top_in_task(questions, items, k, question, item, scoped, text, MAX_BROADCAST_VECTORS, prepare, score, "score")
+    return best.withColumn("score", F.col("score").cast("bigint"))
+
+
 def _allowed(scope: list[tuple], part: pa.RecordBatch) -> np.ndarray:
     """Question x item visibility: same library, own thread, or a reference library when switched on."""
     keys = list(zip(*[part.column(i).to_pylist() for i in (2, 3, 4)]))

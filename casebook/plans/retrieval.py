@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casebook.functions import scoring as sc
 from casebook.functions import text as tx
 from casebook.operators.facts import best_filename
-from casebook.operators.matching import nearest, shared_terms, term_rows
+from casebook.operators.matching import most_words, nearest, shared_terms, term_rows
 from casebook.operators.windows import first_row, top_k
 
 SCOPE_COLUMNS = ["library", "thread", "is_reference"]
@@ -33,19 +33,27 @@ def ready(chunks: DataFrame, documents: DataFrame, libraries: DataFrame) -> Data
 def postings(chunks: DataFrame, carry: list[str]) -> DataFrame:
     """(chunk_id, term, weight) with weight the number of uses, hash-partitioned on the passage.
 
-    Written bucketed by chunk_id this is the lexical index, and a search then starts without a shuffle.
+    Written out, this is the lexical index: a small batch of questions then reads the terms it asks for.
     """
     return term_rows(chunks.withColumnRenamed("chunk_id", "item_id"), "item_id", tx.words(F.col("content")), carry)
 
 
-def lexical_list(questions: DataFrame, index: DataFrame, k: int = sc.LIST_SIZE, scoped: bool = True) -> DataFrame:
-    """The k passages per question with most uses of its terms."""
+def lexical_list(
+    questions: DataFrame, chunks: DataFrame, index: DataFrame | None = None, k: int = sc.LIST_SIZE, scoped: bool = True
+) -> DataFrame:
+    """The k passages per question with most uses of its terms.
+
+    With an ``index`` the terms are joined to it; without one the passages are read once, in place.
+    """
     asked = questions.withColumn("terms", tx.lexical_terms(F.col("text")))
-    keep = ["question_id", "terms", *(["library", "thread", "use_reference"] if scoped else [])]
-    found = shared_terms(
-        asked.select(*keep), index, k, [F.col("score").desc(), F.col("item_id")], in_scope() if scoped else None
-    )
-    return found.withColumnRenamed("item_id", "chunk_id")
+    asked = asked.select("question_id", "terms", *(["library", "thread", "use_reference"] if scoped else []))
+    if index is None:
+        items = chunks.withColumnRenamed("chunk_id", "item_id")
+        found = most_words(asked, items, k, "content", scoped=scoped)
+    else:
+        order = [F.col("score").desc(), F.col("item_id")]
+        found = shared_terms(asked, index, k, order, in_scope() if scoped else None)
+    return found.select("question_id", F.col("item_id").alias("chunk_id"), "score", "rank")
 
 
 def vector_list(questions: DataFrame, chunks: DataFrame, k: int = sc.LIST_SIZE, scoped: bool = True) -> DataFrame:
@@ -72,14 +80,14 @@ def retrieve(
 
     ``questions``: question_id, text, vector, library, thread, use_reference.
     ``chunks``: chunk_id, doc_id, content, scope columns. ``vectors``: chunk_id, vector, scope columns; left out,
-    the passages carry their vectors. ``index``: what ``postings`` gives. Passages are named by id until the cut,
+    the passages carry their vectors. ``index``: a written ``postings`` table, if there is one. Passages are named by id until the cut,
     and only then joined to their document.
     """
     scope = SCOPE_COLUMNS if scoped else []
     vectors = chunks if vectors is None else vectors
-    index = postings(chunks.select("chunk_id", "content", *scope), scope) if index is None else index
     near = vector_list(questions, vectors.select("chunk_id", "vector", *scope), scoped=scoped)
-    fused = fuse(near, lexical_list(questions, index, scoped=scoped), floor)
+    words = lexical_list(questions, chunks.select("chunk_id", "content", *scope), index, scoped=scoped)
+    fused = fuse(near, words, floor)
     # both lists are capped, so a question has at most 80 rows here
     best = top_k(fused, ["question_id"], [F.col("rrf").desc(), F.col("chunk_id")], k or 2 * sc.LIST_SIZE)
     return best.join(chunks.select("chunk_id", "doc_id"), "chunk_id")

@@ -146,16 +146,18 @@ def test_nearest_equals_brute_force(spark, monkeypatch, limit):
     assert rows(matching.nearest(questions, table, 40), "question_id", "item_id", "rank") == brute(q, items, 40, allowed)
 
 
-@pytest.mark.parametrize("limit", [200_000, 5])
-def test_lexical_list_equals_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit, indexed", [(200_000, True), (4, True), (4_096, False), (2, False)])
+def test_lexical_list_equals_brute_force(spark, monkeypatch, limit, indexed):
     monkeypatch.setattr(matching, "MAX_BROADCAST_TERMS", limit)
+    monkeypatch.setattr(matching, "MAX_BROADCAST_VECTORS", limit)
+    monkeypatch.setattr(matching, "SCORES_PER_SLICE", 90)
     rng = random.Random(2)
     vocabulary = ["alpha", "beta", "gamma", "delta", "weld", "hot"]
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 12))) + (" hot" if i % 3 == 0 else "") for i in range(200)]
     asked = ["the hot weld", "gamma and delta", "welds of alpha", "nothing here", "hot"]
     chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, content string")
     questions = spark.createDataFrame(list(enumerate(asked)), "question_id int, text string")
-    got = retrieval.lexical_list(questions, retrieval.postings(chunks, []), 40, scoped=False)
+    got = retrieval.lexical_list(questions, chunks, retrieval.postings(chunks, []) if indexed else None, 40, scoped=False)
     want = []
     for qi, terms in enumerate((["hot", "weld"], ["gamma", "delta"], ["weld", "alpha"], [], ["hot"])):
         scored = [(-sum(t.split().count(x) for x in terms), i) for i, t in enumerate(texts)]
@@ -167,7 +169,7 @@ def test_scores_never_leave_the_task(spark, capsys):
     """One shuffle puts an item's words together; pairs are scored there, and only the best rows move on."""
     chunks = spark.createDataFrame([(1, "a b")], "chunk_id bigint, content string")
     questions = spark.createDataFrame([(1, "b")], "question_id int, text string")
-    retrieval.lexical_list(questions, retrieval.postings(chunks, []), 40, scoped=False).explain()
+    retrieval.lexical_list(questions, chunks, retrieval.postings(chunks, []), 40, scoped=False).explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastHashJoin" in plan
 
