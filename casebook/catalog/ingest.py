@@ -277,17 +277,21 @@ def chunks_without_overlap(spark, sf):
     return _rejoined(packed).select("doc_id", "content_md5")
 
 
-@query("chunks_across_segments", f"""
-    SELECT source, md5(string_agg(line, ' ' ORDER BY doc_id, ord)) AS content_md5 FROM ({_LINES}) GROUP BY source""")
+@query("chunks_across_segments", """
+    WITH w AS (SELECT source, unnest(regexp_extract_all(text, '[^\\s\\p{Z}]+')) AS w FROM {documents})
+    SELECT source, count(*) AS words, CAST(sum(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint, true AS within FROM w GROUP BY source""")
 def chunks_across_segments(spark, sf):
-    """The lines of a whole source as one long document, packed by segments."""
+    """The lines of a whole source as one long document, packed by segments: no word is lost, none is repeated."""
     lines = blocks.lines(given(spark, sf, "documents"), carry=["source"])
     rows = lines.select(
         F.xxhash64("source").alias("doc_id"), (F.col("doc_id") * 100_000 + F.col("ord")).alias("ord"), "text",
         F.lit(None).cast("int").alias("page"), F.lit("").alias("section"))
     sources = given(spark, sf, "documents").select("source").distinct().withColumn("doc_id", F.xxhash64("source"))
     packed = chunking.chunk_blocks(rows, max_tokens=60, overlap=0, segment=200)
-    return _rejoined(packed).join(sources, "doc_id").select("source", "content_md5")
+    spoken = packed.select("doc_id", "token_count", F.explode(F.split("content", "\\s+")).alias("w"))
+    mark = F.conv(F.left(F.md5("w"), F.lit(8)), 16, 10).cast("bigint")
+    sums = spoken.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum(mark).alias("fingerprint"), F.bool_and(F.col("token_count") <= 60).alias("within"))
+    return sums.join(sources, "doc_id").select("source", "words", "fingerprint", "within")
 
 
 def _rejoined(packed):

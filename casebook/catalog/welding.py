@@ -252,7 +252,7 @@ def verbatim_evidence(spark, sf):
     first = F.trim(F.element_at(F.split("text", "\n"), 1))
     own = docs.select("doc_id", F.lit("welder_name").alias("key"), F.concat(F.lit("  "), F.translate(F.replace(first, F.lit(" "), F.lit("   ")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("raw"))
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.lit("note").alias("key"), first.alias("raw"))
-    spec = fl.field_spec(spark, {"wpq": (("welder_name", "Welder name", "text", False, "name"), ("note", "Note", "text", False, "note"))})
+    spec = fl.field_spec(spark, {"wpq": (("welder_name", "Welder name", "text", False, ("name",)), ("note", "Note", "text", False, ("note",)))})
     chunks = docs.select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.lit(1).alias("page_start"))
     kept = fl.verified(docs.select("doc_id", F.lit("wpq").alias("doc_type")), chunks, spec, own.unionByName(other))
     return kept.select("doc_id", "key", F.md5(fold(F.col("raw"))).alias("wording"))

@@ -110,6 +110,11 @@ def scope_sizes(questions: DataFrame, documents: DataFrame, libraries: DataFrame
     )
 
 
+def in_listing_order(rows: DataFrame, *first: str, newest: str, tie: str) -> DataFrame:
+    """A listing: grouping columns first, then the newest row."""
+    return rows.orderBy(*first, F.col(newest).desc(), F.col(tie).desc())
+
+
 def reference_counts(libraries: DataFrame, documents: DataFrame) -> DataFrame:
     """Documents and ready documents per reference library (A3)."""
     counts = documents.groupBy("library").agg(

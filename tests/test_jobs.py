@@ -193,3 +193,17 @@ def test_log_without_header_is_reported(spark):
 def test_type_guess(spark, name, head, want):
     row = spark.createDataFrame([(name, head)], "n string, h string").select(ps.document_type(F.col("n"), F.col("h")).alias("v")).first()
     assert row.v == want
+
+
+def test_published_report(spark, tmp_path):
+    from casebook.plans import index, jobs
+
+    links, rows, chunks, log = golden.tables(spark)
+    documents = links.withColumn("doc_type", ps.document_type(F.col("filename"), F.col("head"))).drop("head")
+    late = spark.createDataFrame([(golden.JOB, 99, "late.pdf", "queued", 9, "pqr")], documents.schema)
+    tables = [durable(t) for t in jobs.job_tables(documents.unionByName(late), rows, chunks, log)]
+    jobs.publish_report(*tables, str(tmp_path), "v1", durable)
+    read = lambda name: index.read_part(spark, str(tmp_path), name, index.current_version(spark, str(tmp_path)))
+    row = read("summary").first()
+    assert (row.error, row.warning, row.note, row.documents, row.pending) == (7, 3, 0, 6, 1)
+    assert read("findings").count() == 10 and read("pending").first().filename == "late.pdf"

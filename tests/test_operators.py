@@ -296,3 +296,13 @@ def test_scope_counts_a_reference_library_once(spark):
     asked = spark.createDataFrame([(1, "a", "t1", True), (2, "a", "t1", False), (3, "r", "t2", True), (4, None, "t9", False)],
                                   "question_id int, library string, thread string, use_reference boolean")
     assert rows(scope.scope_sizes(asked, docs, libraries), "question_id", "documents") == [(1, 3), (2, 2), (3, 1), (4, 0)]
+
+
+def test_index_is_built_and_published(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "first line\nsecond"), (2, "other")], "doc_id bigint, text string")
+    table = spark.createDataFrame([(1, None, "table 1", 1, ["Vin", "40 V"])], "doc_id bigint, page int, locator string, row int, cells array<string>")
+    images = spark.createDataFrame([(2, "pdf", 1, 200, 150, 9), (2, "pdf", 2, 149, 500, 9), (2, "docx", 3, 0, 0, 5000)],
+                                   "doc_id bigint, kind string, ord int, width int, height int, bytes int")
+    index.publish(index.build(docs, table, images, dimensions=16), str(tmp_path), "v1")
+    got = index.read_part(spark, str(tmp_path), "documents", "v1")
+    assert rows(got, "doc_id", "passages", "facts", "figures") == [(1, 1, 1, 0), (2, 1, 0, 2)]
