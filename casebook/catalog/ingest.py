@@ -157,6 +157,14 @@ def html_blocks(spark, sf):
     return blocks.html(given(spark, sf, "pages"))
 
 
+@query("html_headings", """
+    SELECT page_id, replace(replace(replace(replace(trim(h), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text
+    FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS h FROM {pages}) WHERE trim(h) <> ''""")
+def html_headings(spark, sf):
+    found = blocks.html(given(spark, sf, "pages")).filter("section = 'Heading'")
+    return found.select(F.col("doc_id").alias("page_id"), "text")
+
+
 @query("markdown_sections", """
     SELECT doc_id, trim(line) AS text, section FROM (
       SELECT conv_id * 1000 + turn AS doc_id, '# ' || role AS line, role AS section FROM {conversations}

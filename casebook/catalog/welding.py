@@ -4,7 +4,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from casebook.catalog.base import given, inputs, query
+from casebook.catalog.base import ORACLES, given, inputs, query
 from casebook.functions import calculators as calc
 from casebook.functions import parsing as ps
 from casebook.operators import checks as ck
@@ -455,6 +455,24 @@ def job_check_report(spark, sf):
     return ck.in_report_order(found).select("job_id", "severity", "check", "title", "detail", "id", F.size("evidence").alias("shown"))
 
 
+_NAMES = {
+    "check_missing_field": "missing_field", "check_no_reference": "wps_no_pqr_ref", "check_missing_record": "pqr_missing", "check_process": "process_mismatch",
+    "check_filler": "filler_mismatch_pqr", "check_base_metal": "base_metal_differs", "check_coupon": "thickness_over_2t", "check_consumable": "consumable_mismatch",
+    "check_unused_welder": "welder_process_unused", "check_log_wps": "log_wps_missing", "check_log_welder": "log_welder_unqualified",
+    "check_log_process": "log_welder_wrong_process", "check_log_position": "log_position", "check_log_position_wps": "log_position_wps",
+    "check_log_thickness": "log_thickness", "check_before_test": "log_before_qualification", "check_continuity": "continuity_lapse", "check_coverage": "coverage",
+}
+
+
+@query("findings_rollup", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT job_id, '{check}' AS check_name, count(*) AS findings FROM ({ORACLES[key]}) GROUP BY job_id" for key, check in _NAMES.items()) + ")")
+def findings_rollup(spark, sf):
+    """The whole report counted by job and check, the four coverage notes together."""
+    found = ck.cross_check(*_job_tables(spark, sf), durable=durable)
+    name = F.when(F.col("check").startswith("no_"), "coverage").otherwise(F.col("check"))
+    return found.groupBy("job_id", name.alias("check_name")).agg(F.count(F.lit(1)).alias("findings"))
+
+
 @query("job_types", """
     SELECT s_suppkey AS job_id, (SELECT count(*) FROM {wps_docs} w WHERE w.job_id = s_suppkey) AS wps, (SELECT count(*) FROM {pqr_docs} w WHERE w.job_id = s_suppkey) AS pqr,
       (SELECT count(*) FROM {wpq_docs} w WHERE w.job_id = s_suppkey) AS wpq, (SELECT count(*) FROM {cert_docs} w WHERE w.job_id = s_suppkey) AS consumable, 0 AS other,
