@@ -91,10 +91,10 @@ def _vectors(chunks):
     return with_vectors(chunks, "content").drop("content")
 
 
-def _prose(spark, sf, k=sc.CANDIDATES):
+def _prose(spark, sf, columns=("doc_id",)):
     chunks = given(spark, sf, "prose")
     vectors = _vectors(chunks.select("chunk_id", "content", *rt.SCOPE_COLUMNS))
-    return rt.retrieve(_asked(spark, sf, "prose_questions"), chunks, vectors, k=k), chunks
+    return rt.retrieve(_asked(spark, sf, "prose_questions"), chunks, vectors, columns=columns), chunks
 
 
 # -- lists and fusion -----------------------------------------------------------------
@@ -143,8 +143,8 @@ def knn_everywhere(spark, sf):
 @query("hybrid_retrieval", "WITH " + list_ctes("prose_questions", "prose", True) + """
     SELECT fu.question_id, fu.chunk_id, p.filename, fu.rrf, fu.rank FROM fu JOIN {prose} p USING (chunk_id) WHERE fu.rank <= 12""")
 def hybrid_retrieval(spark, sf):
-    best, chunks = _prose(spark, sf)
-    return best.join(chunks.select("chunk_id", "filename"), "chunk_id").select("question_id", "chunk_id", "filename", "rrf", "rank")
+    best, _ = _prose(spark, sf, ("doc_id", "filename"))
+    return best.select("question_id", "chunk_id", "filename", "rrf", "rank")
 
 
 @query("retrieval_scores", "WITH " + list_ctes("prose_questions", "prose", True) + """

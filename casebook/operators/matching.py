@@ -19,6 +19,7 @@ from casebook.operators.windows import top_k
 # Broadcast bounds: (question, term) rows of a join, and questions scored inside the tasks.
 MAX_BROADCAST_TERMS = 200_000
 MAX_BROADCAST_VECTORS = 4_096
+MAX_BROADCAST_RESULTS = 200_000
 SCORES_PER_SLICE = 2_000_000
 
 
@@ -36,6 +37,11 @@ def question_blocks(questions: DataFrame, key: str, limit: int) -> list[DataFram
     return [questions.filter(slot == b) for b in range(blocks)]
 
 
+def small_side(results: DataFrame, questions: int, per_question: int) -> DataFrame:
+    """Results to be joined to a large table: sent to every task when their number is bounded, else shuffled."""
+    return F.broadcast(results) if questions * per_question <= MAX_BROADCAST_RESULTS else results
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

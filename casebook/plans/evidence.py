@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions import scoring as sc
 from casebook.functions import text as tx
+from casebook.operators.matching import small_side
 from casebook.operators.windows import interleaved, top_k
 
 Scorer = Callable[[list[str], list[str]], list[float]]
@@ -124,16 +125,15 @@ def prepare(
 
     columns = ["chunk_id", "filename", "page_start", "page_end", "section", "content"]
     fused = retrieve(ordinary, chunks, vectors, index, sc.CANDIDATES, floor, scoped)
-    full = diversified(fused, ordinary).join(chunks.select(*columns), "chunk_id").join(
-        ordinary.select("question_id", "text"), "question_id"
-    )
+    n = ordinary.count()
+    candidates = diversified(fused, ordinary).join(ordinary.select("question_id", "text"), "question_id")
+    full = chunks.select(*columns).join(small_side(candidates, n, sc.CANDIDATES), "chunk_id")
     kept = rerank(full, sc.KEPT, scorer)
 
     asked = ordinary.select("question_id", "text", *(["library", "thread", "use_reference"] if scoped else []))
     matched = match_facts(asked, facts, in_scope() if scoped else None, scope)
-    exact = matched.select("question_id", "fact_id", "rank").join(
-        facts.select("fact_id", "doc_id", "filename", "page", "locator", "label", "value"), "fact_id"
-    )
+    known = facts.select("fact_id", "doc_id", "filename", "page", "locator", "label", "value")
+    exact = known.join(small_side(matched.select("question_id", "fact_id", "rank"), n, sc.FACT_LIMIT), "fact_id")
 
     whole = retrieve_whole(listing, chunks, documents, vectors, index, floor, scoped)
     passages = kept.select("question_id", "position", "doc_id", *columns, "rerank_score").unionByName(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casebook.functions import scoring as sc
 from casebook.functions import text as tx
 from casebook.operators.facts import best_filename
-from casebook.operators.matching import most_words, nearest, shared_terms, term_rows
+from casebook.operators.matching import most_words, nearest, shared_terms, small_side, term_rows
 from casebook.operators.windows import first_row, top_k
 
 SCOPE_COLUMNS = ["library", "thread", "is_reference"]
@@ -74,10 +74,12 @@ def fuse(vectors: DataFrame, words: DataFrame, floor: float = sc.MIN_SIMILARITY)
 
 def retrieve(
     questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, index: DataFrame | None = None,
-    k: int | None = sc.CANDIDATES, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+    k: int | None = sc.CANDIDATES, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, columns: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """Fused candidates per question, best first (P1, T1). ``k=None`` keeps both lists whole.
 
+    ``columns`` are taken along from the passages.
+
     ``questions``: question_id, text, vector, library, thread, use_reference.
     ``chunks``: chunk_id, doc_id, content, scope columns. ``vectors``: chunk_id, vector, scope columns; left out,
     the passages carry their vectors. ``index``: a written ``postings`` table, if there is one. Passages are named by id until the cut,
@@ -89,8 +91,9 @@ def retrieve(
     words = lexical_list(questions, chunks.select("chunk_id", "content", *scope), index, scoped=scoped)
     fused = fuse(near, words, floor)
     # both lists are capped, so a question has at most 80 rows here
-    best = top_k(fused, ["question_id"], [F.col("rrf").desc(), F.col("chunk_id")], k or 2 * sc.LIST_SIZE)
-    return best.join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    k = k or 2 * sc.LIST_SIZE
+    best = top_k(fused, ["question_id"], [F.col("rrf").desc(), F.col("chunk_id")], k)
+    return chunks.select("chunk_id", *columns).join(small_side(best, questions.count(), k), "chunk_id")
 
 
 def best_document(ranked: DataFrame, named: DataFrame | None = None) -> DataFrame:
@@ -110,14 +113,15 @@ def best_document(ranked: DataFrame, named: DataFrame | None = None) -> DataFram
 
 
 def whole_document(
-    selected: DataFrame, chunks: DataFrame, limit: int = sc.WHOLE_DOCUMENT_CHUNKS
+    selected: DataFrame, chunks: DataFrame, limit: int = sc.WHOLE_DOCUMENT_CHUNKS, questions: int | None = None
 ) -> DataFrame:
     """The first 24 passages of the selected document, and whether that is all of it.
 
     Passages are counted and cut once per document, before questions are joined to them: a question adds
-    at most 24 rows, however long the document is.
+    at most 24 rows, however long the document is. ``questions``: how many there are, when known.
     """
-    wanted = chunks.join(selected.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = selected.select("doc_id").distinct()
+    wanted = chunks.join(asked if questions is None else small_side(asked, questions, 1), "doc_id", "left_semi")
     sizes = wanted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("document_chunk_count"))
     heads = top_k(wanted, ["doc_id"], [F.col("chunk_index")], limit)
     return (
@@ -138,7 +142,7 @@ def retrieve_whole(
     scope = SCOPE_COLUMNS if scoped else []
     asked = questions.select("question_id", "text", *(["library", "thread", "use_reference"] if scoped else []))
     named = best_filename(asked, documents.select("doc_id", "filename", *scope), in_scope() if scoped else None, scope)
-    return whole_document(best_document(ranked, named), chunks)
+    return whole_document(best_document(ranked, named), chunks, questions=questions.count())
 
 
 def evaluate(cases: DataFrame, fused: DataFrame, reranked: DataFrame, chunks: DataFrame) -> DataFrame:
