@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import itertools
 import struct
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,6 @@ from casebook.llm.common import keyed_texts, slices
 
 # White space as the pattern's \s has it; Python's own \s also holds U+001C to U+001F.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_LETTERS = {b: 256 + b for b in range(256)}
 CACHED_SEGMENTS = 400_000
 CACHED_CHARACTERS = 16_000_000
 
@@ -53,7 +51,7 @@ def _bytes(field: int, value: bytes) -> bytes:
 
 
 def _letters(value: bytes) -> str:
-    return value.decode("latin-1").translate(_LETTERS)
+    return "".join(chr(256 + b) for b in value)
 
 
 def serialise_model(ranks: dict[bytes, int]) -> bytes:
@@ -80,45 +78,51 @@ class Encoder:
         import regex
         import sentencepiece
 
-        self.ranks, self.words = ranks, regex.compile(pattern).findall
+        self.words = regex.compile(pattern).findall
+        self.single = {token: struct.pack("<i", rank) for token, rank in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         # Tokens never run from a visible character into white space, so a text may be cut there first.
         self.cut = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _learn(self, segments: set[str]) -> None:
+        """Find the ids of new segments, as bytes: the words of all of them go to sentencepiece in one call."""
         new = [s for s in segments if s not in self.known]
         if len(self.known) + len(new) > CACHED_SEGMENTS:
             self.known, new = {}, list(segments)
-        places, letters, found = [], [], []
-        for segment in new:
-            # One optional space and letters only: the pattern takes it whole.
-            whole = segment.isalpha() or (segment[0] == " " and segment[1:].isalpha())
-            ids: list = []
-            for word in (segment,) if whole else self.words(segment):
-                raw = word.encode()
-                rank = self.ranks.get(raw)
-                if rank is None:
-                    places.append((ids, len(ids)))
-                    letters.append(_letters(raw))
-                ids.append((rank,))
-            found.append(ids)
-        for (ids, i), encoded in zip(places, self.model.encode(letters, num_threads=1), strict=True):
-            ids[i] = encoded
-        for segment, ids in zip(new, found, strict=True):
-            self.known[segment] = tuple(itertools.chain.from_iterable(ids))
-
-    def __call__(self, texts: list[str]) -> tuple[array, list[int]]:
-        """The ids of all texts in one array, and where each text's ids end (from 0)."""
+        # One optional space and letters only: the pattern takes such a segment whole.
+        plain = [s for s in new if s.isalpha() or (s[0] == " " and s[1:].isalpha())]
+        if plain:
+            self.known.update(zip(plain, self._words("\n".join(plain).encode().split(b"\n")), strict=True))
+        mixed = [s for s in new if s not in self.known]
+        parts = [[w.encode() for w in self.words(s)] for s in mixed]
+        ids = iter(self._words([w for words in parts for w in words]))
+        self.known.update((s, b"".join(itertools.islice(ids, len(words)))) for s, words in zip(mixed, parts, strict=True))
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit numbers."""
+        out = [self.single.get(w) for w in words]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        if rest:
+            # No UTF-8 text has byte 255, so it parts the words while all bytes become letters at once.
+            raw = np.frombuffer(b"\xff".join([words[i] for i in rest]), np.uint8)
+            letters = (raw.astype("<u2") + 256).tobytes().decode("utf-16-le").split(chr(256 + 255))
+            found = self.model.encode(letters, num_threads=1)
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * 4
+            flat = np.fromiter(itertools.chain.from_iterable(found), "<i4", int(ends[-1]) // 4).tobytes()
+            for i, a, b in zip(rest, [0, *ends.tolist()], ends.tolist(), strict=False):
+                out[i] = flat[a:b]
+        return out
+
+    def __call__(self, texts: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of all texts as little-endian 32-bit numbers, and where each text's ids end (from 0)."""
         segments = [self.cut(t) for t in texts]
         self._learn(set(itertools.chain.from_iterable(segments)))
-        ids, ends, find = array("i"), [0], self.known.__getitem__
-        for parts in segments:
-            ids.extend(itertools.chain.from_iterable(map(find, parts)))
-            ends.append(len(ids))
+        find = self.known.__getitem__
+        parts = [b"".join(map(find, s)) for s in segments]
         if sum(map(len, self.known)) > CACHED_CHARACTERS:
             self.known = {}
-        return ids, ends
+        return b"".join(parts), [0, *itertools.accumulate(len(p) // 4 for p in parts)]
 
 
 def encode(documents: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -136,7 +140,7 @@ def encode(documents: DataFrame, vocabulary: str | None = None, pattern: str = p
         encoder = Encoder(*shipped.value, pattern)
         for batch in slices(batches, "text"):
             ids, ends = encoder(batch.column("text").to_pylist())
-            values = pa.array(np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32))
+            values = pa.array(np.frombuffer(ids, "<i4"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -152,10 +156,10 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shipped.value.__getitem__
         for batch in batches:
-            column = batch.column("ids")
             for first in range(0, len(batch), 256):
-                part = column.slice(first, 256)
-                texts = [b"".join(map(token, ids.values.tolist() if ids.is_valid else ())) for ids in part]
+                part = batch.column("ids").slice(first, 256)
+                ends, ids = part.offsets.to_numpy(), part.values.to_numpy()
+                texts = [b"".join(map(token, ids[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, 256), part, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
