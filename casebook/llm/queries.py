@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import bpe, lines, simhash, warc
+from casebook.llm import bpe, lines, sharding, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,26 @@ def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_simhash")
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op6_ring")
+def op6_ring(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.by_rows(table(spark, folder, "documents"))
+
+
+@query(
+    "op7_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS c
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (
+      SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.c, v.c)::BIGINT AS score
+      FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
