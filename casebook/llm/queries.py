@@ -84,9 +84,9 @@ def op6_ring(spark: SparkSession, folder: str) -> DataFrame:
     "op7_topk",
     """
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS c
+      SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS c
       FROM embeddings
-      WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
     p AS (
       SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.c, v.c)::BIGINT AS score
       FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
