@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import bpe, lines, packing, sharding, simhash, topk, warc
+from casebook.llm import bpe, lines, packing, quality, sharding, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,13 @@ def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
