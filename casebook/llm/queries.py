@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import bpe, lines, packing, quality, sharding, simhash, topk, toxicity, warc
+from casebook.llm import bpe, lines, packing, quality, sharding, simhash, spans, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,8 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_quality")
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_suffix")
+def op10_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.digests(table(spark, folder, "documents"))
