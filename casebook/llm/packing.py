@@ -26,56 +26,86 @@ SEQUENCE = 4096
 END_ID = 1
 GROUP_PIECES = 50_000
 ROUNDS = 8
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 700_000
+CACHED_WORDS = 500_000
 CACHED_CHARACTERS = 16_000_000
-# The mark stands between chunks that are encoded together; it is a word of its own in the vocabulary.
-MARK = "|"
 # White space as Unicode has it (what the tokenizer drops); Python's \s also holds U+001C to U+001F.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+_CHUNKS = re.compile(f"[^{_SPACE}]+").findall
+# What the tokenizer does to a chunk of these characters (ASCII and the letters of Latin-1) is to lower its case, cut it into
+# words and spell the words in its byte alphabet; other chunks go through the tokenizer as a whole.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte alphabet: printable characters of Latin-1 stand for themselves, the other bytes for 256 upwards."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
 class Chunks:
-    """Ids of texts by their white-space chunks: white space is dropped and no token crosses it."""
+    """Ids of texts by their white-space chunks: white space is dropped and no token crosses it.
+
+    Chunks and words met before are looked up, new words go to the tokenizer's model. Only the definition is shipped; a
+    Python worker that serves several tasks keeps what it has met.
+    """
 
     def __init__(self, definition: str):
+        self.definition = definition
+        self.model = None
+
+    def __getstate__(self) -> dict:
+        return {"definition": self.definition, "model": None}
+
+    def _load(self) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(definition)
-        self.model.encode_special_tokens = True
-        self.mark = self.model.encode(MARK, add_special_tokens=False).ids
-        if len(self.mark) != 1:
-            raise ValueError("the mark must be one token")
-        self.cut = re.compile(f"[^{_SPACE}]+").findall
+        self.whole = Tokenizer.from_str(self.definition)
+        self.whole.encode_special_tokens = True
+        self.model = self.whole.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known, new = {}, list(chunks)
-        plain = [c for c in new if MARK not in c]
-        for first in range(0, len(plain), 4096):
-            part = plain[first : first + 4096]
-            ids = np.array(self.model.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<i4")
-            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
-            if len(ends) != len(part):
-                raise ValueError("a mark was lost")
-            raw, start = ids.tobytes(), 0
-            for chunk, end in zip(part, ends, strict=True):
-                self.known[chunk] = raw[4 * start : 4 * end]
-                start = end + 1
-        for chunk in new:
-            if MARK in chunk:
-                ids = self.model.encode(chunk, add_special_tokens=False).ids
-                self.known[chunk] = struct.pack(f"<{len(ids)}i", *ids)
+        self.words: dict[str, bytes] = {}
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        return _CHUNKS(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        self.words[word] = raw = struct.pack(f"<{len(ids)}i", *ids)
+        return raw
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not _SIMPLE(chunk):
+            ids = self.whole.encode(chunk, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}i", *ids)
+        lower = chunk.lower()
+        words = self.words
+        if lower.isalpha():
+            return words.get(lower) or self._word(lower)
+        return b"".join([words.get(w) or self._word(w) for w in _WORDS(lower)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
+        if self.model is None:
+            self._load()
         chunks = [self.cut(t) for t in texts]
-        self._learn(set(itertools.chain.from_iterable(chunks)))
+        new = set(itertools.chain.from_iterable(chunks)).difference(self.known)
+        if len(self.known) + len(new) > CACHED_CHUNKS:
+            self.known, new = {}, set(itertools.chain.from_iterable(chunks))
+        if len(self.words) > CACHED_WORDS:
+            self.words = {}
+        self.known.update((c, self._chunk(c)) for c in new)
         find = self.known.__getitem__
         out = [b"".join(map(find, c)) for c in chunks]
-        if sum(map(len, self.known)) > CACHED_CHARACTERS:
-            self.known = {}
+        if sum(map(len, new)) > CACHED_CHARACTERS:  # a few very long chunks are not worth their memory
+            self.known, self.words = {}, {}
         return out
 
 
@@ -87,13 +117,13 @@ def pieces(documents: DataFrame, definition: str | None = None, capacity: int =
     are left out. The tokenizer's definition (a few megabytes, whatever the corpus) is read on the driver and broadcast.
     """
     with open(definition or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
-        shipped = documents.sparkSession.sparkContext.broadcast(file.read())
+        shipped = documents.sparkSession.sparkContext.broadcast(Chunks(file.read()))
     end = struct.pack("<i", end_id)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(shipped.value)
+        chunks = shipped.value
         for batch in slices(batches, "text"):
             rows = []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), chunks(batch.column("text").to_pylist()), strict=True):
