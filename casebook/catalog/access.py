@@ -31,6 +31,18 @@ inputs(
           CASE event_type WHEN 'purchase' THEN 'decision' WHEN 'view' THEN 'preference' ELSE 'fact' END AS entry_type, 'value ' || CAST(CAST(floor(value) AS INT) AS STRING) AS content
         FROM {events}""",
     job_links="SELECT DISTINCT l_suppkey AS job_id, l_partkey AS doc_id FROM {lineitem} WHERE l_quantity > 25",
+    # requests of known jobs, of jobs that do not exist, and for documents that do not exist; some name a type
+    attach_requests="""
+        SELECT job_id, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'pqr' END AS doc_type FROM {job_links}
+        UNION ALL SELECT job_id + 10000000, doc_id, NULL FROM {job_links} WHERE doc_id % 3 = 0
+        UNION ALL SELECT job_id, doc_id + 10000000, NULL FROM {job_links} WHERE doc_id % 7 = 0""",
+    files_named="""
+        SELECT doc_id, library, CASE doc_id % 6 WHEN 0 THEN 'WPS_' || doc_id || '.docx' WHEN 1 THEN 'weld map ' || doc_id || '.xlsx' ELSE 'scan-' || doc_id || '.pdf' END AS filename FROM {files_held}""",
+    # title blocks in the second passage, behind a long first one
+    files_text="""
+        SELECT doc_id, 0 AS chunk_index, repeat('plain words ', 100) AS content FROM {files_held}
+        UNION ALL SELECT doc_id, 1, CASE doc_id % 4 WHEN 0 THEN 'of the Procedure Qualification Record no. ' || doc_id WHEN 1 THEN 'Inspection CERTIFICATE ' || doc_id ELSE 'nothing ' || doc_id END FROM {files_held}
+        UNION ALL SELECT doc_id, 2, 'see the welding procedure specification' FROM {files_held} WHERE doc_id % 4 < 3""",
 )
 
 _ROLE = """SELECT r.*, l.is_reference, coalesce(m.role, CASE WHEN l.is_reference THEN 'reader' END) AS role
@@ -127,17 +139,19 @@ def unattached_documents(spark, sf):
 
 
 @query("attach_documents", """
-    SELECT j.job_id, j.doc_id, f.filename, f.library IS NOT DISTINCT FROM s.s_nationkey AND f.library IS NOT NULL AS attached
-    FROM {job_links} j JOIN {supplier} s ON s.s_suppkey = j.job_id LEFT JOIN {files_held} f ON f.doc_id = j.doc_id""")
+    SELECT j.job_id, j.doc_id, f.filename,
+      CASE WHEN s.s_suppkey IS NULL THEN 'unknown job' WHEN f.doc_id IS NULL THEN 'unknown document'
+        WHEN f.library IS NULL OR f.library <> s.s_nationkey THEN 'other library' ELSE 'attached' END AS outcome,
+      CASE WHEN f.library = s.s_nationkey THEN coalesce(j.doc_type, CASE WHEN f.doc_id % 6 = 0 THEN 'wps' WHEN f.doc_id % 6 = 1 THEN 'weld_log'
+        WHEN f.doc_id % 4 = 0 THEN 'pqr' WHEN f.doc_id % 4 = 1 THEN 'consumable' WHEN f.doc_id % 4 = 2 THEN 'wps' ELSE 'other' END) ELSE j.doc_type END AS doc_type
+    FROM {attach_requests} j LEFT JOIN {supplier} s ON s.s_suppkey = j.job_id LEFT JOIN {files_named} f ON f.doc_id = j.doc_id""")
 def attach_documents(spark, sf):
     from casebook.operators.fields import attach
 
     jobs = given(spark, sf, "supplier").select(F.col("s_suppkey").alias("job_id"), F.col("s_nationkey").cast("bigint").alias("library"))
-    asked = given(spark, sf, "job_links").withColumn("doc_type", F.lit(None).cast("string"))
-    chunks = given(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
-    kept, refused = attach(jobs, asked, given(spark, sf, "files_held"), chunks)
-    names = ["job_id", "doc_id", "filename"]
-    return kept.select(*names, F.lit(True).alias("attached")).unionByName(refused.select(*names, F.lit(False).alias("attached")))
+    kept, refused = attach(jobs, given(spark, sf, "attach_requests"), given(spark, sf, "files_named"), given(spark, sf, "files_text"))
+    names = ["job_id", "doc_id", "filename", "doc_type"]
+    return kept.select(*names, F.lit("attached").alias("outcome")).unionByName(refused.select(*names, F.col("reason").alias("outcome")))
 
 
 @query("thread_listing", """

@@ -248,7 +248,7 @@ def captions(spark, sf):
 
 @query("figure_admission", """
     SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS figure_no FROM {figure_images}
-    WHERE CASE WHEN kind = 'pdf' THEN width >= 150 AND height >= 150 ELSE bytes >= 5000 END QUALIFY figure_no <= 200""")
+    WHERE CASE WHEN kind = 'pdf' THEN width >= 150 AND height >= 150 ELSE bytes >= 5000 END""")
 def figure_admission(spark, sf):
     return blocks.admit_figures(given(spark, sf, "figure_images")).select("doc_id", "ord", "figure_no")
 

@@ -182,24 +182,24 @@ inputs(
 )
 
 
-def _whole(spark, sf):
+def _chosen(spark, sf):
     chunks = given(spark, sf, "records")
-    return rt.retrieve_whole(_asked(spark, sf, "listing_questions"), chunks, given(spark, sf, "record_documents"),
-                             _vectors(chunks.select("chunk_id", "content")), scoped=False)
+    return rt.chosen_document(_asked(spark, sf, "listing_questions"), chunks, given(spark, sf, "record_documents"),
+                              _vectors(chunks.select("chunk_id", "content")), scoped=False), chunks
 
 
 @query("whole_document", "WITH " + _WHOLE + """
-    SELECT question_id, doc_id, chunk_id, rank, document_chunk_count, document_chunk_count <= 24 AS document_complete, CAST(1 AS DOUBLE) / (60 + rank) AS rrf FROM wd WHERE rank <= 24""")
+    SELECT question_id, doc_id, chunk_id, rank, document_chunk_count, true AS document_complete, CAST(1 AS DOUBLE) / (60 + rank) AS rrf FROM wd""")
 def whole_document(spark, sf):
-    return _whole(spark, sf).select("question_id", "doc_id", "chunk_id", "rank", "document_chunk_count", "document_complete", "rrf")
+    return rt.whole_document(*_chosen(spark, sf)).select("question_id", "doc_id", "chunk_id", "rank", "document_chunk_count", "document_complete", "rrf")
 
 
 @query("spreadsheet_counts", "WITH " + _WHOLE + """,
       k AS (SELECT question_id, doc_id, filename, rank, regexp_extract(content, 'Part name: ([^|]*) \\|', 1) AS name FROM wd
-        WHERE document_chunk_count <= 24 AND filename LIKE '%.xlsx' AND content NOT LIKE '%Grade: Total%')
+        WHERE filename LIKE '%.xlsx' AND content NOT LIKE '%Grade: Total%')
     SELECT question_id, doc_id, filename, count(*) AS records, 'Part name' AS label, string_agg(name, '; ' ORDER BY rank) AS labels FROM k GROUP BY ALL""")
 def spreadsheet_counts(spark, sf):
-    return ev.spreadsheet_counts(_whole(spark, sf)).select("question_id", "doc_id", "filename", "records", "label", "labels")
+    return ev.spreadsheet_counts(*_chosen(spark, sf)).select("question_id", "doc_id", "filename", "records", "label", "labels")
 
 
 @query("filename_match", "WITH " + _NAMED + " SELECT question_id, doc_id, n AS score FROM nm")
@@ -308,13 +308,14 @@ def locations(spark, sf):
 
 @query("context_budget", """
     WITH h AS (SELECT conv_id, sum(greatest(1, length(text) // 4)) AS h FROM {conversations} GROUP BY conv_id)
-    SELECT d.doc_id, CASE WHEN d.lang = 'en' THEN least(16384, greatest(4096, d.n_chars // 4 + coalesce(h, 0) + 3000)) ELSE 4096 END AS num_ctx
+    SELECT d.doc_id, CASE WHEN d.lang = 'en' THEN least(16384, greatest(4096, d.n_chars // 4 + coalesce(h, 0) + 3000)) ELSE 4096 END AS num_ctx, d.n_chars // 4 + coalesce(h, 0) + 3000 AS tokens
     FROM {documents} d LEFT JOIN h ON h.conv_id = d.doc_id""")
 def context_budget(spark, sf):
     past = given(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(
         F.sum(F.greatest(F.lit(1), F.floor(F.length("text") / 4))).alias("h"))
     rows = given(spark, sf, "documents").join(past, "doc_id", "left")
-    return rows.select("doc_id", sc.context_budget(F.col("lang") == "en", F.floor(F.col("n_chars") / 4), F.col("h")).alias("num_ctx"))
+    return rows.select("doc_id", sc.context_budget(F.col("lang") == "en", F.floor(F.col("n_chars") / 4), F.col("h")).alias("num_ctx"),
+                       sc.context_tokens(F.floor(F.col("n_chars") / 4), F.col("h")).alias("tokens"))
 
 
 _EVIDENCE = "WITH " + list_ctes("ordinary_questions", "records", False) + ", " + _FACTS.replace("record_questions", "ordinary_questions") + f""",
@@ -355,7 +356,7 @@ def citations(spark, sf):
     SELECT o.question_id, CASE WHEN pk.best IS NULL AND pf.question_id IS NULL THEN 'none' WHEN pk.best >= 7 THEN 'high'
         WHEN pk.best >= 4 OR pf.question_id IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence
       FROM {ordinary_questions} o LEFT JOIN pk USING (question_id) LEFT JOIN pf ON pf.question_id = o.question_id
-    UNION ALL SELECT l.question_id, CASE WHEN n IS NULL THEN 'none' WHEN n <= 24 THEN 'medium' ELSE 'low' END
+    UNION ALL SELECT l.question_id, CASE WHEN n IS NULL THEN 'none' ELSE 'medium' END
       FROM {listing_questions} l LEFT JOIN (SELECT question_id, max(document_chunk_count) AS n FROM wd GROUP BY question_id) USING (question_id)""")
 def evidence_confidence(spark, sf):
     return _prepared(spark, sf, "record_questions")[1].select("question_id", "confidence")
@@ -375,7 +376,7 @@ def evidence_pack(spark, sf):
 
 
 @query("answer_audit", """
-    SELECT message_id AS question_id, contains(lower(text), lower(p_name)) AND contains(lower(text), lower(p_type)) AS states_facts, p_size % 3 < 2 AS cites_source,
+    SELECT message_id AS question_id, contains(lower(text), lower(p_name)) AND contains(lower(text), lower(p_type)) AS states_facts, true AS cites_source,
       regexp_matches(text, '\\[[0-9]+\\]') AS has_citations, regexp_matches(text, '(?i)from the documents') AS two_parts,
       NOT regexp_matches(text, '\\[[0-9]+\\] \\S+\\.(pdf|docx|xlsx) \\(|Exact table value -|value read from a table') AS not_pasted
     FROM {built_answers} JOIN {part} ON p_partkey = message_id""")
@@ -390,10 +391,10 @@ def answer_audit(spark, sf):
 @query("highlighted_runs", """
     WITH r AS (SELECT doc_id, ord, trim(regexp_replace(lower(line), '[\\s\\p{Z}]+', ' ', 'g')) AS run FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM {documents}) WHERE trim(line) <> '')
-    SELECT r.doc_id, r.ord, length(run) >= 4 AND contains(trim(regexp_replace(lower(left(d.text, 900)), '[\\s\\p{Z}]+', ' ', 'g')), run) AS marked FROM r JOIN {documents} d USING (doc_id)""")
+    SELECT r.doc_id, r.ord, length(run) >= 4 AND contains(trim(regexp_replace(lower(d.text), '[\\s\\p{Z}]+', ' ', 'g')), run) AS marked FROM r JOIN {documents} d USING (doc_id)""")
 def highlighted_runs(spark, sf):
     from casebook.sources.blocks import lines
 
     docs = given(spark, sf, "documents")
-    cited = docs.select("doc_id", tx.snippet(F.col("text"), 900).alias("snippet"))
+    cited = docs.select("doc_id", F.col("text").alias("snippet"))
     return ev.highlighted(lines(docs).withColumnRenamed("text", "run"), cited, ["doc_id"]).select("doc_id", "ord", "marked")

@@ -22,7 +22,7 @@ def terms_sql(text: str) -> str:
 def lexical_sql(text: str) -> str:
     raw = f"list_distinct(regexp_extract_all(lower({text}), '[a-z0-9]+'))"
     terms = terms_sql(text)
-    return f"list_slice(list_sort(CASE WHEN len({terms}) > 0 THEN {terms} ELSE {raw} END), 1, 16)"
+    return f"list_sort(CASE WHEN len({terms}) > 0 THEN {terms} ELSE {raw} END)"
 
 
 def content_sql(text: str, extra: tuple = ()) -> str:

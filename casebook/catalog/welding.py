@@ -309,7 +309,7 @@ inputs(
 
 def _job_tables(spark, sf):
     """documents, fields and log rows of every job."""
-    unread = F.when((F.col("doc_type") == "weld_log") & (F.col("job_id") < 0), "unreadable")
+    unread = F.when((F.col("doc_type") == "weld_log") & (F.col("job_id") % 9 == 4), "unreadable")
     read = {}
     docs = given(spark, sf, "job_docs", read).select(
         "job_id", "doc_id", "filename", "doc_type", F.lit("ready").alias("status"), F.lit(0).alias("added_at"), unread.alias("log_error"))

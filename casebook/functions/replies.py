@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ENTRY_TYPES = ("fact", "decision", "preference")
-ENTRY_CHARS = 1000
 
 _SCORES = "array<double>"
 _ENTRY = "worth_remembering boolean, entry_type string, content string"
@@ -63,7 +62,7 @@ def parse_memory(raw: Column) -> Column:
     content = F.trim(F.coalesce(entry["content"], F.lit("")))
     kind = F.when(entry["entry_type"].isin(*ENTRY_TYPES), entry["entry_type"]).otherwise("fact")
     keep = F.coalesce(entry["worth_remembering"], F.lit(False)) & (content != "")
-    return F.when(keep, F.struct(kind.alias("entry_type"), F.left(content, F.lit(ENTRY_CHARS)).alias("content")))
+    return F.when(keep, F.struct(kind.alias("entry_type"), content.alias("content")))
 
 
 def split_answer(answer: Column) -> Column:

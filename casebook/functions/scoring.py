@@ -15,9 +15,9 @@ LIST_SIZE = 40
 CANDIDATES = 12
 KEPT = 5
 MIN_SIMILARITY = 0.28
-WHOLE_DOCUMENT_CHUNKS = 24
 FACT_LIMIT = 8
 SNIPPET_CHARS = 2000
+CONTEXT_CEILING = 16384
 
 
 def rrf(rank: Column, weight: float) -> Column:
@@ -59,10 +59,15 @@ def location(page_start: Column, page_end: Column, section: Column) -> Column:
     )
 
 
-def context_budget(exhaustive: Column, evidence_tokens: Column, history_tokens: Column) -> Column:
-    """Context size asked of a model for one question."""
-    wanted = F.coalesce(evidence_tokens, F.lit(0)) + F.coalesce(history_tokens, F.lit(0)) + 3000
-    sized = F.least(F.lit(16384), F.greatest(F.lit(4096), wanted))
+def context_tokens(evidence_tokens: Column, history_tokens: Column) -> Column:
+    """Tokens that a question's evidence, its history and an answer take."""
+    return (F.coalesce(evidence_tokens, F.lit(0)) + F.coalesce(history_tokens, F.lit(0)) + 3000).cast("bigint")
+
+
+def context_budget(exhaustive: Column, evidence_tokens: Column, history_tokens: Column, ceiling: int | None = CONTEXT_CEILING) -> Column:
+    """Context size asked of a model for one question (A13); the model's ceiling may be None."""
+    sized = F.greatest(F.lit(4096), context_tokens(evidence_tokens, history_tokens))
+    sized = sized if ceiling is None else F.least(F.lit(ceiling), sized)
     return F.when(exhaustive, sized).otherwise(F.lit(4096)).cast("bigint")
 
 

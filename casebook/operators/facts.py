@@ -10,7 +10,6 @@ from casebook.functions.scoring import FACT_LIMIT
 from casebook.operators.matching import best_by_words
 from casebook.operators.windows import numbered
 
-LABEL_CHARS, VALUE_CHARS = 500, 2000
 FIGURE_OVERLAP = 2
 
 
@@ -51,10 +50,7 @@ def table_facts(rows: DataFrame, block: int = 10_000) -> DataFrame:
         .filter("col > 0 AND column <> '' AND value <> ''")
         .select("doc_id", "page", "row", "col", "locator", F.concat_ws(".", "entity", "column").alias("label"), "value")
     )
-    facts = narrow.unionByName(wide)
-    return facts.withColumn("label", F.left("label", F.lit(LABEL_CHARS))).withColumn(
-        "value", F.left("value", F.lit(VALUE_CHARS))
-    )
+    return narrow.unionByName(wide)
 
 
 def match_facts(

@@ -175,18 +175,18 @@ def records(chunks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def spreadsheet_counts(whole: DataFrame) -> DataFrame:
-    """Counted records of complete workbooks, with their names in sheet order.
+def spreadsheet_counts(selected: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Counted records of the selected workbooks, with their names in sheet order.
 
-    ``whole``: question_id, doc_id, filename, section, rank, content, document_complete. A complete document
-    has at most 24 passages, so a group here is small by definition.
+    ``selected``: question_id, doc_id. ``chunks``: doc_id, filename, section, chunk_index, content. Every workbook is
+    counted once, over its whole passage table, and only the counts are joined to the questions.
     """
-    keys = ["question_id", "doc_id", "filename"]
-    book = whole.filter(F.lower("filename").rlike(r"\.xls[xm]$") & F.col("document_complete"))
-    found = records(book, keys, ["rank"])
+    keys = ["doc_id", "filename"]
+    book = chunks.filter(F.lower("filename").rlike(r"\.xls[xm]$")).join(selected.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = records(book, keys, ["chunk_index"])
     # a row repeated across passages counts once; the last wording wins, the first place is kept
     distinct = found.groupBy(*keys, "sheet", "row").agg(
-        F.max_by("fields", "rank").alias("fields"), F.min("rank").alias("rank")
+        F.max_by("fields", "chunk_index").alias("fields"), F.min("chunk_index").alias("rank")
     )
     data = distinct.filter(~F.exists("fields", lambda c: F.lower(c["value"]).isin(*SUMMARY_VALUES)))
     ordered = F.array_sort(F.collect_list(F.struct("rank", "row", "sheet", "fields")))
@@ -199,9 +199,8 @@ def spreadsheet_counts(whole: DataFrame) -> DataFrame:
         F.lit(""),
     )
     labels = F.filter(F.transform("_rows", value), lambda v: v != "")
-    return books.select(
-        *keys, "records", "label", F.size(labels).alias("labelled"), F.array_join(labels, "; ").alias("labels")
-    )
+    counted = books.select(*keys, "records", "label", F.size(labels).alias("labelled"), F.array_join(labels, "; ").alias("labels"))
+    return selected.select("question_id", "doc_id").join(counted, "doc_id")
 
 
 # -- figures, audits, views ----------------------------------------------------------
@@ -226,16 +225,17 @@ TWO_PARTS = r"(?i)from the documents"
 PASTED = r"\[[0-9]+\] \S+\.(pdf|docx|xlsx) \(|Exact table value -|value read from a table"
 
 
-def audit(answers: DataFrame) -> DataFrame:
+def audit(answers: DataFrame, first: int | None = None) -> DataFrame:
     """Checks of generated answers (P10).
 
-    ``answers``: question_id, answer, expected (array), expected_source, sources (array of file names).
+    ``answers``: question_id, answer, expected (array), expected_source, sources (array of file names). The expected source
+    may stand anywhere among them, or among the ``first`` so many.
     """
     said = F.lower("answer")
     return answers.select(
         "question_id",
         F.forall("expected", lambda e: F.contains(said, F.lower(e))).alias("states_facts"),
-        F.array_contains(F.slice("sources", 1, 4), F.col("expected_source")).alias("cites_source"),
+        F.array_contains(F.col("sources") if first is None else F.slice("sources", 1, first), F.col("expected_source")).alias("cites_source"),
         F.col("answer").rlike(r"\[[0-9]+\]").alias("has_citations"),
         F.col("answer").rlike(TWO_PARTS).alias("two_parts"),
         (~F.col("answer").rlike(PASTED)).alias("not_pasted"),

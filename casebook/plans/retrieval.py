@@ -9,9 +9,10 @@ from casebook.functions import scoring as sc
 from casebook.functions import text as tx
 from casebook.operators.facts import best_filename
 from casebook.operators.matching import most_words, nearest, shared_terms, small_side, term_rows
-from casebook.operators.windows import first_row, top_k
+from casebook.operators.windows import first_row, numbered, top_k
 
 SCOPE_COLUMNS = ["library", "thread", "is_reference"]
+PASSAGE_BLOCK = 4096
 
 
 def in_scope() -> Column:
@@ -112,37 +113,47 @@ def best_document(ranked: DataFrame, named: DataFrame | None = None) -> DataFram
     )
 
 
-def whole_document(
-    selected: DataFrame, chunks: DataFrame, limit: int = sc.WHOLE_DOCUMENT_CHUNKS, questions: int | None = None
-) -> DataFrame:
-    """The first 24 passages of the selected document, and whether that is all of it.
+def whole_document(selected: DataFrame, chunks: DataFrame, limit: int | None = None, questions: int | None = None) -> DataFrame:
+    """The passages of the selected document in order, and whether that is all of it.
 
-    Passages are counted and cut once per document, before questions are joined to them: a question adds
-    at most 24 rows, however long the document is. ``questions``: how many there are, when known.
+    Passages are numbered and counted once per document, before questions are joined to them; ``limit`` keeps the
+    first so many. ``questions``: how many there are, when known.
     """
     asked = selected.select("doc_id").distinct()
     wanted = chunks.join(asked if questions is None else small_side(asked, questions, 1), "doc_id", "left_semi")
     sizes = wanted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("document_chunk_count"))
-    heads = top_k(wanted, ["doc_id"], [F.col("chunk_index")], limit)
+    if limit is None:
+        heads = numbered(wanted, ["doc_id"], "chunk_index", PASSAGE_BLOCK, "rank").drop("_block")
+    else:
+        heads = top_k(wanted, ["doc_id"], [F.col("chunk_index")], limit)
     return (
         selected.select("question_id", "doc_id")
         .join(heads, "doc_id")
         .join(sizes, "doc_id")
         .withColumn("rrf", sc.rrf(F.col("rank"), 1.0))
-        .withColumn("document_complete", F.col("document_chunk_count") <= limit)
+        .withColumn("document_complete", F.lit(True) if limit is None else F.col("document_chunk_count") <= limit)
     )
 
 
-def retrieve_whole(
+def chosen_document(
     questions: DataFrame, chunks: DataFrame, documents: DataFrame, vectors: DataFrame | None = None,
     index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> DataFrame:
-    """Count/list questions answered from the one document that fits best."""
+    """The one document that fits each count/list question best."""
     ranked = retrieve(questions, chunks, vectors, index, None, floor, scoped)
     scope = SCOPE_COLUMNS if scoped else []
     asked = questions.select("question_id", "text", *(["library", "thread", "use_reference"] if scoped else []))
     named = best_filename(asked, documents.select("doc_id", "filename", *scope), in_scope() if scoped else None, scope)
-    return whole_document(best_document(ranked, named), chunks, questions=questions.count())
+    return best_document(ranked, named)
+
+
+def retrieve_whole(
+    questions: DataFrame, chunks: DataFrame, documents: DataFrame, vectors: DataFrame | None = None,
+    index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, limit: int | None = None,
+) -> DataFrame:
+    """Count/list questions answered from the one document that fits best."""
+    chosen = chosen_document(questions, chunks, documents, vectors, index, floor, scoped)
+    return whole_document(chosen, chunks, limit, questions.count())
 
 
 def evaluate(cases: DataFrame, fused: DataFrame, reranked: DataFrame, chunks: DataFrame) -> DataFrame:

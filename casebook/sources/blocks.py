@@ -109,27 +109,26 @@ def html(pages: DataFrame, doc: str = "page_id", source: str = "html") -> DataFr
     return pages.select(F.col(doc).cast("bigint").alias(doc), source).mapInPandas(parse, BLOCKS)
 
 
-def sheet_records(cells: DataFrame, header_rows: int = 20) -> DataFrame:
+def sheet_records(cells: DataFrame, header_rows: int | None = None) -> DataFrame:
     """Spreadsheet rows as record blocks.
 
-    ``cells``: doc_id, sheet, row, col (from 1), value, is_text. The header is the best of the first rows
-    by text labels, filled cells, then position. Grouping is by (document, sheet, row): a huge sheet is
-    many small groups, and only its first rows are compared.
+    ``cells``: doc_id, sheet, row, col (from 1), value, is_text. The header is the best row (of the first
+    ``header_rows``, if given) by text labels, filled cells, then position. Grouping is by (document, sheet, row): a
+    huge sheet is many small groups, and its header is a map-side combined maximum over them.
     """
     sheet = ["doc_id", "sheet"]
     filled = cells.filter(F.col("value").isNotNull() & (strip(F.col("value")) != ""))
     is_label = F.col("is_text") & ~looks_numeric(F.col("value"))
+    tried = filled if header_rows is None else filled.filter(F.col("row") <= header_rows)
     scored = (
-        filled.filter(F.col("row") <= header_rows)
-        .groupBy(*sheet, "row")
+        tried.groupBy(*sheet, "row")
         .agg(F.count_if(is_label).alias("labels"), F.count(F.lit(1)).alias("cells"))
     )
     heads = scored.groupBy(*sheet).agg(
         F.max_by("row", F.struct("labels", "cells", (-F.col("row")).alias("early"))).alias("head_row")
     )
     head_cells = (
-        filled.filter(F.col("row") <= header_rows)
-        .join(heads, sheet)
+        tried.join(heads, sheet)
         .filter("row = head_row")
         .select(*sheet, "col", strip(F.col("value")).alias("name"))
     )
@@ -169,29 +168,39 @@ def slides(slide_lines: DataFrame) -> DataFrame:
 
 
 CAPTION_START = r"(?i)^\s*(fig(ure)?\.?\s*[0-9]+|diagram|schematic|block diagram)"
-CAPTION_CHARS = 240
 FIGURE_SIDE = 150
 FIGURE_BYTES = 5000
-FIGURES_PER_DOCUMENT = 200
+FIGURE_BLOCK = 1 << 20
 
 
-def caption(page_text: Column, page: Column) -> Column:
-    """The line that captions a page's figures."""
+def caption(page_text: Column, page: Column, width: int | None = None) -> Column:
+    """The line that captions a page's figures (C10), whole unless a ``width`` is given."""
     found = line_array(page_text)
     titled = F.filter(found, lambda x: x.rlike(CAPTION_START))
     mentions = F.filter(found, lambda x: F.lower(x).contains("figure") | F.lower(x).contains("diagram"))
     line = F.coalesce(F.try_element_at(titled, F.lit(1)), F.try_element_at(mentions, F.lit(1)))
-    return F.coalesce(F.left(line, F.lit(CAPTION_CHARS)), F.concat(F.lit("Image from page "), page.cast("string")))
+    line = line if width is None else F.left(line, F.lit(width))
+    return F.coalesce(line, F.concat(F.lit("Image from page "), page.cast("string")))
 
 
-def admit_figures(images: DataFrame, limit: int = FIGURES_PER_DOCUMENT) -> DataFrame:
-    """Images large enough to be figures, the first 200 of a document (C11).
+def embedded_caption(number: Column, filename: Column) -> Column:
+    """Caption and locator of a figure inside a text document, which has no page to take a line from (C11)."""
+    return F.struct(
+        F.concat(F.lit("Figure "), number.cast("string"), F.lit(" from "), filename).alias("caption"),
+        F.concat(F.lit("embedded image "), number.cast("string")).alias("locator"),
+    )
+
+
+def admit_figures(images: DataFrame, limit: int | None = None) -> DataFrame:
+    """Images large enough to be figures, numbered within their document (C11); ``limit`` keeps the first of each.
 
     ``images``: doc_id, kind ('pdf' or 'docx'), ord, width, height, bytes.
     """
-    from casebook.operators.windows import top_k
+    from casebook.operators.windows import numbered, top_k
 
     big = F.when(
         F.col("kind") == "pdf", (F.col("width") >= FIGURE_SIDE) & (F.col("height") >= FIGURE_SIDE)
     ).otherwise(F.col("bytes") >= FIGURE_BYTES)
+    if limit is None:
+        return numbered(images.filter(big), ["doc_id"], "ord", FIGURE_BLOCK, "figure_no").drop("_block")
     return top_k(images.filter(big), ["doc_id"], [F.col("ord")], limit, "figure_no")

@@ -12,7 +12,6 @@ EXTENSIONS = (
     "pdf", "docx", "txt", "md", "csv", "pptx", "xlsx", "html", "htm",
     "png", "jpg", "jpeg", "tif", "tiff", "bmp",
 )
-MAX_BYTES = 50 * 1024 * 1024
 MIN_PAGE_TEXT = 24
 
 EVALUATION = "question string, expected_keyword string, expected_source_file string"
@@ -29,16 +28,17 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.withColumn("extension", ext).withColumn("supported", ext.isin(*EXTENSIONS))
 
 
-def reject_reason(ext: Column, size: Column, max_bytes: int = MAX_BYTES) -> Column:
-    """Why a file is not taken, null when it is."""
+def reject_reason(ext: Column, size: Column, max_bytes: int | None = None) -> Column:
+    """Why a file is not taken, null when it is (S2). There is no limit of size unless one is given."""
+    over = F.lit(False) if max_bytes is None else size > max_bytes
     return (
         F.when(~F.coalesce(ext, F.lit("")).isin(*EXTENSIONS), "unsupported type")
         .when(F.coalesce(size, F.lit(0)) == 0, "empty")
-        .when(size > max_bytes, "too large")
+        .when(over, "too large")
     )
 
 
-def admit(files: DataFrame, ext: Column, size: Column, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+def admit(files: DataFrame, ext: Column, size: Column, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(taken, rejected): the bulk load skips bad files and reports them."""
     judged = files.withColumn("reject_reason", reject_reason(ext, size, max_bytes))
     return judged.filter("reject_reason IS NULL").drop("reject_reason"), judged.filter("reject_reason IS NOT NULL")

@@ -17,7 +17,6 @@ from casebook.plans.conversations import BLOCK, exchanges
 from casebook.sources.files import mark_duplicates
 
 ATTEMPTS = 3
-ERROR_CHARS = 1000
 INDEXED = "doc_id bigint, library string, sha256 string, batch_id bigint"
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
@@ -104,7 +103,7 @@ def after_attempt(queue: DataFrame, failures: DataFrame, attempts: int = ATTEMPT
 
     ``queue``: doc_id, status, attempts, last_error - attempts counts the round just run. ``failures``: doc_id, error.
     """
-    joined = queue.join(failures.select("doc_id", F.left("error", F.lit(ERROR_CHARS)).alias("_error")), "doc_id", "left")
+    joined = queue.join(failures.select("doc_id", F.col("error").alias("_error")), "doc_id", "left")
     outcome = F.when(F.col("_error").isNull(), "done").when(F.col("attempts") < attempts, "queued").otherwise("failed")
     return (
         joined.withColumn("status", F.when(F.col("status") == "running", outcome).otherwise(F.col("status")))
