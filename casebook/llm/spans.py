@@ -35,7 +35,8 @@ LENGTH = 50
 GRAM = 16
 SLICE_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20  # of text whose fragments meet in one shard
-SORT_BYTES = 8 << 20
+SORT_BYTES = 4 << 20
+PART_BYTES = 1 << 20  # of a slice worked on at once
 LAST = np.iinfo(np.int64).max
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -68,12 +69,12 @@ class Fragments:
         self.data = b"\xff".join(texts) + b"\xff" * (2 * length + 16)  # no UTF-8 text has byte 255
         self.words = _words(self.data)
         self.ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1
-        parts = [self._part(low, length) for low in range(0, int(self.ends[-1]) + 1, SLICE_BYTES)]
+        parts = [self._part(low, length) for low in range(0, int(self.ends[-1]) + 1, PART_BYTES)]
         self.doc, self.start, self.size, self.anchor, self.gram = (np.concatenate(p) for p in zip(*parts, strict=True))
         self.hash = _hash(self.words, self.start, self.size)
 
     def _part(self, low: int, length: int) -> tuple[np.ndarray, ...]:
-        high, reach = min(int(self.ends[-1]) + 1, low + SLICE_BYTES), length - GRAM + 1
+        high, reach = min(int(self.ends[-1]) + 1, low + PART_BYTES), length - GRAM + 1
         m = high - low + reach
         grams = (self.words[low : low + m] * _A) ^ ((self.words[low + 8 : low + m + 8] * _B) >> np.uint64(3))
         grams *= _A

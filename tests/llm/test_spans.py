@@ -78,7 +78,7 @@ def test_slices_and_parts_change_nothing(spark, monkeypatch):
     rows = sample(seed=5, n=40)
     texts, docs_ = [(t or "").encode() for _, t in rows], np.array([spans.LAST if d is None else d for d, _ in rows])
     whole = spans.Fragments(texts, 50)
-    monkeypatch.setattr(spans, "SLICE_BYTES", 300)
+    monkeypatch.setattr(spans, "PART_BYTES", 300)
     cut = spans.Fragments(texts, 50)
 
     def windows(f):
