@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casebook.catalog.base import given, inputs, query, table
 from casebook.catalog.ingest import _LINES, _rejoined
-from casebook.catalog.welding import _GATE, _job_tables
+from casebook.catalog.welding import _ALL_FINDINGS, _job_tables
 from casebook.operators import checks as ck
 from casebook.session import durable, work_folder
 from casebook.streaming import ingest as st
@@ -83,13 +83,9 @@ def stale_checks(spark, sf):
 
 
 @query("recheck_changed", f"""
-    WITH {_GATE}, c AS (SELECT s_suppkey AS job_id FROM {{supplier}} WHERE s_acctbal > 8000)
-    SELECT job_id, 'log_wps_missing' AS check_name, count(*) AS findings FROM t WHERE wps IS NOT NULL AND wps_doc IS NULL AND job_id IN (SELECT job_id FROM c) GROUP BY job_id
-    UNION ALL SELECT job_id, 'log_welder_unqualified', count(*) FROM t WHERE n_quals = 0 AND job_id IN (SELECT job_id FROM c) GROUP BY job_id
-    UNION ALL SELECT job_id, 'log_thickness', count(*) FROM t WHERE n_fit > 0 AND (thickness < lo OR thickness > hi) AND job_id IN (SELECT job_id FROM c) GROUP BY job_id""")
+    SELECT job_id, id, severity, kind, shown, check_name FROM ({_ALL_FINDINGS}) WHERE job_id IN (SELECT s_suppkey FROM {{supplier}} WHERE s_acctbal > 8000)""")
 def recheck_changed(spark, sf):
-    """Jobs that changed are checked again, the others are not read."""
+    """Jobs that changed are checked again in full, the others are not read."""
     changed = given(spark, sf, "supplier").filter("s_acctbal > 8000").select(F.col("s_suppkey").alias("job_id"))
     found = ck.recheck(changed, *_job_tables(spark, sf), durable=durable)
-    kept = found.filter(F.col("check").isin("log_wps_missing", "log_welder_unqualified", "log_thickness"))
-    return kept.groupBy("job_id", F.col("check").alias("check_name")).agg(F.count(F.lit(1)).alias("findings"))
+    return found.select("job_id", "id", "severity", "kind", F.size("evidence").alias("shown"), F.col("check").alias("check_name"))

@@ -171,11 +171,15 @@ def references(spark, sf):
     return given(spark, sf, "notation").select("p_partkey", F.array_join(ps.references(F.col("refs")), ",").alias("refs"))
 
 
-@query("shown_values", """
-    SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_size || '–' || (p_size + 5) || ' mm' WHEN 2 THEN '≤ ' || p_size || ' mm' WHEN 3 THEN '≥ ' || p_size || ' mm' ELSE '—' END AS size,
-      CASE p_size % 4 WHEN 0 THEN 'GTAW, SMAW' WHEN 1 THEN 'GMAW' WHEN 2 THEN 'SMAW' ELSE '—' END AS process FROM {notation} WHERE p_size % 5 <> 1""")
+_SHOWN = "regexp_replace(CAST(round({0}, 4) AS DECIMAL(18, 4)) || '', '\\.?0+$', '')"
+
+
+@query("shown_values", f"""
+    SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_size || '–' || (p_size + 5) || ' mm' WHEN 1 THEN {_SHOWN.format('round(least(p_size / 16.0E0, 4) * 25.4E0, 2)')} || '–'
+        || {_SHOWN.format('round(greatest(p_size / 16.0E0, 4) * 25.4E0, 2)')} || ' mm' WHEN 2 THEN '≤ ' || p_size || ' mm' WHEN 3 THEN '≥ ' || p_size || ' mm' ELSE '—' END AS size,
+      CASE p_size % 4 WHEN 0 THEN 'GTAW, SMAW' WHEN 1 THEN 'GMAW' WHEN 2 THEN 'SMAW' ELSE '—' END AS process FROM {{notation}}""")
 def shown_values(spark, sf):
-    rows = given(spark, sf, "notation").filter("p_size % 5 <> 1")
+    rows = given(spark, sf, "notation")
     shown = lambda kind, col: ps.display(F.lit(kind), ps.VALUE_READERS[kind](F.col(col)))
     return rows.select("p_partkey", shown("range_mm", "size").alias("size"), shown("processes", "process").alias("process"))
 
@@ -267,7 +271,7 @@ inputs(
         SELECT l_suppkey AS job_id, 1000000 + l_suppkey AS doc_id, 'log-' || l_suppkey || '.csv' AS filename, 2 + row_number() OVER (PARTITION BY l_suppkey ORDER BY {_ROW}) AS row,
           'J' || l_orderkey || '-' || l_linenumber AS joint, 'W-' || (l_partkey % 11) AS welder, CASE WHEN l_tax = 0 THEN NULL ELSE 'WPS-' || (l_partkey % 7) END AS wps, l_partkey % 7 AS w, l_partkey % 11 AS n,
           CASE WHEN l_discount = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS day, CASE l_linenumber % 4 WHEN 0 THEN '1G' WHEN 1 THEN 'PC' WHEN 2 THEN '3G' ELSE '' END AS position,
-          CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'GTAW' ELSE '' END AS process, l_quantity AS thickness FROM {{lineitem}}""",
+          CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'GTAW' ELSE '' END AS process, l_quantity AS thickness FROM {{lineitem}} WHERE l_suppkey % 10 <> 7""",
     wps_docs="""
         SELECT DISTINCT l_suppkey AS job_id, 2000000 + l_suppkey * 100 + l_partkey % 7 AS doc_id, l_partkey % 7 AS w FROM {lineitem} l JOIN {supplier} s ON s_suppkey = l_suppkey
         WHERE s_nationkey <> l_partkey % 7 AND s_nationkey <> l_partkey % 7 + 7""",
@@ -303,13 +307,13 @@ inputs(
     job_docs="""
         SELECT job_id, doc_id, 'wps-' || w || '.docx' AS filename, 'wps' AS doc_type FROM {wps_docs} UNION ALL SELECT job_id, doc_id, 'pqr-' || w || '.pdf', 'pqr' FROM {pqr_docs}
         UNION ALL SELECT job_id, doc_id, 'wpq-' || n || '-' || again || '.pdf', 'wpq' FROM {wpq_docs} UNION ALL SELECT job_id, doc_id, 'tc.pdf', 'consumable' FROM {cert_docs}
-        UNION ALL SELECT s_suppkey, 1000000 + s_suppkey, 'log-' || s_suppkey || '.csv', 'weld_log' FROM {supplier}""",
+        UNION ALL SELECT s_suppkey, 1000000 + s_suppkey, 'log-' || s_suppkey || '.csv', 'weld_log' FROM {supplier} WHERE s_suppkey % 10 <> 7""",
 )
 
 
 def _job_tables(spark, sf):
     """documents, fields and log rows of every job."""
-    unread = F.when((F.col("doc_type") == "weld_log") & (F.col("job_id") % 9 == 4), "unreadable")
+    unread = F.when((F.col("doc_type") == "weld_log") & (F.col("job_id") % 9).isin(4, 5), "unreadable")
     read = {}
     docs = given(spark, sf, "job_docs", read).select(
         "job_id", "doc_id", "filename", "doc_type", F.lit("ready").alias("status"), F.lit(0).alias("added_at"), unread.alias("log_error"))
@@ -333,58 +337,67 @@ def _gated(spark, sf):
     return ck.gated(log, ck.wide(docs, fields))
 
 
-def _places(found):
-    """What identifies a finding here: its first place and how many places it shows."""
-    e = F.get("evidence", F.lit(0))
-    place = F.concat_ws(":", e["document_id"], F.coalesce(e["locator"], F.lit("")))
-    return found.select("job_id", place.alias("place"), F.size("evidence").alias("shown"))
+def _named(found):
+    """A finding by identity (its check and every place it shows), weight and number of places."""
+    return found.select("job_id", "id", "severity", "kind", F.size("evidence").alias("shown"))
+
+
+# check name -> (registered query, severity, kind); the SQL of a query gives job_id and the list of places
+CHECKS = {}
 
 
-def _check(name, sql, build):
-    query(name, sql)(partial(lambda build, spark, sf: _places(ck.unique(build(spark, sf))), build))
+def _check(name, check, severity, kind, sql, build):
+    CHECKS[check] = name
+    found = f"SELECT job_id, '{check}:' || array_to_string(list_sort(places), ':') AS id, '{severity}' AS severity, '{kind}' AS kind, len(places) AS shown FROM ({sql})"
+    query(name, found)(partial(lambda build, spark, sf: _named(ck.unique(build(spark, sf))), build))
 
 
 _PAIR = """FROM (SELECT * FROM {wps_values} WHERE ref IS NOT NULL) w JOIN {pqr_values} p ON p.job_id = w.job_id AND p.w = w.w"""
-_LIST = "string_split(replace({0}, ',', ''), ' ')"
 
-_check("check_missing_field", """
-    SELECT job_id, doc_id || ':' AS place, 1 AS shown FROM {wps_values} WHERE filler IS NULL
-    UNION ALL SELECT job_id, doc_id || ':', 1 FROM {wpq_values} WHERE pos IS NULL
-    UNION ALL SELECT job_id, doc_id || ':', 1 FROM {cert_docs} WHERE k >= 5 AND k < 9""",
+
+def _two(wps: str, pqr: str) -> str:
+    return f"[w.doc_id || ':{wps}', p.doc_id || ':{pqr}'] AS places {_PAIR}"
+
+
+_check("check_missing_field", "missing_field", "note", "missing", """
+    SELECT job_id, [doc_id || ':'] AS places FROM {wps_values} WHERE filler IS NULL
+    UNION ALL SELECT job_id, [doc_id || ':'] FROM {wpq_values} WHERE pos IS NULL
+    UNION ALL SELECT job_id, [doc_id || ':'] FROM {cert_docs} WHERE k >= 5 AND k < 9""",
        lambda spark, sf: ck.missing_fields(_docs(spark, sf)))
 
-_check("check_no_reference", """
-    SELECT job_id, doc_id || ':' AS place, 1 AS shown FROM {wps_values} w WHERE ref IS NULL AND job_id IN (SELECT job_id FROM {pqr_docs})""",
+_check("check_no_reference", "wps_no_pqr_ref", "note", "missing", """
+    SELECT job_id, [doc_id || ':'] AS places FROM {wps_values} w WHERE ref IS NULL AND job_id IN (SELECT job_id FROM {pqr_docs})""",
        lambda spark, sf: ck.unreferenced(_docs(spark, sf), ck.job_facts(_docs(spark, sf))))
 
-_check("check_missing_record", """
-    SELECT w.job_id, w.doc_id || ':pqr_refs' AS place, 1 AS shown FROM {wps_values} w LEFT JOIN {pqr_docs} p ON p.job_id = w.job_id AND p.w = w.w WHERE w.ref IS NOT NULL AND p.doc_id IS NULL""",
+_check("check_missing_record", "pqr_missing", "warning", "missing", """
+    SELECT w.job_id, [w.doc_id || ':pqr_refs'] AS places FROM {wps_values} w LEFT JOIN {pqr_docs} p ON p.job_id = w.job_id AND p.w = w.w WHERE w.ref IS NOT NULL AND p.doc_id IS NULL""",
        lambda spark, sf: ck.against_records(ck.supported(_docs(spark, sf)))[0])
 
-_check("check_process", f"""
-    SELECT w.job_id, w.doc_id || ':process' AS place, 2 AS shown {_PAIR}
-    WHERE NOT list_has_all(string_split(p.process, ', '), string_split(w.process, '+'))""",
+_check("check_process", "process_mismatch", "error", "consistency", f"""
+    SELECT w.job_id, {_two('process', 'process')} WHERE NOT list_has_all(string_split(p.process, ', '), string_split(w.process, '+'))""",
        lambda spark, sf: ck.against_records(ck.supported(_docs(spark, sf)))[1])
 
-_check("check_filler", f"SELECT w.job_id, w.doc_id || ':filler' AS place, 2 AS shown {_PAIR} WHERE w.filler <> p.filler",
+_check("check_filler", "filler_mismatch_pqr", "warning", "consistency", f"SELECT w.job_id, {_two('filler', 'filler')} WHERE w.filler <> p.filler",
        lambda spark, sf: ck.against_records(ck.supported(_docs(spark, sf)))[2])
 
-_check("check_base_metal", f"""
-    SELECT w.job_id, w.doc_id || ':base_metal' AS place, 2 AS shown {_PAIR}
+_check("check_base_metal", "base_metal_differs", "warning", "consistency", f"""
+    SELECT w.job_id, {_two('base_metal', 'base_metal')}
     WHERE regexp_replace(upper(w.metal), '[^A-Z0-9]', '', 'g') <> regexp_replace(upper(p.metal), '[^A-Z0-9]', '', 'g')""",
        lambda spark, sf: ck.against_records(ck.supported(_docs(spark, sf)))[3])
 
-_check("check_coupon", f"SELECT w.job_id, w.doc_id || ':thickness_range' AS place, 2 AS shown {_PAIR} WHERE coupon < 38 AND hi > 2 * coupon",
+_check("check_coupon", "thickness_over_2t", "error", "code_rule", f"SELECT w.job_id, {_two('thickness_range', 'test_thickness')} WHERE coupon < 38 AND hi > 2 * coupon",
        lambda spark, sf: ck.against_records(ck.supported(_docs(spark, sf)))[4])
 
-_check("check_consumable", """
-    SELECT c.job_id, c.doc_id || ':classification' AS place, 2 AS shown FROM {cert_docs} c JOIN (SELECT job_id, bool_or(filler = 'E7018') AS e7018 FROM {wps_values} WHERE filler IS NOT NULL GROUP BY job_id) f
-      ON f.job_id = c.job_id WHERE k < 5 OR (k >= 9 AND NOT e7018)""",
+_check("check_consumable", "consumable_mismatch", "error", "consistency", """
+    WITH f AS (SELECT job_id, bool_or(filler = 'E7018') AS e7018, arg_min(filler, doc_id) AS first FROM {wps_values} WHERE filler IS NOT NULL GROUP BY job_id),
+      l AS (SELECT job_id, filler, max(doc_id) AS doc FROM {wps_values} GROUP BY job_id, filler)
+    SELECT c.job_id, [c.doc_id || ':classification', l.doc || ':filler'] AS places FROM {cert_docs} c JOIN f ON f.job_id = c.job_id JOIN l ON l.job_id = f.job_id AND l.filler = f.first
+    WHERE k < 5 OR (k >= 9 AND NOT e7018)""",
        lambda spark, sf: ck.consumables(_docs(spark, sf), ck.job_facts(_docs(spark, sf))))
 
-_check("check_unused_welder", """
-    WITH p AS (SELECT job_id, list_distinct(flatten(list(string_split(process, '+')))) AS used FROM {wps_values} GROUP BY job_id)
-    SELECT q.job_id, q.doc_id || ':process' AS place, 2 AS shown FROM {wpq_values} q JOIN p ON p.job_id = q.job_id WHERE NOT list_has_any(p.used, string_split(q.process, ', '))""",
+_check("check_unused_welder", "welder_process_unused", "warning", "consistency", """
+    WITH p AS (SELECT job_id, list_distinct(flatten(list(string_split(process, '+')))) AS used, min(doc_id) AS first FROM {wps_values} GROUP BY job_id)
+    SELECT q.job_id, [q.doc_id || ':process', p.first || ':process'] AS places FROM {wpq_values} q JOIN p ON p.job_id = q.job_id WHERE NOT list_has_any(p.used, string_split(q.process, ', '))""",
        lambda spark, sf: ck.unused_welders(_docs(spark, sf), ck.job_facts(_docs(spark, sf))))
 
 inputs(
@@ -396,41 +409,93 @@ _GATE = """g AS (SELECT r.*, w.doc_id AS wps_doc, w.lo, w.hi, w.pos AS wps_pos,
         FROM {log_rows} r LEFT JOIN {wps_values} w ON w.job_id = r.job_id AND w.w = r.w AND r.wps IS NOT NULL),
       j AS (SELECT g.job_id, g.doc_id, g.row, count(q.doc_id) AS n_quals, count(q.doc_id) FILTER (len(rp) = 0 OR list_has_any(rp, string_split(q.process, ', '))) AS n_fit,
           min(q.tested) FILTER (len(rp) = 0 OR list_has_any(rp, string_split(q.process, ', '))) AS tested,
+          list(q.doc_id || ':process') FILTER (q.doc_id IS NOT NULL) AS all_processes,
+          list(q.doc_id || CASE WHEN q.pos IS NULL THEN ':' ELSE ':positions' END) FILTER (q.doc_id IS NOT NULL AND (len(rp) = 0 OR list_has_any(rp, string_split(q.process, ', ')))) AS fit_positions,
+          list(q.doc_id || ':test_date') FILTER (q.doc_id IS NOT NULL AND (len(rp) = 0 OR list_has_any(rp, string_split(q.process, ', ')))) AS fit_tests,
           bool_or(q.pos IS NOT NULL) FILTER (len(rp) = 0 OR list_has_any(rp, string_split(q.process, ', '))) AS listed,
           bool_or(CASE g.position WHEN '1G' THEN contains(q.pos, '1G') WHEN 'PC' THEN contains(q.pos, '2G') WHEN '3G' THEN contains(q.pos, 'PF') END)
             FILTER (q.pos IS NOT NULL AND (len(rp) = 0 OR list_has_any(rp, string_split(q.process, ', ')))) AS covered
         FROM g LEFT JOIN {quals} q ON q.job_id = g.job_id AND q.n = g.n GROUP BY g.job_id, g.doc_id, g.row),
-      t AS (SELECT g.*, n_quals, n_fit, tested, listed, covered FROM g JOIN j USING (job_id, doc_id, row))"""
-_AT = "job_id, doc_id || ':row ' || row AS place"
-
-for _i, (_name, _cond, _shown) in enumerate((
-    ("check_log_wps", "wps IS NOT NULL AND wps_doc IS NULL", "1"),
-    ("check_log_welder", "n_quals = 0", "1"),
-    ("check_log_process", "n_quals > 0 AND n_fit = 0", "1 + n_quals"),
-    ("check_log_position", "n_fit > 0 AND position <> '' AND listed AND NOT coalesce(covered, false)", "1 + n_fit"),
-    ("check_log_position_wps", "n_fit > 0 AND position <> '' AND wps_pos IS NOT NULL AND NOT position IN ('1G', 'PC')", "2"),
-    ("check_log_thickness", "n_fit > 0 AND (thickness < lo OR thickness > hi)", "2"),
-    ("check_before_test", "n_fit > 0 AND day < CAST(tested AS DATE)", "1 + n_fit"),
+      t AS (SELECT g.*, n_quals, n_fit, tested, listed, covered, all_processes, fit_positions, fit_tests, [doc_id || ':row ' || row] AS here FROM g JOIN j USING (job_id, doc_id, row))"""
+
+for _i, (_name, _id, _weight, _cond, _shown) in enumerate((
+    ("check_log_wps", "log_wps_missing", "error", "wps IS NOT NULL AND wps_doc IS NULL", "here"),
+    ("check_log_welder", "log_welder_unqualified", "error", "n_quals = 0", "here"),
+    ("check_log_process", "log_welder_wrong_process", "error", "n_quals > 0 AND n_fit = 0", "here || all_processes"),
+    ("check_log_position", "log_position", "warning", "n_fit > 0 AND position <> '' AND listed AND NOT coalesce(covered, false)", "here || fit_positions"),
+    ("check_log_position_wps", "log_position_wps", "warning", "n_fit > 0 AND position <> '' AND wps_pos IS NOT NULL AND NOT position IN ('1G', 'PC')", "here || [wps_doc || ':positions']"),
+    ("check_log_thickness", "log_thickness", "error", "n_fit > 0 AND (thickness < lo OR thickness > hi)", "here || [wps_doc || ':thickness_range']"),
+    ("check_before_test", "log_before_qualification", "error", "n_fit > 0 AND day < CAST(tested AS DATE)", "here || fit_tests"),
 )):
-    _check(_name, f"WITH {_GATE} SELECT {_AT}, CAST({_shown} AS INTEGER) AS shown FROM t WHERE {_cond}",
+    _check(_name, _id, _weight, "consistency", f"WITH {_GATE} SELECT job_id, {_shown} AS places FROM t WHERE {_cond}",
            partial(lambda i, spark, sf: ck.log_rows(_gated(spark, sf))[i], _i))
 
-_check("check_continuity", f"""
+_check("check_continuity", "continuity_lapse", "error", "code_rule", f"""
     WITH {_GATE},
       a AS (SELECT job_id, doc_id, row, n, day, unnest(CASE WHEN len(rp) = 0 THEN ['?'] ELSE rp END) AS pr FROM t WHERE n_fit > 0 AND day IS NOT NULL),
       f AS (SELECT *, min(day) OVER (PARTITION BY job_id, doc_id, n, pr) AS first, max(day) OVER (PARTITION BY job_id, doc_id, n, pr ORDER BY day, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a),
-      q AS (SELECT f.job_id, f.doc_id, f.row, f.pr, f.n, f.day, f.prev, count(*) AS k, coalesce(max(CAST(tested AS DATE)) FILTER (CAST(tested AS DATE) <= f.first), min(CAST(tested AS DATE))) AS anchor
-        FROM f JOIN {{quals}} s ON s.job_id = f.job_id AND s.n = f.n AND (f.pr = '?' OR list_contains(string_split(s.process, ', '), f.pr)) GROUP BY ALL),
+      q AS (SELECT f.job_id, f.doc_id, f.row, f.pr, f.n, f.day, f.prev, list(s.doc_id || ':test_date') AS shown, coalesce(max(CAST(tested AS DATE)) FILTER (CAST(tested AS DATE) <= f.first), min(CAST(tested AS DATE))) AS anchor
+        FROM f JOIN {{quals}} s ON s.job_id = f.job_id AND s.n = f.n AND (f.pr = '?' OR list_contains(string_split(s.process, ', '), f.pr)) GROUP BY f.job_id, f.doc_id, f.row, f.pr, f.n, f.day, f.prev, f.first),
       l AS (SELECT * FROM q WHERE day > greatest(anchor, coalesce(prev, anchor)) + INTERVAL 6 MONTH
         QUALIFY row_number() OVER (PARTITION BY job_id, doc_id, n, pr ORDER BY day, row) = 1)
-    SELECT {_AT}, CAST(1 + k AS INTEGER) AS shown FROM l""",
+    SELECT DISTINCT job_id, [doc_id || ':row ' || row] || shown AS places FROM l""",
        lambda spark, sf: ck.continuity(_gated(spark, sf)))
 
-_check("check_coverage", """
-    SELECT job_id, '' AS place, 0 AS shown FROM (SELECT s_suppkey AS job_id, (SELECT count(*) FROM {wps_docs} w WHERE w.job_id = s_suppkey) AS w, (SELECT count(*) FROM {pqr_docs} p WHERE p.job_id = s_suppkey) AS p,
-      (SELECT count(*) FROM {cert_docs} c WHERE c.job_id = s_suppkey) AS c FROM {supplier}), (VALUES ('p'), ('c'), ('w')) v(kind)
-    WHERE (kind = 'p' AND w > 0 AND p = 0) OR (kind = 'c' AND w > 0 AND c = 0) OR (kind = 'w' AND w = 0)""",
-       lambda spark, sf: _coverage(spark, sf))
+inputs(
+    # a log of every ninth job has no row at all, that of another ninth no header; the headers of the others stand low
+    raw_logs="""
+        SELECT 1000000 + s_suppkey AS doc_id, 1 AS row, 'Weld log' AS a, '' AS b, '' AS c FROM {supplier} WHERE s_suppkey % 9 <> 4 AND s_suppkey % 10 <> 7
+        UNION ALL SELECT 1000000 + s_suppkey, 17 + s_nationkey, 'Joint', 'WPS No.', 'Welder ID' FROM {supplier} WHERE s_suppkey % 9 NOT IN (4, 5) AND s_suppkey % 10 <> 7
+        UNION ALL SELECT 1000000 + s_suppkey, 60, 'J-1', 'WPS-1', 'W-' || s_nationkey FROM {supplier} WHERE s_suppkey % 9 <> 4 AND s_suppkey % 10 <> 7
+        UNION ALL SELECT 1000000 + s_suppkey, 61, 'J-2', 'WPS-1', ' ' FROM {supplier} WHERE s_suppkey % 9 <> 4 AND s_suppkey % 10 <> 7
+        UNION ALL SELECT 1000000 + s_suppkey, 62, ' ', '', ' ' FROM {supplier} WHERE s_suppkey % 9 <> 4 AND s_suppkey % 10 <> 7""",
+)
+
+
+def _raw_logs(spark, sf):
+    logs = given(spark, sf, "job_docs").filter("doc_type = 'weld_log'")
+    rows = given(spark, sf, "raw_logs").select("doc_id", F.col("row").cast("int").alias("row"), F.array("a", "b", "c").alias("cells"))
+    return (*fl.weld_log(rows, logs), logs)
+
+
+@query("unread_logs", """
+    SELECT 1000000 + s_suppkey AS doc_id, CASE WHEN s_suppkey % 9 IN (4, 5) THEN NULL ELSE 'W-' || s_nationkey END AS welder, s_suppkey % 9 IN (4, 5) AS unreadable
+    FROM {supplier} WHERE s_suppkey % 10 <> 7""")
+def unread_logs(spark, sf):
+    """Logs read from raw rows: empty ones and ones without a header are reported, blank rows and rows without a welder left out."""
+    rows, errors, _ = _raw_logs(spark, sf)
+    read = rows.select("doc_id", "welder", F.lit(False).alias("unreadable"))
+    return read.unionByName(errors.select("doc_id", F.lit(None).cast("string").alias("welder"), F.lit(True).alias("unreadable")))
+
+
+def _unreadable(spark, sf):
+    _, errors, logs = _raw_logs(spark, sf)
+    none = spark.createDataFrame([], "job_id bigint, doc_id bigint, key string, value struct<text:string>, page int, locator string, snippet string, method string")
+    docs = logs.withColumn("added_at", F.lit(0)).join(errors, "doc_id", "left")
+    return ck.unreadable_logs(ck.wide(docs, none))
+
+
+_check("check_log_unreadable", "log_unreadable", "warning", "missing", """
+    SELECT s_suppkey AS job_id, [(1000000 + s_suppkey) || ':'] AS places FROM {supplier} WHERE s_suppkey % 9 IN (4, 5) AND s_suppkey % 10 <> 7""", _unreadable)
+
+
+@query("repeated_findings", """
+    SELECT l_suppkey AS job_id, l_returnflag || l_linestatus AS id, l_orderkey AS detail FROM {lineitem}
+    QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_linestatus ORDER BY l_orderkey DESC) = 1""")
+def repeated_findings(spark, sf):
+    """Of findings with one identity and different contents the last counts."""
+    rows = given(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("job_id"), F.concat("l_returnflag", "l_linestatus").alias("id"), F.col("l_orderkey").alias("detail"), F.col("l_orderkey").alias("seq"))
+    return ck.unique(rows).select("job_id", "id", "detail")
+
+
+@query("check_coverage", """
+    SELECT job_id, kind || ':' AS id, 'note' AS severity, 'missing' AS kind, 0 AS shown FROM (SELECT s_suppkey AS job_id, (SELECT count(*) FROM {wps_docs} w WHERE w.job_id = s_suppkey) AS w,
+      (SELECT count(*) FROM {pqr_docs} p WHERE p.job_id = s_suppkey) AS p, (SELECT count(*) FROM {cert_docs} c WHERE c.job_id = s_suppkey) AS c FROM {supplier}),
+      (VALUES ('no_pqr'), ('no_consumable'), ('no_wps'), ('no_log')) v(kind)
+    WHERE (kind = 'no_pqr' AND w > 0 AND p = 0) OR (kind = 'no_consumable' AND w > 0 AND c = 0) OR (kind = 'no_wps' AND w = 0) OR (kind = 'no_log' AND w > 0 AND job_id % 10 = 7)""")
+def check_coverage(spark, sf):
+    return _named(ck.unique(_coverage(spark, sf)))
 
 
 def _coverage(spark, sf):
@@ -448,34 +513,28 @@ def log_gate(spark, sf):
     return rows.groupBy("gate", "job_id").agg(F.count(F.lit(1)).alias("rows"), F.count("proc").alias("with_wps"))
 
 
-@query("job_check_report")
+_ALL_FINDINGS = " UNION ALL ".join(f"SELECT *, '{check}' AS check_name FROM ({ORACLES[name]})" for check, name in CHECKS.items()) + (
+    f" UNION ALL SELECT *, replace(id, ':', '') FROM ({ORACLES['check_coverage']})")
+
+
+@query("job_check_report", f"SELECT job_id, id, severity, kind, shown, check_name FROM ({_ALL_FINDINGS})")
 def job_check_report(spark, sf):
     """All 22 checks over all jobs, in report order."""
     found = ck.cross_check(*_job_tables(spark, sf), durable=durable)
-    return ck.in_report_order(found).select("job_id", "severity", "check", "title", "detail", "id", F.size("evidence").alias("shown"))
-
-
-_NAMES = {
-    "check_missing_field": "missing_field", "check_no_reference": "wps_no_pqr_ref", "check_missing_record": "pqr_missing", "check_process": "process_mismatch",
-    "check_filler": "filler_mismatch_pqr", "check_base_metal": "base_metal_differs", "check_coupon": "thickness_over_2t", "check_consumable": "consumable_mismatch",
-    "check_unused_welder": "welder_process_unused", "check_log_wps": "log_wps_missing", "check_log_welder": "log_welder_unqualified",
-    "check_log_process": "log_welder_wrong_process", "check_log_position": "log_position", "check_log_position_wps": "log_position_wps",
-    "check_log_thickness": "log_thickness", "check_before_test": "log_before_qualification", "check_continuity": "continuity_lapse", "check_coverage": "coverage",
-}
+    return ck.in_report_order(found).select("job_id", "id", "severity", "kind", F.size("evidence").alias("shown"), F.col("check").alias("check_name"))
 
 
-@query("findings_rollup", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT job_id, '{check}' AS check_name, count(*) AS findings FROM ({ORACLES[key]}) GROUP BY job_id" for key, check in _NAMES.items()) + ")")
+@query("findings_rollup", f"SELECT job_id, check_name, severity, count(*) AS findings FROM ({_ALL_FINDINGS}) GROUP BY ALL")
 def findings_rollup(spark, sf):
-    """The whole report counted by job and check, the four coverage notes together."""
+    """The whole report counted by job, check and weight."""
     found = ck.cross_check(*_job_tables(spark, sf), durable=durable)
-    name = F.when(F.col("check").startswith("no_"), "coverage").otherwise(F.col("check"))
-    return found.groupBy("job_id", name.alias("check_name")).agg(F.count(F.lit(1)).alias("findings"))
+    return found.groupBy("job_id", F.col("check").alias("check_name"), "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
 @query("job_types", """
     SELECT s_suppkey AS job_id, (SELECT count(*) FROM {wps_docs} w WHERE w.job_id = s_suppkey) AS wps, (SELECT count(*) FROM {pqr_docs} w WHERE w.job_id = s_suppkey) AS pqr,
-      (SELECT count(*) FROM {wpq_docs} w WHERE w.job_id = s_suppkey) AS wpq, (SELECT count(*) FROM {cert_docs} w WHERE w.job_id = s_suppkey) AS consumable, 0 AS other,
+      (SELECT count(*) FROM {wpq_docs} w WHERE w.job_id = s_suppkey) AS wpq, (SELECT count(*) FROM {cert_docs} w WHERE w.job_id = s_suppkey AND k % 3 > 0) AS consumable, 0 AS other,
+      (SELECT count(*) FROM {cert_docs} w WHERE w.job_id = s_suppkey AND k % 3 = 0) AS pending,
       coalesce(f.error, 0) AS error, coalesce(f.warning, 0) AS warning, 0 AS note
     FROM {supplier} LEFT JOIN (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS error, count(*) FILTER (l_returnflag = 'N') AS warning FROM {lineitem} GROUP BY 1) f ON l_suppkey = s_suppkey""")
 def job_types(spark, sf):
@@ -483,7 +542,9 @@ def job_types(spark, sf):
     severity = F.when(F.col("l_returnflag") == "A", "error").when(F.col("l_returnflag") == "N", "warning")
     found = given(spark, sf, "lineitem").select(F.col("l_suppkey").alias("job_id"), severity.alias("severity"))
     docs, _, _ = _job_tables(spark, sf)
-    return ck.summary(docs, found).select("job_id", "wps", "pqr", "wpq", "consumable", "other", "error", "warning", "note")
+    late = given(spark, sf, "cert_docs").filter("k % 3 = 0").select("doc_id", F.lit("queued").alias("late"))
+    docs = docs.join(late, "doc_id", "left").withColumn("status", F.coalesce("late", "status")).drop("late")
+    return ck.summary(docs, found).select("job_id", "wps", "pqr", "wpq", "consumable", "other", "pending", "error", "warning", "note")
 
 
 @query("field_views", """

@@ -20,7 +20,7 @@ SEVERITIES = ("error", "warning", "note")
 CONTINUITY_MONTHS = 6
 COUPON_LIMIT = 38.0
 
-# Rules a finding may rest on.
+# The names of the checks, and the titles, details and rules of their findings below, are part of the report.
 RULE_2T = (
     "ASME IX QW-451.1 (groove welds): a coupon under 38 mm (1½ in) qualifies up to 2T. "
     "To be verified against the code and edition of this job."

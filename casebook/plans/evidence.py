@@ -152,6 +152,7 @@ def prepare(
 
 # -- spreadsheets ------------------------------------------------------------------
 
+# Fixed value: a record line of a spreadsheet passage.
 RECORD = r"(?m)^(?:Sheet (.*?) — )?Row ([0-9]+) — (.*)$"
 # Cell texts that mark a summary row.
 SUMMARY_VALUES = ("total", "grand total", "subtotal", "sub total", "overall total", "sum")

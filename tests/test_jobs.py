@@ -113,26 +113,26 @@ def one(spark, column, text):
 
 
 @pytest.mark.parametrize("reader, text, want", [
-    (ps.processes, "GTAW root + SMAW fill", ["GTAW", "SMAW"]),
-    (ps.processes, "Process 135 (MAG)", ["GMAW"]),
-    (ps.classifications, "AWS A5.1 E7018-1 H4R, 3.15 mm", ["E7018-1"]),
-    (ps.classifications, "ER70S-6 wire with E71T-1C and E308L-16", ["ER70S-6", "E71T-1C", "E308L-16"]),
-    (ps.classifications, "IS 2062 E250 BR", []),
-    (ps.positions, "1G (PA) and 2G (PC)", ["1G", "PA", "2G", "PC"]),
-    (ps.celsius, "Min 50 °C", 50.0),
-    (ps.celsius, "200 °F", 93.3),
-    (ps.references, "Supported by PQR-017 and PQR 021", ["PQR-017", "PQR-021"]),
-    (ps.quantities, "3/16 and 1 1/2 and 4", [0.1875, 1.5, 4.0]),
-    (ps.identifier, "  W-14  R. Kumar", "W-14"),
-    (ps.millimetres, '1/2 in', 12.7),
+    (ps.processes, "first 141, then tig again, capped by fcaw", ["GTAW", "FCAW"]),
+    (ps.processes, "no. 1111 is not a process, 111 is", ["SMAW"]),
+    (ps.classifications, "e 6010 root, E6010 again, E8018-G cap", ["E6010", "E8018-G"]),
+    (ps.classifications, "E316L-17 or ER316S-3 or E81T1-Ni1, E7018", ["ER316S-3", "E81T1-NI1", "E316L-17", "E7018"]),
+    (ps.classifications, "steel E275 and E3", []),
+    (ps.positions, "tested in 5G, also PF and 2fr", ["5G", "PF", "2FR"]),
+    (ps.celsius, "not under 15.5 C", 15.5),
+    (ps.celsius, "-40 F at night", -40.0),
+    (ps.references, "see pqr no. A-12, PQR#B/7 and PQR-A-12", ["PQR-A-12", "PQR-B/7"]),
+    (ps.quantities, "2 1/4 of 7/8, then 16.5", [2.25, 0.875, 16.5]),
+    (ps.identifier, " : B/22  shift two", "B/22"),
+    (ps.millimetres, '3/4"', 19.05),
 ])
 def test_readers(spark, reader, text, want):
     assert one(spark, reader, text) == want
 
 
 @pytest.mark.parametrize("text, want", [
-    ("12/03/2025", "2025-03-12"), ("12 Mar 2025", "2025-03-12"), ("31/02/2025", None), ("March 5, 2025", "2025-03-05"),
-    ("2025-03-12 00:00:00", "2025-03-12"), ("1st January 2024", "2024-01-01"), ("none", None),
+    ("07.11.2019", "2019-11-07"), ("3-Aug-2021", "2021-08-03"), ("30/02/2020 or 1 May 2020", None), ("October 9 2018", "2018-10-09"),
+    ("on 2022-6-1 at noon", "2022-06-01"), ("22nd September 2023", "2023-09-22"), ("soon", None),
 ])
 def test_dates(spark, text, want):
     got = one(spark, ps.day, text)
@@ -140,7 +140,7 @@ def test_dates(spark, text, want):
 
 
 @pytest.mark.parametrize("text, want", [
-    ("10 mm to 25 mm", (10.0, 25.0)), ("3/16 in - 1 in", (4.76, 25.4)), ("max 30 mm", (None, 30.0)), ("12 mm", (12.0, None)),
+    ("18 – 6 mm", (6.0, 18.0)), ("1/8 in to 1/2 in", (3.18, 12.7)), ("up to 44 mm", (None, 44.0)), ("5.5 mm", (5.5, None)),
 ])
 def test_ranges(spark, text, want):
     assert tuple(one(spark, ps.range_mm, text)) == want
@@ -155,40 +155,62 @@ def test_table_label_wins_and_heading_is_no_label(spark):
     spec = fields.field_spec(spark)
     docs = spark.createDataFrame([(1, "wpq"), (2, "wps")], "doc_id bigint, doc_type string")
     facts = spark.createDataFrame(
-        [(1, 1, 1, "t row 5", "Test position", "2G"), (1, 2, 1, "t row 6", "Positions qualified", "1G, 2G")],
+        [(1, 1, 1, "t row 5", "Position of the test", "4G"), (1, 2, 1, "t row 6", "Positions qualified", "PE, 4F")],
         "doc_id bigint, fact_id bigint, page int, locator string, label string, value string")
     got = {r.key: r.value.texts for r in fields.from_facts(docs, facts, spec).collect()}
-    assert got["positions"] == ["1G", "2G"]
+    assert got["positions"] == ["PE", "4F"]
     chunks = spark.createDataFrame(
-        [(1, 0, "Welder name: R. Kumar\nWelder ID: W-14\nProcess: SMAW", 1),
-         (2, 0, "WPS-SMAW-017 - Welding Procedure Specification\nScope: butt welds", None)],
+        [(1, 0, "Crew = day shift\n  Welder_ID no. : B-7\nWelding process – 141\nWelder ID: B-9", 1),
+         (2, 0, "WPS-TIG-3A2 - Welding Procedure Specification\nFor: pipe", None)],
         "doc_id bigint, chunk_index int, content string, page_start int")
     lines = {(r.doc_id, r.key): r for r in fields.from_lines(docs, chunks, spec).collect()}
-    assert lines[(1, "welder_id")].value.text == "W-14" and lines[(1, "welder_id")].locator == "p. 1"
+    assert lines[(1, "welder_id")].value.text == "B-7" and lines[(1, "welder_id")].locator == "p. 1"
+    assert lines[(1, "welder_id")].snippet == "Welder_ID no. : B-7" and lines[(1, "process")].value.texts == ["GTAW"]
     assert (2, "number") not in lines
     anywhere = {(r.doc_id, r.key): r for r in fields.from_anywhere(docs, chunks, spec).collect()}
-    assert anywhere[(2, "number")].value.text == "WPS-SMAW-017"
+    assert anywhere[(2, "number")].value.text == "WPS-TIG-3A2"
 
 
 def test_proposals_must_be_in_the_document(spark):
     docs = spark.createDataFrame([(1, "wpq")], "doc_id bigint, doc_type string")
-    chunks = spark.createDataFrame([(1, 0, "Certificate for welder W-14, tested 20/01/2025.", 2)],
+    chunks = spark.createDataFrame([(1, 0, "Passed by stamp B-7 on 03/08/2021.", 2)],
                                    "doc_id bigint, chunk_index int, content string, page_start int")
-    asked = spark.createDataFrame([(1, "welder_id", "w-14"), (1, "test_date", "2025-01-20")], "doc_id bigint, key string, raw string")
+    asked = spark.createDataFrame([(1, "welder_id", "b-7"), (1, "test_date", "2021-08-03")], "doc_id bigint, key string, raw string")
     got = fields.verified(docs, chunks, fields.field_spec(spark), asked).collect()
-    assert [(r.key, r.value.text, r.method, r.page) for r in got] == [("welder_id", "w-14", "model", 2)]
+    assert [(r.key, r.value.text, r.method, r.page) for r in got] == [("welder_id", "b-7", "model", 2)]
 
 
 def test_log_without_header_is_reported(spark):
     rows = spark.createDataFrame([(9, 1, ["a", "b"]), (9, 2, ["1", "2"])], "doc_id bigint, row int, cells array<string>")
     log, errors = fields.weld_log(rows)
     assert log.count() == 0 and [r.doc_id for r in errors.collect()] == [9]
+    logs = spark.createDataFrame([(9,), (10,)], "doc_id bigint")
+    assert sorted(r.doc_id for r in fields.weld_log(rows, logs)[1].collect()) == [9, 10]
+
+
+def test_log_header_may_stand_low(spark):
+    above = [(1, i, [f"note {i}"]) for i in range(1, 40)]
+    rows = spark.createDataFrame([*above, (1, 40, ["Welder ID", "WPS No."]), (1, 41, ["B-7", "P-1"]), (1, 42, ["", ""]), (1, 43, ["", "P-2"])],
+                                 "doc_id bigint, row int, cells array<string>")
+    log, errors = fields.weld_log(rows)
+    assert [(r.row, r.welder, r.wps) for r in log.collect()] == [(41, "B-7", "P-1")] and errors.count() == 0
+    assert fields.weld_log(rows, header_rows=15)[1].count() == 1
+
+
+def test_attachments_are_judged(spark):
+    jobs = spark.createDataFrame([("J", 1)], "job_id string, library bigint")
+    asked = spark.createDataFrame([("J", 1, None), ("J", 2, None), ("J", 3, None), ("X", 1, None), ("J", 4, "wps")], "job_id string, doc_id bigint, doc_type string")
+    docs = spark.createDataFrame([(1, "scan.pdf", 1), (2, "scan.pdf", 2), (4, "scan.pdf", 1)], "doc_id bigint, filename string, library bigint")
+    chunks = spark.createDataFrame([(1, 0, "x " * 2000), (1, 1, "end. Procedure qualification record"), (1, 2, "inspection certificate")], "doc_id bigint, chunk_index int, content string")
+    kept, refused = fields.attach(jobs, asked, docs, chunks)
+    assert sorted((r.doc_id, r.doc_type) for r in kept.collect()) == [(1, "pqr"), (4, "wps")]
+    assert sorted((r.job_id, r.doc_id, r.reason) for r in refused.collect()) == [("J", 2, "other library"), ("J", 3, "unknown document"), ("X", 1, "unknown job")]
 
 
 @pytest.mark.parametrize("name, head, want", [
-    ("Sample_PQR-017.pdf", "", "pqr"), ("WeldLog_JOB-118.xlsx", "", "weld_log"),
-    ("scan_0042.pdf", "WELDER PERFORMANCE QUALIFICATION RECORD", "wpq"),
-    ("cert.pdf", "Inspection certificate EN 10204 3.1", "consumable"), ("x.pdf", "", "other"),
+    ("old_pqr_copy.pdf", "", "pqr"), ("joints 2021.csv", "", "weld_log"), ("joints 2021.pdf", "", "other"),
+    ("page7.pdf", "a " * 900 + "welder qualification of the day", "wpq"),
+    ("page8.pdf", "This Certificate of Conformity covers", "consumable"), ("y.pdf", "", "other"),
 ])
 def test_type_guess(spark, name, head, want):
     row = spark.createDataFrame([(name, head)], "n string, h string").select(ps.document_type(F.col("n"), F.col("h")).alias("v")).first()
