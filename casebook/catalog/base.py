@@ -70,8 +70,9 @@ def checked(sql: str) -> str:
         return plain(sql)
     body = ",\n".join(f"{n} AS ({plain(INPUTS[n])})" for n in names)
     text = plain(sql).strip()
-    if text.upper().startswith("WITH "):
-        return f"WITH {body},\n{text[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(opening):
+            return f"{opening}{body},\n{text[len(opening):]}"
     return f"WITH {body}\n{text}"
 
 

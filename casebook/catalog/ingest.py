@@ -152,14 +152,54 @@ def extraction_cache(spark, sf):
     return rows.select("doc_id", files.needs_extraction(rows, 2).alias("redo"))
 
 
-@query("html_blocks")
+_TOKENS = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]{{1,6}}|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]'))"
+
+
+def passages_sql(blocks: str) -> str:
+    """CTEs down to ``pk`` (doc_id, chunk_index, content_md5, token_count, section): passages of the clean lines ``blocks``
+    (doc_id, ord, line, section), 420 tokens at most, 60 repeated. Part sums stand in lists, so the next cut is a list search."""
+    words = _TOKENS.format("x")
+    return f"""
+      w AS MATERIALIZED (SELECT doc_id, ord, section, string_split(line, ' ') AS ws, {_TOKENS.format('line')} AS whole FROM ({blocks})),
+      s AS MATERIALIZED (SELECT doc_id, ord, section, ws, list_transform(range(len(ws) + 1), lambda i: coalesce(list_sum(list_transform(ws[1:i], lambda x: {words})), 0)) AS sums FROM w WHERE whole > 420),
+      cut AS (SELECT doc_id, ord, 0 AS a, greatest(1, len(list_filter(sums, lambda x: x <= 420)) - 1) AS e, 0 AS piece FROM s
+        UNION ALL SELECT c.doc_id, c.ord, nx, greatest(nx + 1, len(list_filter(s.sums, lambda x: x <= s.sums[nx + 1] + 420)) - 1), piece + 1
+        FROM (SELECT c.*, greatest(c.a + 1, list_max(list_filter(range(c.a, c.e + 1), lambda k: k = c.a OR s.sums[c.e + 1] - s.sums[k + 1] >= 60))) AS nx
+          FROM cut c JOIN s USING (doc_id, ord) WHERE c.e < len(s.ws)) c JOIN s USING (doc_id, ord)),
+      parts AS (SELECT doc_id, ord, 0 AS piece, array_to_string(ws, ' ') AS t, whole AS n, section FROM w WHERE whole <= 420
+        UNION ALL SELECT doc_id, ord, piece, array_to_string(ws[a + 1:e], ' '), sums[e + 1] - sums[a + 1], section FROM cut JOIN s USING (doc_id, ord)),
+      d AS (SELECT doc_id, list(t ORDER BY ord, piece) AS ts, list(n ORDER BY ord, piece) AS ns, list(section ORDER BY ord, piece) AS se FROM parts GROUP BY doc_id),
+      p AS MATERIALIZED (SELECT doc_id, ts, se, list_transform(range(len(ns) + 1), lambda i: coalesce(list_sum(ns[1:i]), 0)) AS sums FROM d),
+      run AS (SELECT doc_id, 0 AS a, greatest(1, len(list_filter(sums, lambda x: x <= 420)) - 1) AS e, 0 AS i FROM p
+        UNION ALL SELECT r.doc_id, nx, greatest(nx + 1, len(list_filter(p.sums, lambda x: x <= p.sums[nx + 1] + 420)) - 1), i + 1 FROM (
+          SELECT r.*, list_min(list_filter(range(back, r.e + 1), lambda k: k = r.e OR p.sums[r.e + 2] - p.sums[k + 1] <= 420)) AS nx FROM (
+            SELECT r.*, list_max(list_filter(range(r.a, r.e + 1), lambda k: NOT (k > r.a AND p.sums[r.e + 1] - p.sums[k + 1] < 60 AND p.sums[r.e + 1] - p.sums[k] <= 120))) AS back
+            FROM run r JOIN p USING (doc_id) WHERE r.e < len(p.ts)) r JOIN p USING (doc_id)) r JOIN p USING (doc_id)),
+      pk AS (SELECT doc_id, i AS chunk_index, md5(array_to_string(ts[a + 1:e], chr(10) || chr(10))) AS content_md5, CAST(sums[e + 1] - sums[a + 1] AS INTEGER) AS token_count,
+          CASE WHEN list_contains(se[a + 1:e], 'Heading') THEN 'Heading' ELSE '' END AS section FROM run JOIN p USING (doc_id))"""
+
+
+# Blocks of a page: its tags are run through a stack, an open element gets all text until it is closed.
+_HTML = r"""
+      tk AS (SELECT page_id, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>|[^<]+') AS ts FROM {pages})),
+      ty AS MATERIALIZED (SELECT page_id, i, t, lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, CASE WHEN t NOT LIKE '<%' THEN 'text' WHEN regexp_matches(t, '^<(!|script|style)') OR t LIKE '%/>' THEN 'skip'
+          WHEN t LIKE '</%' THEN 'close' WHEN regexp_matches(t, '^<(br|meta|img|hr|link|input)\b') THEN 'skip' ELSE 'open' END AS kind FROM tk),
+      st AS (SELECT page_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(tag VARCHAR, id BIGINT)[]) AS open FROM {pages}
+        UNION ALL SELECT y.page_id, y.i, CASE kind WHEN 'open' THEN list_append(s.open, {'tag': y.tag, 'id': y.i})
+            WHEN 'close' THEN s.open[1:coalesce(list_max(list_filter(range(1, len(s.open) + 1), lambda k: s.open[k].tag = y.tag)) - 1, len(s.open))] ELSE s.open END
+          FROM st s JOIN ty y ON y.page_id = s.page_id AND y.i = s.i + 1),
+      tx AS (SELECT s.page_id, s.i, regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS t, s.open FROM st s JOIN ty y ON y.page_id = s.page_id AND y.i = s.i
+        WHERE kind = 'text' AND len(list_filter(s.open, lambda o: o.tag IN ('script', 'style', 'nav', 'footer'))) = 0),
+      ht AS (SELECT page_id, o.id AS id, any_value(o.tag) AS tag, string_agg(t, ' ' ORDER BY i) AS text FROM (SELECT page_id, i, t, unnest(list_filter(open, lambda o: o.tag IN ('h1', 'h2', 'h3', 'p', 'li', 'td', 'th'))) AS o FROM tx WHERE t <> '') GROUP BY page_id, o.id),
+      hb AS MATERIALIZED (SELECT page_id AS doc_id, row_number() OVER (PARTITION BY page_id ORDER BY id) - 1 AS ord, text, CASE WHEN tag LIKE 'h%' THEN 'Heading' ELSE '' END AS section FROM ht)"""
+
+
+@query("html_blocks", f"WITH RECURSIVE {_HTML} SELECT doc_id, ord, text, section FROM hb")
 def html_blocks(spark, sf):
-    return blocks.html(given(spark, sf, "pages"))
+    return blocks.html(given(spark, sf, "pages")).select("doc_id", "ord", "text", "section")
 
 
-@query("html_headings", """
-    SELECT page_id, replace(replace(replace(replace(trim(h), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text
-    FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS h FROM {pages}) WHERE trim(h) <> ''""")
+@query("html_headings", f"WITH RECURSIVE {_HTML} SELECT doc_id AS page_id, text FROM hb WHERE section = 'Heading'")
 def html_headings(spark, sf):
     found = blocks.html(given(spark, sf, "pages")).filter("section = 'Heading'")
     return found.select(F.col("doc_id").alias("page_id"), "text")
@@ -266,17 +306,23 @@ def chunk_provenance(spark, sf):
     return chunking.provenance(rows).select("chunk_id", "page_start", "page_end", "section", F.md5("content").alias("content_md5"))
 
 
-@query("chunks")
-def chunks(spark, sf):
-    packed = chunking.chunk_texts(given(spark, sf, "documents"))
-    return packed.withColumn("chunk_id", chunking.chunk_id())
-
-
 _LINES = """SELECT doc_id, source, ord, regexp_replace(trim(line), '[\\s\\p{Z}]+', ' ', 'g') AS line FROM (
       SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM {documents})
     WHERE trim(line) <> ''"""
 
 
+def _compared(packed):
+    return packed.select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), "token_count", "section")
+
+
+_CLEAN = _LINES.replace("regexp_replace", "'' AS section, regexp_replace", 1)
+
+
+@query("chunks", "WITH RECURSIVE " + passages_sql(_CLEAN) + " SELECT * FROM pk")
+def chunks(spark, sf):
+    return _compared(chunking.chunk_texts(given(spark, sf, "documents")))
+
+
 @query("chunks_without_overlap", f"""
     SELECT doc_id, md5(string_agg(line, ' ' ORDER BY ord)) AS content_md5 FROM ({_LINES}) GROUP BY doc_id""")
 def chunks_without_overlap(spark, sf):
@@ -308,9 +354,12 @@ def _rejoined(packed):
     return packed.groupBy("doc_id").agg(F.md5(text).alias("content_md5"))
 
 
-@query("html_chunks")
+_PAGE_LINES = "SELECT doc_id, ord, section, trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) AS line FROM hb"
+
+
+@query("html_chunks", f"WITH RECURSIVE {_HTML}, " + passages_sql(_PAGE_LINES) + " SELECT * FROM pk")
 def html_chunks(spark, sf):
-    return chunking.chunk_blocks(blocks.html(given(spark, sf, "pages")))
+    return _compared(chunking.chunk_blocks(blocks.html(given(spark, sf, "pages"))))
 
 
 @query("hashed_vectors", """
