@@ -12,7 +12,8 @@ of least hash, so equal windows meet wherever they stand. Consecutive windows wi
    smallest doc_id are marked.
 4. Each slice collects what was found for its fragments and takes the covered bytes out.
 
-A common passage counts once for each slice and shard before it moves, and is compared as a fragment, not as pairs of documents.
+A common passage counts once for each slice before it moves, and is compared as a fragment, not as pairs of documents. A short
+common string inside many different passages sends two fragments of each slice to its shard, the others by their own hash.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ GRAM = 16
 SLICE_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20  # of text whose fragments meet in one shard
 SORT_BYTES = 4 << 20
+HOT = 4  # fragments of one anchor in a slice from which on they do not all go to the anchor's shard
 PART_BYTES = 1 << 20  # of a slice worked on at once
 LAST = np.iinfo(np.int64).max
 
@@ -161,8 +163,23 @@ def written(documents: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, "slice string, bytes long"), "slice-names")
 
 
+def _hot(gram: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries belong to an anchor with more than ``HOT`` of them, and the places of the first and last of each such anchor."""
+    order = np.lexsort((docs, gram))
+    starts = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])[: len(order)])
+    sizes = np.diff(np.append(starts, len(order)))
+    hot = np.zeros(len(gram), bool)
+    hot[order] = np.repeat(sizes > HOT, sizes)
+    many = sizes > HOT
+    return hot, order[np.concatenate([starts[many], (starts + sizes - 1)[many]])]
+
+
 def sent(names: DataFrame, shards: int, length: int) -> DataFrame:
-    """``shard, slice, gram, hash, doc``: each distinct fragment of a slice with its smallest doc_id there, in the shard of its anchor."""
+    """``shard, slice, gram, hash, doc``: each distinct fragment of a slice with its smallest doc_id there, in the shard of its anchor.
+
+    An anchor that many fragments of a slice share is open whatever other slices hold. Its fragments only have to meet their
+    equals, so they are spread by their own hash (shards from ``shards`` on), and two of them tell the anchor's shard.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,6 +189,13 @@ def sent(names: DataFrame, shards: int, length: int) -> DataFrame:
                 mine = mine[np.unique(found.hash[mine], return_index=True)[1]]
                 mixed = (found.gram[mine] ^ (found.gram[mine] >> np.uint64(31))) * _C
                 shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
+                hot, ends = _hot(found.gram[mine], docs[mine])
+                # A hot anchor's fragments go by their own hash to a second set of shards, its first and last one to its shard too.
+                spread = (found.hash[mine] ^ (found.hash[mine] >> np.uint64(31))) * _C
+                second = ((spread >> np.uint64(33)) % np.uint64(shards)).astype(np.int32) + shards
+                mixed = np.concatenate([np.where(hot, spread, mixed), mixed[ends]])
+                shard = np.concatenate([np.where(hot, second, shard), shard[ends]])
+                mine = np.concatenate([mine, mine[ends]])
                 order = np.lexsort((docs[mine], shard))
                 mine, shard, mixed = mine[order], shard[order], mixed[order]
                 keys = _first(shard)
@@ -181,8 +205,12 @@ def sent(names: DataFrame, shards: int, length: int) -> DataFrame:
     return names.select("slice").mapInArrow(run, "shard int, slice string, gram array<int>, hash array<long>, doc array<long>")
 
 
-def _decide(table: pa.Table) -> pa.Table:
-    """For each slice the fragments that it must hear of: their first document, and whether they are open."""
+def _decide(table: pa.Table, shards: int) -> pa.Table:
+    """For each slice the fragments that it must hear of: their first document, and whether they are open.
+
+    In the shards of hot anchors all are: equal fragments of slices in which the anchor is not hot are met when sorting.
+    """
+    hot = len(table) > 0 and table.column("shard")[0].as_py() >= shards
     names = table.column("slice").to_pylist()
     gram, row = _lists(table, "gram")
     (hash_, _), (doc, _) = _lists(table, "hash"), _lists(table, "doc")
@@ -196,7 +224,7 @@ def _decide(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
     low, high = (f.reduceat(first, starts) for f in (np.minimum, np.maximum)) if len(starts) else (first, first)
     several = np.diff(np.append(starts, len(owner))) > 1
-    open_ = (several & (low != high))[owner]
+    open_ = (several & (low != high) | hot)[owner]
     tell = np.flatnonzero((doc > first[fragment]) | open_[fragment])
     tell = tell[np.argsort(row[tell], kind="stable")]
     opened = open_[fragment[tell]] & (doc[tell] == first[fragment[tell]])
@@ -368,7 +396,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, shard_bytes: int
     tasks, shards = max(1, -(-n_slices // 4)), max(1, -(-(n_bytes or 0) // shard_bytes))
     names = names.repartition(tasks, "slice")
     met = sent(names, shards, length).repartition(shards, "shard")
-    decided = met.groupBy("shard").applyInArrow(lambda t: _decide(t), "slice string, hash array<long>, first array<long>, open array<boolean>")
+    decided = met.groupBy("shard").applyInArrow(lambda t: _decide(t, shards), "slice string, hash array<long>, first array<long>, open array<boolean>")
     decided = stored(decided, "fragments-decided")
     n_open = decided.agg(F.sum(F.expr("size(filter(open, x -> x))"))).first()[0] or 0
     sorts = max(1, -(-n_open * 2 * length // (4 * sort_bytes)))

@@ -54,15 +54,31 @@ def found(frame, **options):
     return sorted(map(tuple, rows.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()), key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 20_000, "sort_bytes": 2000, "queue_bytes": 1 << 14}, {"length": 24}])
-def test_against_brute_force(spark, options):
-    rows = sample()
+@pytest.mark.parametrize("options,hot", [({}, 4), ({"shard_bytes": 20_000, "sort_bytes": 2000, "queue_bytes": 1 << 14}, 4), ({"length": 24}, 1), ({"shard_bytes": 30_000}, 0), ({}, 2)])
+def test_against_brute_force(spark, monkeypatch, options, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
+    rows = sample(seed=hot + 1)
     frame = clash(docs(spark, [t for _, t in rows], [d for d, _ in rows]), "slice", "hash", "doc", "kept", "shard", "first")
     want = brute(rows, options.get("length", 50))
     assert found(frame, **options) == want
     assert sum(r[2] for r in want) > 1000
 
 
+def test_hot_anchor_in_some_slices(spark, monkeypatch):
+    """Few rows to a slice: an anchor is hot in some slices only, and equal fragments meet all the same."""
+    monkeypatch.setattr(spans, "HOT", 1)
+    monkeypatch.setattr(spans, "SLICE_BYTES", 1500)
+    rng = random.Random(3)
+    phrase = "Released under the usual terms."
+    rows = []
+    for i in range(90):
+        tail = rng.choice([f"{rng.random()} {rng.random()} {rng.random()}", "a very usual tail that many of them have in common, more or less"])
+        head = rng.choice([f"{rng.random()} {rng.random()} {rng.random()}", "a very usual head that many of them have in common, more or less"])
+        rows.append((i, head + phrase + tail))
+    rng.shuffle(rows)
+    assert found(docs(spark, [t for _, t in rows], [d for d, _ in rows])) == brute(rows)
+
+
 def test_rows_keep_their_columns_and_whole_characters(spark):
     text = "漢" * 30
     frame = docs(spark, [text, "é" + text[:-1] + "z", "own"])
