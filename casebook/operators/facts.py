@@ -54,7 +54,7 @@ def table_facts(rows: DataFrame, block: int = 10_000) -> DataFrame:
 
 
 def match_facts(
-    questions: DataFrame, facts: DataFrame, scope: Column | None = None, carry: list[str] | None = None, k: int = FACT_LIMIT
+    questions: DataFrame, facts: DataFrame, scoped: bool = False, k: int = FACT_LIMIT
 ) -> DataFrame:
     """Facts whose label shares the most words with the question, the best tier only, first k.
 
@@ -62,14 +62,12 @@ def match_facts(
     (overlap, fact) hold the first k of the best tier, so one bounded list per question is enough.
     """
     asked = questions.withColumn("terms", tx.content_tokens(F.col("text"))).drop("text")
-    best = best_by_words(asked, facts, "fact_id", tx.content_tokens(F.col("label")), k, scope, carry)
+    best = best_by_words(asked, facts, "fact_id", tx.content_tokens(F.col("label")), k, scoped)
     tier = F.max("score").over(Window.partitionBy("question_id"))
     return best.withColumn("_tier", tier).filter("score = _tier").drop("_tier")
 
 
-def best_figures(
-    requests: DataFrame, figures: DataFrame, scope: Column | None = None, carry: list[str] | None = None
-) -> DataFrame:
+def best_figures(requests: DataFrame, figures: DataFrame, scoped: bool = False) -> DataFrame:
     """The figure whose caption covers a request, when it covers enough of it.
 
     ``figures``: figure_id, created_at, caption. Ties go to the oldest document, then the figure id.
@@ -77,12 +75,12 @@ def best_figures(
     terms = tx.content_tokens(F.col("text"), tx.DIAGRAM_WORDS)
     asked = requests.withColumn("terms", terms).drop("text")
     words = tx.content_tokens(F.col("caption"), tx.DIAGRAM_WORDS)
-    best = best_by_words(asked, figures, "figure_id", words, 1, scope, carry, ["created_at"])
+    best = best_by_words(asked, figures, "figure_id", words, 1, scoped, ["created_at"])
     needed = requests.select("question_id", F.least(F.lit(FIGURE_OVERLAP), F.size(terms)).alias("_need"))
     return best.join(needed, "question_id").filter("score >= _need").drop("_need")
 
 
-def best_filename(questions: DataFrame, documents: DataFrame, scope: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+def best_filename(questions: DataFrame, documents: DataFrame, scoped: bool = False) -> DataFrame:
     """The document whose file name shares most terms with the question."""
     asked = questions.withColumn("terms", tx.question_terms(F.col("text"))).drop("text")
-    return best_by_words(asked, documents, "doc_id", tx.filename_terms(F.col("filename")), 1, scope, carry)
+    return best_by_words(asked, documents, "doc_id", tx.filename_terms(F.col("filename")), 1, scoped)

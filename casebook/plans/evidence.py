@@ -12,6 +12,7 @@ from casebook.functions import scoring as sc
 from casebook.functions import text as tx
 from casebook.operators.matching import small_side
 from casebook.operators.windows import interleaved, top_k
+from casebook.session import durable
 
 Scorer = Callable[[list[str], list[str]], list[float]]
 
@@ -117,25 +118,24 @@ def prepare(
     Count/list questions take a whole document; the others take reranked passages and exact facts.
     """
     from casebook.operators.facts import match_facts
-    from casebook.plans.retrieval import SCOPE_COLUMNS, in_scope, retrieve, retrieve_whole
+    from casebook.plans.retrieval import once, retrieve, retrieve_whole
 
+    questions, n = once(questions)
     marked = questions.withColumn("_all", tx.is_exhaustive(F.col("text")))
     listing, ordinary = marked.filter("_all").drop("_all"), marked.filter("NOT _all").drop("_all")
-    scope = SCOPE_COLUMNS if scoped else []
 
     columns = ["chunk_id", "filename", "page_start", "page_end", "section", "content"]
-    fused = retrieve(ordinary, chunks, vectors, index, sc.CANDIDATES, floor, scoped)
-    n = ordinary.count()
+    fused = durable(retrieve(ordinary, chunks, vectors, index, sc.CANDIDATES, floor, scoped, n_questions=n))
     candidates = diversified(fused, ordinary).join(ordinary.select("question_id", "text"), "question_id")
     full = chunks.select(*columns).join(small_side(candidates, n, sc.CANDIDATES), "chunk_id")
     kept = rerank(full, sc.KEPT, scorer)
 
     asked = ordinary.select("question_id", "text", *(["library", "thread", "use_reference"] if scoped else []))
-    matched = match_facts(asked, facts, in_scope() if scoped else None, scope)
+    matched = match_facts(asked, facts, scoped)
     known = facts.select("fact_id", "doc_id", "filename", "page", "locator", "label", "value")
     exact = known.join(small_side(matched.select("question_id", "fact_id", "rank"), n, sc.FACT_LIMIT), "fact_id")
 
-    whole = retrieve_whole(listing, chunks, documents, vectors, index, floor, scoped)
+    whole = retrieve_whole(listing, chunks, documents, vectors, index, floor, scoped, n_questions=n)
     passages = kept.select("question_id", "position", "doc_id", *columns, "rerank_score").unionByName(
         whole.select("question_id", F.col("rank").alias("position"), "doc_id", *columns, F.lit(None).cast("double").alias("rerank_score"))
     )
@@ -207,17 +207,17 @@ def spreadsheet_counts(selected: DataFrame, chunks: DataFrame) -> DataFrame:
 # -- figures, audits, views ----------------------------------------------------------
 
 def figure_or_passages(
-    requests: DataFrame, figures: DataFrame, chunks: DataFrame, scope: Column | None = None, carry: list[str] | None = None,
-    vectors: DataFrame | None = None, index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+    requests: DataFrame, figures: DataFrame, chunks: DataFrame, scoped_figures: bool = False, vectors: DataFrame | None = None, index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> DataFrame:
     """The matching figure of each diagram request, else the six best passages (P5)."""
     from casebook.operators.facts import best_figures
-    from casebook.plans.retrieval import retrieve
+    from casebook.plans.retrieval import once, retrieve
 
+    requests, n = once(requests)
     asked = requests.select("question_id", "text", *(["library", "thread", "use_reference"] if scoped else []))
-    found = best_figures(asked, figures, scope, carry).select("question_id", "figure_id")
+    found = best_figures(asked, figures, scoped_figures).select("question_id", "figure_id")
     rest = requests.join(found, "question_id", "left_anti")
-    passages = retrieve(rest, chunks, vectors, index, 6, floor, scoped).select("question_id", "rank", "chunk_id")
+    passages = retrieve(rest, chunks, vectors, index, 6, floor, scoped, n_questions=n).select("question_id", "rank", "chunk_id")
     return found.select("question_id", F.lit(1).alias("rank"), "figure_id").unionByName(passages, allowMissingColumns=True)
 
 

@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 from casebook.functions import scoring as sc
 from casebook.functions import text as tx
 from casebook.operators.facts import best_filename
-from casebook.operators.matching import most_words, nearest, shared_terms, small_side, term_rows
+from casebook.operators.matching import nearest, shared_terms, small_side, term_rows
 from casebook.operators.windows import first_row, numbered, top_k
+from casebook.session import durable
 
 SCOPE_COLUMNS = ["library", "thread", "is_reference"]
 PASSAGE_BLOCK = 4096
 
 
-def in_scope() -> Column:
-    """The scope rule between an item and a question (F1)."""
-    return (
-        F.coalesce(F.col("library") == F.col("q_library"), F.lit(False))
-        | F.coalesce(F.col("thread") == F.col("q_thread"), F.lit(False))
-        | (F.col("is_reference") & F.col("q_use_reference"))
-    )
+def once(questions: DataFrame) -> tuple[DataFrame, int]:
+    """The questions written, so that an embedder behind them is not asked again by every later step, and their number."""
+    kept = durable(questions)
+    return kept, kept.count()
 
 
 def ready(chunks: DataFrame, documents: DataFrame, libraries: DataFrame) -> DataFrame:
@@ -32,9 +30,9 @@ def ready(chunks: DataFrame, documents: DataFrame, libraries: DataFrame) -> Data
 
 
 def postings(chunks: DataFrame, carry: list[str]) -> DataFrame:
-    """(chunk_id, term, weight) with weight the number of uses, hash-partitioned on the passage.
+    """(chunk_id, term, weight) with weight the number of uses.
 
-    Written out, this is the lexical index: a small batch of questions then reads the terms it asks for.
+    Written out, sorted by term, this is the lexical index: a batch of questions then reads the terms it asks for.
     """
     return term_rows(chunks.withColumnRenamed("chunk_id", "item_id"), "item_id", tx.words(F.col("content")), carry)
 
@@ -44,16 +42,12 @@ def lexical_list(
 ) -> DataFrame:
     """The k passages per question with most uses of its terms.
 
-    With an ``index`` the terms are joined to it; without one the passages are read once, in place.
+    With an ``index`` (a written ``postings`` table) its terms are read; without one it is made on the way.
     """
     asked = questions.withColumn("terms", tx.lexical_terms(F.col("text")))
     asked = asked.select("question_id", "terms", *(["library", "thread", "use_reference"] if scoped else []))
-    if index is None:
-        items = chunks.withColumnRenamed("chunk_id", "item_id")
-        found = most_words(asked, items, k, "content", scoped=scoped)
-    else:
-        order = [F.col("score").desc(), F.col("item_id")]
-        found = shared_terms(asked, index, k, order, in_scope() if scoped else None)
+    index = postings(chunks, SCOPE_COLUMNS if scoped else []) if index is None else index
+    found = shared_terms(asked, index, k, scoped)
     return found.select("question_id", F.col("item_id").alias("chunk_id"), "score", "rank")
 
 
@@ -76,6 +70,7 @@ def fuse(vectors: DataFrame, words: DataFrame, floor: float = sc.MIN_SIMILARITY)
 def retrieve(
     questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, index: DataFrame | None = None,
     k: int | None = sc.CANDIDATES, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, columns: tuple[str, ...] = ("doc_id",),
+    n_questions: int | None = None, list_size: int = sc.LIST_SIZE,
 ) -> DataFrame:
     """Fused candidates per question, best first (P1, T1). ``k=None`` keeps both lists whole.
 
@@ -84,17 +79,20 @@ def retrieve(
     ``questions``: question_id, text, vector, library, thread, use_reference.
     ``chunks``: chunk_id, doc_id, content, scope columns. ``vectors``: chunk_id, vector, scope columns; left out,
     the passages carry their vectors. ``index``: a written ``postings`` table, if there is one. Passages are named by id until the cut,
-    and only then joined to their document.
+    and only then joined to their document. ``n_questions``: how many there are, when the caller has written them
+    already; else they are written here, so that their vectors are computed once.
     """
+    if n_questions is None:
+        questions, n_questions = once(questions)
     scope = SCOPE_COLUMNS if scoped else []
     vectors = chunks if vectors is None else vectors
-    near = vector_list(questions, vectors.select("chunk_id", "vector", *scope), scoped=scoped)
-    words = lexical_list(questions, chunks.select("chunk_id", "content", *scope), index, scoped=scoped)
+    near = vector_list(questions, vectors.select("chunk_id", "vector", *scope), list_size, scoped)
+    words = lexical_list(questions, chunks.select("chunk_id", "content", *scope), index, list_size, scoped)
     fused = fuse(near, words, floor)
-    # both lists are capped, so a question has at most 80 rows here
-    k = k or 2 * sc.LIST_SIZE
+    # both lists have list_size rows at most, so a question has twice as many here
+    k = k or 2 * list_size
     best = top_k(fused, ["question_id"], [F.col("rrf").desc(), F.col("chunk_id")], k)
-    return chunks.select("chunk_id", *columns).join(small_side(best, questions.count(), k), "chunk_id")
+    return chunks.select("chunk_id", *columns).join(small_side(best, n_questions, k), "chunk_id")
 
 
 def best_document(ranked: DataFrame, named: DataFrame | None = None) -> DataFrame:
@@ -137,23 +135,27 @@ def whole_document(selected: DataFrame, chunks: DataFrame, limit: int | None = N
 
 def chosen_document(
     questions: DataFrame, chunks: DataFrame, documents: DataFrame, vectors: DataFrame | None = None,
-    index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+    index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, n_questions: int | None = None,
 ) -> DataFrame:
-    """The one document that fits each count/list question best."""
-    ranked = retrieve(questions, chunks, vectors, index, None, floor, scoped)
+    """The one document that fits each count/list question best (P2), written: a row per question that several steps read."""
+    if n_questions is None:
+        questions, n_questions = once(questions)
+    ranked = durable(retrieve(questions, chunks, vectors, index, None, floor, scoped, n_questions=n_questions))
     scope = SCOPE_COLUMNS if scoped else []
     asked = questions.select("question_id", "text", *(["library", "thread", "use_reference"] if scoped else []))
-    named = best_filename(asked, documents.select("doc_id", "filename", *scope), in_scope() if scoped else None, scope)
-    return best_document(ranked, named)
+    named = best_filename(asked, documents.select("doc_id", "filename", *scope), scoped)
+    return durable(best_document(ranked, named))
 
 
 def retrieve_whole(
     questions: DataFrame, chunks: DataFrame, documents: DataFrame, vectors: DataFrame | None = None,
-    index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, limit: int | None = None,
+    index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, limit: int | None = None, n_questions: int | None = None,
 ) -> DataFrame:
     """Count/list questions answered from the one document that fits best."""
-    chosen = chosen_document(questions, chunks, documents, vectors, index, floor, scoped)
-    return whole_document(chosen, chunks, limit, questions.count())
+    if n_questions is None:
+        questions, n_questions = once(questions)
+    chosen = chosen_document(questions, chunks, documents, vectors, index, floor, scoped, n_questions)
+    return whole_document(chosen, chunks, limit, n_questions)
 
 
 def evaluate(cases: DataFrame, fused: DataFrame, reranked: DataFrame, chunks: DataFrame) -> DataFrame:

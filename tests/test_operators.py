@@ -129,8 +129,9 @@ def brute(q, items, k, allowed):
 
 @pytest.mark.parametrize("limit", [4096, 6])
 def test_nearest_equals_brute_force(spark, monkeypatch, limit):
-    """Equal vectors, a library holding a third of the items, and question blocks beyond the broadcast bound."""
-    monkeypatch.setattr(matching, "MAX_BROADCAST_VECTORS", limit)
+    """Equal vectors, a library holding a third of the items, one block and many."""
+    monkeypatch.setattr(matching, "QUESTION_BLOCK", limit)
+    monkeypatch.setattr(matching, "ITEM_BLOCK", 10 * limit)
     monkeypatch.setattr(matching, "SCORES_PER_SLICE", 500)
     rng = np.random.default_rng(1)
     items = rng.integers(-2, 3, (300, 6)).astype(float) + 0.5
@@ -148,8 +149,8 @@ def test_nearest_equals_brute_force(spark, monkeypatch, limit):
 
 @pytest.mark.parametrize("limit, indexed", [(200_000, True), (4, True), (4_096, False), (2, False)])
 def test_lexical_list_equals_brute_force(spark, monkeypatch, limit, indexed):
-    monkeypatch.setattr(matching, "MAX_BROADCAST_TERMS", limit)
-    monkeypatch.setattr(matching, "MAX_BROADCAST_VECTORS", limit)
+    monkeypatch.setattr(matching, "QUESTION_BLOCK", limit)
+    monkeypatch.setattr(matching, "ITEM_BLOCK", 10 * limit)
     monkeypatch.setattr(matching, "SCORES_PER_SLICE", 90)
     rng = random.Random(2)
     vocabulary = ["alpha", "beta", "gamma", "delta", "weld", "hot"]
@@ -165,13 +166,32 @@ def test_lexical_list_equals_brute_force(spark, monkeypatch, limit, indexed):
     assert rows(got, "question_id", "chunk_id", "score", "rank") == sorted(want)
 
 
-def test_scores_never_leave_the_task(spark, capsys):
-    """One shuffle puts an item's words together; pairs are scored there, and only the best rows move on."""
+def test_one_plan_for_any_number_of_questions(spark, capsys, monkeypatch):
+    monkeypatch.setattr(matching, "QUESTION_BLOCK", 2)
     chunks = spark.createDataFrame([(1, "a b")], "chunk_id bigint, content string")
-    questions = spark.createDataFrame([(1, "b")], "question_id int, text string")
-    retrieval.lexical_list(questions, chunks, retrieval.postings(chunks, []), 40, scoped=False).explain()
-    plan = capsys.readouterr().out
-    assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastHashJoin" in plan
+    plans = []
+    for n in (1, 50):
+        questions = spark.createDataFrame([(i, "b") for i in range(n)], "question_id int, text string")
+        retrieval.lexical_list(questions, chunks, None, 40, scoped=False).explain()
+        plans.append(capsys.readouterr().out)
+    assert plans[0].count("\n") == plans[1].count("\n") and "CartesianProduct" not in plans[1] and "NestedLoop" not in plans[1]
+
+
+def test_a_question_is_embedded_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        asked.add(len(texts))
+        return [[1.0, float(len(t)), 0.5] for t in texts]
+
+    chunks = spark.createDataFrame([(i, i // 2, 0, f"word{i} text", [1.0, float(i), 0.0], f"f{i // 2}.pdf", 1, 1, "") for i in range(6)],
+                                   "chunk_id bigint, doc_id bigint, chunk_index int, content string, vector array<float>, filename string, page_start int, page_end int, section string")
+    known = spark.createDataFrame([(1, 0, "f0.pdf", 1, "t", "word1", "v")], "fact_id bigint, doc_id bigint, filename string, page int, locator string, label string, value string")
+    questions = spark.createDataFrame([(1, "what is word1"), (2, "list all word2 rows")], "question_id int, text string")
+    questions = embedding.with_vectors(questions, "text", embed, 3, optional=True)
+    sources, labels = evidence.prepare(questions, chunks, chunks.select("doc_id", "filename").distinct(), known, scoped=False)
+    assert sources.count() and labels.count() == 2
+    assert asked.value == 2
 
 
 def test_facts_and_figures(spark):
