@@ -31,6 +31,9 @@ inputs(
           CASE event_type WHEN 'purchase' THEN 'decision' WHEN 'view' THEN 'preference' ELSE 'fact' END AS entry_type, 'value ' || CAST(CAST(floor(value) AS INT) AS STRING) AS content
         FROM {events}""",
     job_links="SELECT DISTINCT l_suppkey AS job_id, l_partkey AS doc_id FROM {lineitem} WHERE l_quantity > 25",
+    check_runs="""
+        SELECT l_suppkey AS job_id, l_orderkey AS checked_at, count(*) FILTER (WHERE l_returnflag = 'A') AS error, count(*) FILTER (WHERE l_returnflag = 'N') AS warning,
+          count(*) FILTER (WHERE l_returnflag = 'R') AS note FROM {lineitem} WHERE l_suppkey % 4 > 0 GROUP BY l_suppkey, l_orderkey""",
     # requests of known jobs, of jobs that do not exist, and for documents that do not exist; some name a type
     attach_requests="""
         SELECT job_id, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'pqr' END AS doc_type FROM {job_links}
@@ -122,6 +125,45 @@ def job_listing(spark, sf):
     return jobs.join(counts, "job_id", "left").fillna(0, ["document_count"])
 
 
+@query("job_views", """
+    SELECT s_suppkey AS job_id, (SELECT count(*) FROM {job_links} j WHERE j.job_id = s_suppkey) AS document_count, r.checked_at, r.error, r.warning, r.note
+    FROM {supplier} LEFT JOIN (SELECT * FROM {check_runs} QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY checked_at DESC) = 1) r ON r.job_id = s_suppkey""")
+def job_views(spark, sf):
+    from casebook.operators.checks import job_views as views
+
+    jobs = given(spark, sf, "supplier").select(F.col("s_suppkey").alias("job_id"))
+    return views(jobs, given(spark, sf, "job_links"), given(spark, sf, "check_runs"))
+
+
+@query("listing_orders", """
+    SELECT 'document' AS listing, library AS under, doc_id AS id, row_number() OVER (PARTITION BY library ORDER BY created_at DESC, doc_id DESC) AS place FROM {files_held} WHERE library IS NOT NULL
+    UNION ALL SELECT 'library', user_id, m.library, row_number() OVER (PARTITION BY user_id ORDER BY is_reference, m.library DESC) FROM {members} m JOIN {libraries} l ON l.library = m.library
+    UNION ALL SELECT 'thread', user_id, thread, row_number() OVER (PARTITION BY user_id ORDER BY thread DESC) FROM {threads}""")
+def listing_orders(spark, sf):
+    """Where each row stands: documents newest first, own libraries before reference ones, threads by last use."""
+    docs = given(spark, sf, "files_held").filter("library IS NOT NULL")
+    docs = scope.in_listing_order(docs, "library", newest="created_at", tie="doc_id", place="place")
+    own = given(spark, sf, "members").join(given(spark, sf, "libraries"), "library")
+    own = scope.in_listing_order(own, "user_id", "is_reference", newest="library", tie="library", place="place")
+    threads = scope.in_listing_order(given(spark, sf, "threads"), "user_id", newest="thread", tie="thread", place="place")
+    parts = (("document", docs, "library", "doc_id"), ("library", own, "user_id", "library"), ("thread", threads, "user_id", "thread"))
+    rows = [df.select(F.lit(name).alias("listing"), F.col(under).alias("under"), F.col(key).alias("id"), "place") for name, df, under, key in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("cleared_corrections", """
+    SELECT l_suppkey AS job_id, l_partkey AS doc_id, l_orderkey AS entered_at FROM {lineitem} l WHERE l_returnflag <> 'N'
+      AND NOT EXISTS (SELECT 1 FROM {lineitem} c WHERE c.l_returnflag = 'N' AND c.l_suppkey = l.l_suppkey AND c.l_partkey = l.l_partkey AND c.l_orderkey >= l.l_orderkey)""")
+def cleared_corrections(spark, sf):
+    """A change of a document's type clears the corrections before it."""
+    from casebook.operators.fields import still_valid
+
+    rows = given(spark, sf, "lineitem").select(F.col("l_suppkey").alias("job_id"), F.col("l_partkey").alias("doc_id"), "l_returnflag", F.col("l_orderkey").alias("entered_at"))
+    entered = rows.filter("l_returnflag <> 'N'").drop("l_returnflag")
+    changed = rows.filter("l_returnflag = 'N'").select("job_id", "doc_id", F.col("entered_at").alias("changed_at"))
+    return still_valid(entered, changed)
+
+
 @query("job_documents", """
     SELECT j.job_id, j.doc_id, f.filename, f.status FROM {job_links} j JOIN {files_held} f ON f.doc_id = j.doc_id ORDER BY 1, 2""")
 def job_documents(spark, sf):

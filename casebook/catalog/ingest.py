@@ -1,5 +1,7 @@
 """Admission, duplicates, block building, facts, passages and index maintenance."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from casebook.catalog.base import given, inputs, query
@@ -387,6 +389,34 @@ def index_counters(spark, sf):
                     given(spark, sf, "conversations").withColumnRenamed("conv_id", "doc_id")).select("doc_id", "passages", "facts", "figures")
 
 
+inputs(
+    label_tables="""
+        SELECT doc_id, CAST(NULL AS INT) AS page, 'table 1' AS locator, 1 AS row, 'Quality' AS a, CAST(quality AS STRING) AS b FROM {labels}
+        UNION ALL SELECT doc_id, NULL, 'table 1', 2, 'Toxic', CASE WHEN toxic = 1 THEN 'yes' ELSE '' END FROM {labels}""",
+    turn_images="SELECT conv_id AS doc_id, 'pdf' AS kind, turn AS ord, CAST(100 + 30 * turn AS INT) AS width, 200 AS height, 0 AS bytes FROM {conversations}",
+)
+
+
+@query("index_build", "WITH RECURSIVE " + passages_sql(_CLEAN) + """,
+      c AS (SELECT doc_id, count(*) AS passages, sum(token_count) AS tokens FROM pk GROUP BY doc_id),
+      f AS (SELECT doc_id, count(*) FILTER (b <> '') AS facts FROM {label_tables} GROUP BY doc_id), g AS (SELECT doc_id, count(*) FILTER (width >= 150) AS figures FROM {turn_images} GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(passages, 0) AS passages, coalesce(facts, 0) AS facts, coalesce(figures, 0) AS figures, coalesce(tokens, 0) AS tokens, coalesce(passages, 0) AS vectors
+    FROM {documents} d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id""")
+def index_build(spark, sf):
+    """The whole build of an index, written as a version and read back: counters against its own tables."""
+    from casebook.plans import index
+    from casebook.session import work_folder
+
+    rows = given(spark, sf, "label_tables").select("doc_id", "page", "locator", "row", F.array("a", "b").alias("cells"))
+    built = index.build(given(spark, sf, "documents").select("doc_id", "text"), rows, given(spark, sf, "turn_images"), dimensions=16)
+    folder = f"{work_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.publish(built, folder, "v1")
+    version = index.current_version(spark, folder)
+    chunks = index.read_part(spark, folder, "chunks", version).groupBy("doc_id").agg(
+        F.sum("token_count").alias("tokens"), F.count_if(F.size("vector") == 16).alias("vectors"))
+    return index.read_part(spark, folder, "documents", version).join(chunks, "doc_id", "left").fillna(0, ["tokens", "vectors"])
+
+
 @query("section_carry", """
     SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN md5(text) END IGNORE NULLS)
       OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM {conversations}""")

@@ -375,6 +375,42 @@ def evidence_pack(spark, sf):
     return ev.evidence_text(sources).select("question_id", "sources", F.md5("evidence").alias("evidence_md5"))
 
 
+inputs(
+    record_turns="SELECT conv_id AS question_id, turn, role, text FROM {conversations}",
+)
+
+
+@query("prepared_answers", _EVIDENCE + ", " + _WHOLE + """,
+      an AS (SELECT question_id, max(position) AS n FROM kp GROUP BY question_id),
+      ps AS (SELECT k.question_id, k.position AS i, k.chunk_id FROM kp k UNION ALL SELECT question_id, rank, chunk_id FROM wd),
+      srcs AS (SELECT ps.question_id, ps.i, c.filename, CASE WHEN c.page_start = 0 THEN 'Parts' WHEN c.page_end IN (0, c.page_start) THEN 'p. ' || c.page_start
+          ELSE 'pp. ' || c.page_start || '-' || c.page_end END AS loc, c.content FROM ps JOIN {records} c USING (chunk_id)
+        UNION ALL SELECT ft.question_id, coalesce(an.n, 0) + ft.rank, f.filename, f.locator, '(value read from a table) ' || f.label || ': ' || f.value
+        FROM ft JOIN {record_facts} f USING (fact_id) LEFT JOIN an ON an.question_id = ft.question_id),
+      e AS (SELECT question_id, count(*) AS sources, sum(greatest(1, length(content) // 4)) AS tokens,
+          md5(string_agg('[' || i || '] ' || filename || ' (' || loc || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY i)) AS evidence_md5 FROM srcs GROUP BY question_id),
+      pk AS (SELECT question_id, max(rerank_score) AS best FROM kp GROUP BY question_id), pf AS (SELECT DISTINCT question_id FROM ft),
+      ct AS (SELECT question_id, count(*) AS records FROM wd WHERE filename LIKE '%.xlsx' AND content NOT LIKE '%Grade: Total%' GROUP BY question_id),
+      q AS (SELECT *, question_id IN (SELECT question_id FROM {listing_questions}) AS exhaustive FROM {record_questions}),
+      t AS (SELECT t.*, exhaustive, row_number() OVER (PARTITION BY t.question_id, role ORDER BY turn DESC) AS r FROM {record_turns} t JOIN q ON q.question_id = t.question_id),
+      h AS (SELECT question_id, md5(string_agg(role || ' ' || text, chr(10) ORDER BY turn)) AS history_md5, sum(greatest(1, length(text) // 4)) AS said FROM t WHERE NOT exhaustive OR (role = 'user' AND r <= 2) GROUP BY question_id)
+    SELECT q.question_id, q.exhaustive, CASE WHEN q.exhaustive THEN CASE WHEN e.sources IS NULL THEN 'none' ELSE 'medium' END WHEN pk.best IS NULL AND pf.question_id IS NULL THEN 'none'
+        WHEN pk.best >= 7 THEN 'high' WHEN pk.best >= 4 OR pf.question_id IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence,
+      coalesce(e.sources, 0) AS sources, coalesce(evidence_md5, md5('No matching passages were found in the selected knowledge base or chat uploads.')) AS evidence_md5,
+      e.sources IS NOT NULL AS evidence_found, ct.records, coalesce(history_md5, '') AS history_md5,
+      CASE WHEN q.exhaustive THEN least(16384, greatest(4096, coalesce(e.tokens, 0) + coalesce(said, 0) + 3000)) ELSE 4096 END AS num_ctx
+    FROM q LEFT JOIN e ON e.question_id = q.question_id LEFT JOIN pk ON pk.question_id = q.question_id LEFT JOIN pf ON pf.question_id = q.question_id
+      LEFT JOIN ct ON ct.question_id = q.question_id LEFT JOIN h ON h.question_id = q.question_id""")
+def prepared_answers(spark, sf):
+    """The whole answer plan for count/list and ordinary questions together."""
+    chunks = given(spark, sf, "records")
+    rows = ev.prepared_answers(_asked(spark, sf, "record_questions"), given(spark, sf, "record_turns"), chunks, given(spark, sf, "record_documents"),
+                               given(spark, sf, "record_facts"), _vectors(chunks.select("chunk_id", "content")), scoped=False)
+    said = F.array_join(F.transform("history", lambda m: F.concat_ws(" ", m["role"], m["text"])), "\n")
+    return rows.select("question_id", "exhaustive", "confidence", "sources", F.md5("evidence").alias("evidence_md5"), "evidence_found", "records",
+                       F.coalesce(F.md5(said), F.lit("")).alias("history_md5"), "num_ctx")
+
+
 @query("answer_audit", """
     SELECT message_id AS question_id, contains(lower(text), lower(p_name)) AND contains(lower(text), lower(p_type)) AS states_facts, true AS cites_source,
       regexp_matches(text, '\\[[0-9]+\\]') AS has_citations, regexp_matches(text, '(?i)from the documents') AS two_parts,

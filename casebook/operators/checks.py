@@ -453,6 +453,16 @@ def summary(documents: DataFrame, found: DataFrame) -> DataFrame:
     return types.join(counts, "job_id", "left").fillna(0, list(SEVERITIES))
 
 
+def job_views(jobs: DataFrame, links: DataFrame, reports: DataFrame) -> DataFrame:
+    """Jobs with their number of documents and the counts of their last check, null while unchecked.
+
+    ``reports``: job_id, checked_at and a count per severity, one row for each check that was run.
+    """
+    counts = links.groupBy("job_id").agg(F.count(F.lit(1)).alias("document_count"))
+    last = first_row(reports.select("job_id", "checked_at", *SEVERITIES), ["job_id"], F.col("checked_at"), last=True)
+    return jobs.join(counts, "job_id", "left").fillna(0, ["document_count"]).join(last, "job_id", "left")
+
+
 def stale(jobs: DataFrame) -> Column:
     """Whether a job changed after its last check (F16)."""
     return F.coalesce(F.col("updated_at") > F.col("checked_at"), F.lit(False))

@@ -110,9 +110,15 @@ def scope_sizes(questions: DataFrame, documents: DataFrame, libraries: DataFrame
     )
 
 
-def in_listing_order(rows: DataFrame, *first: str, newest: str, tie: str) -> DataFrame:
-    """A listing: grouping columns first, then the newest row."""
-    return rows.orderBy(*first, F.col(newest).desc(), F.col(tie).desc())
+def in_listing_order(rows: DataFrame, *first: str, newest: str, tie: str, place: str | None = None) -> DataFrame:
+    """A listing: grouping columns first, then the newest row.
+
+    With ``place`` each row carries its position under the first column, for listings that are read later or in pages.
+    """
+    order = [*first[1:], F.col(newest).desc(), F.col(tie).desc()]
+    if place:
+        rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(first[0]).orderBy(*order)))
+    return rows.orderBy(first[0], *order)
 
 
 def reference_counts(libraries: DataFrame, documents: DataFrame) -> DataFrame:

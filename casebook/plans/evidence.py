@@ -100,25 +100,69 @@ def confidence_labels(questions: DataFrame, passages: DataFrame, facts: DataFram
     )
 
 
-def evidence_text(numbered: DataFrame) -> DataFrame:
-    """One text per question with all its numbered sources."""
+# Fixed value: what stands in place of the evidence of a question without sources.
+EMPTY_EVIDENCE = "No matching passages were found in the selected knowledge base or chat uploads."
+
+
+def evidence_text(numbered: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """One text per question with all its numbered sources (A19); with ``questions``, a fixed text for those without any."""
     entry = F.format_string("[%d] %s (%s)\n%s", "index", "filename", "location", "content")
     rows = F.array_sort(F.collect_list(F.struct("index", entry.alias("t"))))
-    return numbered.groupBy("question_id").agg(
+    packs = numbered.groupBy("question_id").agg(
         F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("evidence"), F.count(F.lit(1)).alias("sources")
     )
+    if questions is None:
+        return packs
+    return questions.select("question_id").join(packs, "question_id", "left").fillna(EMPTY_EVIDENCE, ["evidence"]).fillna(0, ["sources"])
 
 
 def prepare(
     questions: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame, vectors: DataFrame | None = None,
     index: DataFrame | None = None, scorer: Scorer | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """(sources, confidence) of a batch of questions.
+    """(sources, confidence) of a batch of questions."""
+    return _prepared(questions, chunks, documents, facts, vectors, index, scorer, floor, scoped)[:2]
+
+
+def prepared_answers(
+    questions: DataFrame, messages: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame, vectors: DataFrame | None = None,
+    index: DataFrame | None = None, scorer: Scorer | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+) -> DataFrame:
+    """All that a model is asked with, a row per question (P3): ``exhaustive, confidence, sources, evidence, evidence_found``,
+    the counted spreadsheet ``records, label, labels`` (null without a workbook), ``history`` and ``num_ctx``.
+
+    ``messages``: question_id, turn, role, text - the turns before each question. A count/list question sees the last two user
+    turns only, since earlier answers may hold the very mistake that counting corrects, and its context grows with its evidence.
+    """
+    sources_, labels, asked, chosen = _prepared(questions, chunks, documents, facts, vectors, index, scorer, floor, scoped)
+    flags = asked.select("question_id", tx.is_exhaustive(F.col("text")).alias("exhaustive"))
+    packs = evidence_text(sources_, flags)
+    tokens = sources_.groupBy("question_id").agg(F.sum(F.greatest(F.lit(1), F.floor(F.length("content") / 4))).alias("_tokens"))
+    counted = spreadsheet_counts(chosen, chunks).select("question_id", "records", "label", "labels")
+
+    turns = messages.join(flags, "question_id")
+    last = top_k(turns.filter("exhaustive AND role = 'user'"), ["question_id"], [F.col("turn").desc()], 2, "_n").drop("_n")
+    heard = turns.filter("NOT exhaustive").unionByName(last)
+    spoken = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
+    past = heard.groupBy("question_id").agg(spoken.alias("history"), F.sum(F.greatest(F.lit(1), F.floor(F.length("text") / 4))).alias("_said"))
+
+    rows = flags.join(labels.select("question_id", "confidence"), "question_id", "left")
+    for part in (packs, tokens, counted, past):
+        rows = rows.join(part, "question_id", "left")
+    budget = sc.context_budget(F.col("exhaustive"), F.col("_tokens"), F.col("_said"))
+    return rows.withColumn("evidence_found", F.col("sources") > 0).withColumn("num_ctx", budget).drop("_tokens", "_said")
+
+
+def _prepared(
+    questions: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame, vectors: DataFrame | None, index: DataFrame | None,
+    scorer: Scorer | None, floor: float, scoped: bool,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sources, confidence, questions as written, documents chosen for count/list questions).
 
     Count/list questions take a whole document; the others take reranked passages and exact facts.
     """
     from casebook.operators.facts import match_facts
-    from casebook.plans.retrieval import once, retrieve, retrieve_whole
+    from casebook.plans.retrieval import chosen_document, once, retrieve, whole_document
 
     questions, n = once(questions)
     marked = questions.withColumn("_all", tx.is_exhaustive(F.col("text")))
@@ -135,7 +179,8 @@ def prepare(
     known = facts.select("fact_id", "doc_id", "filename", "page", "locator", "label", "value")
     exact = known.join(small_side(matched.select("question_id", "fact_id", "rank"), n, sc.FACT_LIMIT), "fact_id")
 
-    whole = retrieve_whole(listing, chunks, documents, vectors, index, floor, scoped, n_questions=n)
+    chosen = chosen_document(listing, chunks, documents, vectors, index, floor, scoped, n)
+    whole = whole_document(chosen, chunks, questions=n)
     passages = kept.select("question_id", "position", "doc_id", *columns, "rerank_score").unionByName(
         whole.select("question_id", F.col("rank").alias("position"), "doc_id", *columns, F.lit(None).cast("double").alias("rerank_score"))
     )
@@ -147,7 +192,7 @@ def prepare(
         sc.exhaustive_confidence(F.coalesce("passages", F.lit(0)), F.coalesce("complete", F.lit(False))).alias("confidence"),
     )
     labels = confidence_labels(ordinary, kept, exact).unionByName(listing_label)
-    return sources(passages, exact), labels
+    return sources(passages, exact), labels, questions, chosen
 
 
 # -- spreadsheets ------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # long texts: a batch that goes to Python is bounded by bytes, not by rows alone
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 
@@ -35,12 +38,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def work_folder(spark: SparkSession) -> str:
     """A folder every executor reaches: the one named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a session whose tasks run in the driver's own process (``local`` or ``local[n]``) gets a folder of its own
+    where none is set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="casebook-work-")
     spark.sparkContext.setCheckpointDir(folder)
