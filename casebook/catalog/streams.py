@@ -22,26 +22,36 @@ def _folder(spark, name):
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _stream(spark, sf, name):
-    return st.file_stream(spark, sf, table(spark, sf, name).schema, f"{name}.parquet")
+BATCHES = 3
+
+
+def _arriving(spark, sf, name, part):
+    """A table as files that arrive one after the other, a micro-batch each; ``part`` says which file a row is in."""
+    rows, folder = table(spark, sf, name), _folder(spark, "arriving")
+    for i in range(BATCHES):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return st.file_stream(spark, folder, rows.schema, files_per_batch=1)
 
 
 def _indexed(spark, sf):
     folder = _folder(spark, "index")
-    docs = _stream(spark, sf, "documents").select("doc_id", F.col("source").alias("library"), "text")
+    docs = _arriving(spark, sf, "documents", F.col("doc_id") % BATCHES).select("doc_id", F.col("source").alias("library"), "text")
     st.index_stream(docs, folder, f"{folder}/checkpoint", vectors=False, overlap=0).awaitTermination()
     return folder
 
 
-@query("stream_dedup", """
-    SELECT doc_id, source AS library FROM {documents} QUALIFY row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) = 1""")
+_FIRST_ARRIVED = "SELECT doc_id, source AS library FROM {documents} QUALIFY row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id % 3, doc_id) = 1"
+
+
+@query("stream_dedup", _FIRST_ARRIVED)
 def stream_dedup(spark, sf):
+    """Copies are held back within a micro-batch and across them."""
     return spark.read.parquet(f"{_indexed(spark, sf)}/documents").select("doc_id", "library")
 
 
 @query("stream_index", f"""
     SELECT doc_id, md5(string_agg(line, ' ' ORDER BY ord)) AS content_md5 FROM ({_LINES})
-    WHERE doc_id IN (SELECT doc_id FROM {{documents}} QUALIFY row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) = 1) GROUP BY doc_id""")
+    WHERE doc_id IN (SELECT doc_id FROM ({_FIRST_ARRIVED})) GROUP BY doc_id""")
 def stream_index(spark, sf):
     return _rejoined(spark.read.parquet(f"{_indexed(spark, sf)}/chunks")).select("doc_id", "content_md5")
 
@@ -52,7 +62,8 @@ def stream_index(spark, sf):
     WHERE role = 'user' AND next_role = 'assistant'""")
 def stream_exchanges(spark, sf):
     folder = _folder(spark, "pairs")
-    st.pair_stream(_stream(spark, sf, "conversations"), folder, f"{folder}/checkpoint").awaitTermination()
+    part = F.least(F.floor(F.col("turn") / 2), F.lit(BATCHES - 1))
+    st.pair_stream(_arriving(spark, sf, "conversations", part), folder, f"{folder}/checkpoint").awaitTermination()
     rows = spark.read.parquet(f"{folder}/pairs")
     return rows.select("conv_id", "turn", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 

