@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -39,6 +40,15 @@ def stored_path(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go: Spark removes them once the driver has collected what referred to them.
+
+    For jobs whose next step writes as much again; nothing depends on it.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def keyed_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text (null: empty), under fixed names: other columns cannot clash with an operator's own."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

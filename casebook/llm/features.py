@@ -188,11 +188,11 @@ def score_udf(model: Linear, finish):
     """A vectorised column function from text to ``finish(margin)``; the model is a fixed number of weights."""
     from pyspark.sql import SparkSession
 
-    shipped = SparkSession.active().sparkContext.broadcast(model)
+    shipped, hashing, bias = SparkSession.active().sparkContext.broadcast(model.weights), model.hashing, model.bias
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shipped.value
+        own = Linear(hashing, shipped.value, bias)
         for series in texts:
             out, part, held = [], [], 0
             for text in series:

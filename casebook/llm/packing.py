@@ -50,21 +50,13 @@ def _byte_letters() -> dict[int, int]:
 class Chunks:
     """Ids of texts by their white-space chunks: white space is dropped and no token crosses it.
 
-    Chunks and words met before are looked up, new words go to the tokenizer's model. Only the definition is shipped; a
-    Python worker that serves several tasks keeps what it has met.
+    Chunks and words met before are looked up, new words go to the tokenizer's model.
     """
 
     def __init__(self, definition: str):
-        self.definition = definition
-        self.model = None
-
-    def __getstate__(self) -> dict:
-        return {"definition": self.definition, "model": None}
-
-    def _load(self) -> None:
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_str(self.definition)
+        self.whole = Tokenizer.from_str(definition)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.letters = _byte_letters()
@@ -93,8 +85,6 @@ class Chunks:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
-        if self.model is None:
-            self._load()
         chunks = [self.cut(t) for t in texts]
         new = set(itertools.chain.from_iterable(chunks)).difference(self.known)
         if len(self.known) + len(new) > CACHED_CHUNKS:
@@ -117,13 +107,14 @@ def pieces(documents: DataFrame, definition: str | None = None, capacity: int =
     are left out. The tokenizer's definition (a few megabytes, whatever the corpus) is read on the driver and broadcast.
     """
     with open(definition or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
-        shipped = documents.sparkSession.sparkContext.broadcast(Chunks(file.read()))
+        shipped = documents.sparkSession.sparkContext.broadcast({"definition": file.read()})
     end = struct.pack("<i", end_id)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = shipped.value
+        worker = shipped.value  # a Python worker that serves several tasks keeps what it has met
+        chunks = worker.get("chunks") or worker.setdefault("chunks", Chunks(worker["definition"]))
         for batch in slices(batches, "text"):
             rows = []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), chunks(batch.column("text").to_pylist()), strict=True):

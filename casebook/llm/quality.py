@@ -125,11 +125,11 @@ def judged(documents: DataFrame, model: Linear, keep_from: float = KEEP_FROM) ->
     are kept from a probability of ``keep_from``. Null and empty texts have no words and fail. Repeated rows each give a row,
     a null doc_id stays null, no rows give no rows, other columns are left out.
     """
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    shipped, hashing, bias = documents.sparkSession.sparkContext.broadcast(model.weights), model.hashing, model.bias
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        own = Linear(hashing, shipped.value, bias)
         for batch in slices(batches, "text", 1 << 19):
             texts = batch.column("text").to_pylist()
             columns = [np.array(c, np.int64) for c in zip(*map(counts, texts), strict=True)]

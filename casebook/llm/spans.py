@@ -29,16 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from casebook.llm import induced
-from casebook.llm.common import shared_folder, slices, stored
+from casebook.llm.common import release, shared_folder, slices, stored
 from casebook.llm.warc import store
 
 LENGTH = 50
 GRAM = 16
 SLICE_BYTES = 4 << 20
-SHARD_BYTES = 16 << 20  # of text whose fragments meet in one shard
+SHARD_BYTES = 8 << 20  # of text whose fragments meet in one shard
 SORT_BYTES = 4 << 20
 HOT = 4  # fragments of one anchor in a slice from which on they do not all go to the anchor's shard
-PART_BYTES = 1 << 20  # of a slice worked on at once
+PART_BYTES = 1 << 19  # of a slice worked on at once
 LAST = np.iinfo(np.int64).max
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -265,10 +265,10 @@ def opened(decided: DataFrame, shards: int, length: int) -> DataFrame:
         keys = _first(shard)
         cuts = np.append(np.searchsorted(shard, keys), len(shard)).tolist()
         bodies = [b"".join(parts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        columns = _grouped(shard, key.view(np.int64), found.hash[mine[which]].view(np.int64), docs[mine[which]], window.astype(np.int32), size.astype(np.int32))
+        columns = _grouped(shard, key.view(np.int64), found.hash[mine[which]].view(np.int64), docs[mine[which]], window.astype(np.int8), size.astype(np.uint8).view(np.int8))
         return pa.table([pa.array(keys), pa.array([name] * len(keys), pa.string()), *columns, pa.array(bodies, pa.binary())], ["shard", "slice", "key", "hash", "doc", "first", "size", "body"])
 
-    schema = "shard int, slice string, key array<long>, hash array<long>, doc array<long>, first array<int>, size array<int>, body binary"
+    schema = "shard int, slice string, key array<long>, hash array<long>, doc array<long>, first array<tinyint>, size array<tinyint>, body binary"
     return wanted.groupBy("slice").applyInArrow(run, schema)
 
 
@@ -299,6 +299,7 @@ def _sorted_shard(length: int, folder: str, sort_bytes: int, queue_bytes: int):
         names, bodies = table.column("slice").to_pylist(), table.column("body").to_pylist()
         key, row = _lists(table, "key")
         (hash_, _), (doc, _), (window, _), (size, _) = (_lists(table, c) for c in ("hash", "doc", "first", "size"))
+        window, size = window.astype(np.int64), size.view(np.uint8).astype(np.int64)
         before = np.cumsum(size) - size
         row_start = np.cumsum([0, *map(len, bodies)])
         order = np.lexsort((doc, key))
@@ -395,15 +396,23 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, shard_bytes: int
     n_slices, n_bytes = names.agg(F.count(F.lit(1)), F.sum("bytes")).first()
     tasks, shards = max(1, -(-n_slices // 4)), max(1, -(-(n_bytes or 0) // shard_bytes))
     names = names.repartition(tasks, "slice")
-    met = sent(names, shards, length).repartition(shards, "shard")
-    decided = met.groupBy("shard").applyInArrow(lambda t: _decide(t, shards), "slice string, hash array<long>, first array<long>, open array<boolean>")
-    decided = stored(decided, "fragments-decided")
+    decide = "slice string, hash array<long>, first array<long>, open array<boolean>"
+    decided = stored(
+        sent(names, shards, length).repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _decide(t, shards), decide), "fragments-decided"
+    )
+    release(documents.sparkSession)
     n_open = decided.agg(F.sum(F.expr("size(filter(open, x -> x))"))).first()[0] or 0
     sorts = max(1, -(-n_open * 2 * length // (4 * sort_bytes)))
-    halves = opened(decided.repartition(tasks, "slice"), sorts, length).repartition(sorts, "shard")
     folder = shared_folder(documents.sparkSession, "queues")
-    found = halves.groupBy("shard").applyInArrow(_sorted_shard(length, folder, sort_bytes, queue_bytes), "slice string, hash array<long>, first array<long>, mask array<long>")
-    found = stored(found, "fragments-found")
+    sort = _sorted_shard(length, folder, sort_bytes, queue_bytes)
+    found = stored(
+        opened(decided.repartition(tasks, "slice"), sorts, length)
+        .repartition(sorts, "shard")
+        .groupBy("shard")
+        .applyInArrow(sort, "slice string, hash array<long>, first array<long>, mask array<long>"),
+        "fragments-found",
+    )
+    release(documents.sparkSession)
     news = decided.select("slice", "hash", "first", F.transform("hash", lambda x: F.lit(0).cast("long")).alias("mask")).unionByName(found)
     schema = documents.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).schema
     kind = pa.struct([f.with_nullable(True) for f in to_arrow_schema(schema)])
