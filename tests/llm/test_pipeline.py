@@ -89,3 +89,21 @@ def test_run_is_registered(spark, folder):
             assert offset == at
             at += length
         assert at <= 4096
+
+
+def test_no_documents_and_clashing_columns(spark, folder):
+    """Every stage on an empty table, and on one whose further columns are called like an operator's own."""
+    from tests.llm.helpers import clash
+
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    assert labels.count()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).collect() == [], name
+    odd = clash(docs.limit(40), "doc", "score", "keys", "kept", "fp", "slice", "hash", "piece", "length", "n_dropped")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        following = stage(spark, odd, folder)
+        assert following.columns == odd.columns, name
+        assert {r.kept for r in following.collect()} == {"clash"}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, folder).count() >= 40
