@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +20,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, Spark removes a query's shuffle files as soon as the query has ended, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write and reread: lineage ends, and later joins see real sizes."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write and reread: lineage ends, later joins see real sizes, and the shuffle files behind it go."""
+    return stored_path(df, name)[0]
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -36,19 +46,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 def stored_path(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Like ``stored``, and the folder, for tables that are removed before the job ends."""
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of finished steps go: Spark removes them once the driver has collected what referred to them.
-
-    For jobs whose next step writes as much again; nothing depends on it.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def keyed_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text (null: empty), under fixed names: other columns cannot clash with an operator's own."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

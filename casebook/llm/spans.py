@@ -1,19 +1,19 @@
 """Passages that repeat across documents, byte by byte, by suffix sorting of bounded shards.
 
-A document's windows (all its byte strings of ``length``) are dealt by content: each goes with its anchor, the 16 bytes inside it
+A document's windows (all its byte strings of ``length``) are dealt by content: each goes with its anchor, the 20 bytes inside it
 of least hash, so equal windows meet wherever they stand. Consecutive windows with one anchor are a fragment.
 
 1. Documents are written in slices of a few megabytes, which later steps read by name.
 2. Each slice sends its distinct fragments (hashes and smallest doc_id only) to the shard of their anchor. There, equal fragments
    find their first document; an anchor with several different fragments leaves these open.
 3. Open fragments travel as bytes, in two halves (windows that reach far to the left or to the right of the anchor), each
-   dealt by 33 bytes that all its windows share. Halves of one such key go through external induced sorting
+   dealt by 35 bytes that all its windows share. Halves of one such key go through external induced sorting
    (``induced``); runs of suffixes with a common prefix of ``length`` are equal windows, and all but those of the
    smallest doc_id are marked.
 4. Each slice collects what was found for its fragments and takes the covered bytes out.
 
 A common passage counts once for each slice before it moves, and is compared as a fragment, not as pairs of documents. A short
-common string inside many different passages sends two fragments of each slice to its shard, the others by their own hash.
+common string inside many different passages sends a mark of each slice to its shard, and its fragments by their own hash.
 """
 
 from __future__ import annotations
@@ -29,17 +29,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from casebook.llm import induced
-from casebook.llm.common import release, shared_folder, slices, stored
+from casebook.llm.common import shared_folder, slices, stored
 from casebook.llm.warc import store
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 SLICE_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20  # of text whose fragments meet in one shard
 SORT_BYTES = 4 << 20
 HOT = 4  # fragments of one anchor in a slice from which on they do not all go to the anchor's shard
 PART_BYTES = 1 << 19  # of a slice worked on at once
 LAST = np.iinfo(np.int64).max
+MARK = np.uint64(0)
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _PLACE = np.uint64((1 << 31) - 1)
@@ -78,7 +79,8 @@ class Fragments:
     def _part(self, low: int, length: int) -> tuple[np.ndarray, ...]:
         high, reach = min(int(self.ends[-1]) + 1, low + PART_BYTES), length - GRAM + 1
         m = high - low + reach
-        grams = (self.words[low : low + m] * _A) ^ ((self.words[low + 8 : low + m + 8] * _B) >> np.uint64(3))
+        grams = (self.words[low : low + m] * _A) ^ ((self.words[low + GRAM - 8 : low + m + GRAM - 8] * _B) >> np.uint64(3))
+        grams ^= self.words[low + 8 : low + m + 8] * _C
         grams *= _A
         grams ^= grams >> np.uint64(32)
         grams *= _B
@@ -163,22 +165,17 @@ def written(documents: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, "slice string, bytes long"), "slice-names")
 
 
-def _hot(gram: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries belong to an anchor with more than ``HOT`` of them, and the places of the first and last of each such anchor."""
-    order = np.lexsort((docs, gram))
-    starts = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])[: len(order)])
-    sizes = np.diff(np.append(starts, len(order)))
-    hot = np.zeros(len(gram), bool)
-    hot[order] = np.repeat(sizes > HOT, sizes)
-    many = sizes > HOT
-    return hot, order[np.concatenate([starts[many], (starts + sizes - 1)[many]])]
+def _hot(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries belong to an anchor with more than ``HOT`` of them, and the place of one entry of each such anchor."""
+    _, place, which, sizes = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+    return (sizes > HOT)[which], place[sizes > HOT]
 
 
 def sent(names: DataFrame, shards: int, length: int) -> DataFrame:
     """``shard, slice, gram, hash, doc``: each distinct fragment of a slice with its smallest doc_id there, in the shard of its anchor.
 
     An anchor that many fragments of a slice share is open whatever other slices hold. Its fragments only have to meet their
-    equals, so they are spread by their own hash (shards from ``shards`` on), and two of them tell the anchor's shard.
+    equals, so they are spread by their own hash (shards from ``shards`` on), and a mark tells the anchor's shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,17 +186,20 @@ def sent(names: DataFrame, shards: int, length: int) -> DataFrame:
                 mine = mine[np.unique(found.hash[mine], return_index=True)[1]]
                 mixed = (found.gram[mine] ^ (found.gram[mine] >> np.uint64(31))) * _C
                 shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
-                hot, ends = _hot(found.gram[mine], docs[mine])
-                # A hot anchor's fragments go by their own hash to a second set of shards, its first and last one to its shard too.
-                spread = (found.hash[mine] ^ (found.hash[mine] >> np.uint64(31))) * _C
+                hot, marks = _hot(found.gram[mine])
+                # A hot anchor's fragments go by their own hash to a second set of shards. Its own shard gets a mark instead, so
+                # that whatever comes there from other slices is open.
+                hashes = found.hash[mine]
+                spread = (hashes ^ (hashes >> np.uint64(31))) * _C
                 second = ((spread >> np.uint64(33)) % np.uint64(shards)).astype(np.int32) + shards
-                mixed = np.concatenate([np.where(hot, spread, mixed), mixed[ends]])
-                shard = np.concatenate([np.where(hot, second, shard), shard[ends]])
-                mine = np.concatenate([mine, mine[ends]])
-                order = np.lexsort((docs[mine], shard))
-                mine, shard, mixed = mine[order], shard[order], mixed[order]
+                mixed = np.concatenate([np.where(hot, spread, mixed), mixed[marks]])
+                shard = np.concatenate([np.where(hot, second, shard), shard[marks]])
+                hashes = np.concatenate([hashes, np.full(len(marks), MARK)])
+                first = np.concatenate([docs[mine], np.full(len(marks), LAST)])
+                order = np.lexsort((first, shard))
+                shard, mixed, hashes, first = shard[order], mixed[order], hashes[order], first[order]
                 keys = _first(shard)
-                columns = _grouped(shard, mixed.astype(np.uint32).view(np.int32), found.hash[mine].view(np.int64), docs[mine])
+                columns = _grouped(shard, mixed.astype(np.uint32).view(np.int32), hashes.view(np.int64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([name] * len(keys), pa.string()), *columns], ["shard", "slice", "gram", "hash", "doc"])
 
     return names.select("slice").mapInArrow(run, "shard int, slice string, gram array<int>, hash array<long>, doc array<long>")
@@ -224,7 +224,8 @@ def _decide(table: pa.Table, shards: int) -> pa.Table:
     starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
     low, high = (f.reduceat(first, starts) for f in (np.minimum, np.maximum)) if len(starts) else (first, first)
     several = np.diff(np.append(starts, len(owner))) > 1
-    open_ = (several & (low != high) | hot)[owner]
+    marked = np.logical_or.reduceat(hash_[new] == MARK.astype(np.int64), starts) if len(starts) else several
+    open_ = (several & (low != high) | marked | hot)[owner]
     tell = np.flatnonzero((doc > first[fragment]) | open_[fragment])
     tell = tell[np.argsort(row[tell], kind="stable")]
     opened = open_[fragment[tell]] & (doc[tell] == first[fragment[tell]])
@@ -400,7 +401,6 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, shard_bytes: int
     decided = stored(
         sent(names, shards, length).repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _decide(t, shards), decide), "fragments-decided"
     )
-    release(documents.sparkSession)
     n_open = decided.agg(F.sum(F.expr("size(filter(open, x -> x))"))).first()[0] or 0
     sorts = max(1, -(-n_open * 2 * length // (4 * sort_bytes)))
     folder = shared_folder(documents.sparkSession, "queues")
@@ -412,7 +412,6 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, shard_bytes: int
         .applyInArrow(sort, "slice string, hash array<long>, first array<long>, mask array<long>"),
         "fragments-found",
     )
-    release(documents.sparkSession)
     news = decided.select("slice", "hash", "first", F.transform("hash", lambda x: F.lit(0).cast("long")).alias("mask")).unionByName(found)
     schema = documents.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).schema
     kind = pa.struct([f.with_nullable(True) for f in to_arrow_schema(schema)])

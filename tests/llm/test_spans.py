@@ -54,7 +54,7 @@ def found(frame, **options):
     return sorted(map(tuple, rows.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()), key=repr)
 
 
-@pytest.mark.parametrize("options,hot", [({}, 4), ({"shard_bytes": 20_000, "sort_bytes": 2000, "queue_bytes": 1 << 14}, 4), ({"length": 24}, 1), ({"shard_bytes": 30_000}, 0), ({}, 2)])
+@pytest.mark.parametrize("options,hot", [({}, 4), ({"shard_bytes": 20_000, "sort_bytes": 2000, "queue_bytes": 1 << 14}, 4), ({"length": 24}, 1), ({"shard_bytes": 30_000}, 0), ({}, 2), ({"shard_bytes": 25_000}, 3)])
 def test_against_brute_force(spark, monkeypatch, options, hot):
     monkeypatch.setattr(spans, "HOT", hot)
     rows = sample(seed=hot + 1)
