@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -51,6 +52,14 @@ def stored_path(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def give_back() -> None:
+    """At the end of a task: return this Python worker's freed memory to the machine, since workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def keyed_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text (null: empty), under fixed names: other columns cannot clash with an operator's own."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import keyed_texts, slices
+from casebook.llm.common import give_back, keyed_texts, slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64), dtype=np.uint64)
@@ -152,10 +152,11 @@ def featurised(rows: DataFrame, hashing: Hashing, carried: list[str]) -> DataFra
     """The carried columns and ``buckets``, the distinct buckets of ``text`` (never null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             lists = hashing.distinct(batch.column("text").to_pylist())
             buckets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), buckets], [*carried, "buckets"])
+        give_back()
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.select(*carried, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in carried) + ", buckets array<int>")
@@ -198,11 +199,12 @@ def score_udf(model: Linear, finish):
             for text in series:
                 part.append(text)
                 held += len(text)
-                if held > 1 << 19:
+                if held > 1 << 18:
                     out.append(finish(own.margins(part)))
                     part, held = [], 0
             if part:
                 out.append(finish(own.margins(part)))
             yield pd.Series(np.concatenate([*out, np.empty(0)]))
+        give_back()
 
     return score

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import drop_folder, keyed_texts, slices, stored, stored_path
+from casebook.llm.common import drop_folder, give_back, keyed_texts, slices, stored, stored_path
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -56,6 +56,7 @@ def fingerprints(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Da
         for batch in slices(batches, "text"):
             fps = [fingerprint(t, shingle_words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        give_back()
 
     return keyed_texts(documents).mapInArrow(run, "doc_id long, fp long")
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from casebook.llm import induced
-from casebook.llm.common import shared_folder, slices, stored
+from casebook.llm.common import give_back, shared_folder, slices, stored
 from casebook.llm.warc import store
 
 LENGTH = 50
@@ -201,6 +201,7 @@ def sent(names: DataFrame, shards: int, length: int) -> DataFrame:
                 keys = _first(shard)
                 columns = _grouped(shard, mixed.astype(np.uint32).view(np.int32), hashes.view(np.int64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([name] * len(keys), pa.string()), *columns], ["shard", "slice", "gram", "hash", "doc"])
+                give_back()
 
     return names.select("slice").mapInArrow(run, "shard int, slice string, gram array<int>, hash array<long>, doc array<long>")
 
@@ -266,6 +267,8 @@ def opened(decided: DataFrame, shards: int, length: int) -> DataFrame:
         keys = _first(shard)
         cuts = np.append(np.searchsorted(shard, keys), len(shard)).tolist()
         bodies = [b"".join(parts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        del parts
+        give_back()
         columns = _grouped(shard, key.view(np.int64), found.hash[mine[which]].view(np.int64), docs[mine[which]], window.astype(np.int8), size.astype(np.uint8).view(np.int8))
         return pa.table([pa.array(keys), pa.array([name] * len(keys), pa.string()), *columns, pa.array(bodies, pa.binary())], ["shard", "slice", "key", "hash", "doc", "first", "size", "body"])
 
@@ -329,6 +332,7 @@ def _sorted_shard(length: int, folder: str, sort_bytes: int, queue_bytes: int):
                 sort(np.concatenate(group))
         finally:
             scratch.close()
+            give_back()
         hit = np.flatnonzero(masks)
         hit = hit[np.argsort(row[hit], kind="stable")]
         columns = _grouped(row[hit], hash_[hit], np.full(len(hit), LAST), masks[hit].view(np.int64))
@@ -375,6 +379,8 @@ def _taken_out(kind: pa.StructType, length: int):
         columns = [pa.array(texts, pa.string()) if f.name == "text" else table.column(f.name).combine_chunks() for f in kind]
         columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
         sizes = np.diff(found.ends, prepend=-1) - 1
+        del step, gone, data
+        give_back()
         row = pa.StructArray.from_arrays(columns, fields=list(kind))
         return pa.table([row, pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
