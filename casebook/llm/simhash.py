@@ -9,6 +9,7 @@ Candidates of a cell are verified by exact Hamming distance inside the join.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,16 +50,20 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` of every row, whole texts (null: empty)."""
+def fingerprints(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, sums: bool = False) -> DataFrame:
+    """``doc_id, fp`` (and ``sum``, the text's SHA-256, if wanted) of every row, whole texts (null: empty)."""
+    names = ["doc_id", "fp"] + ["sum"] * sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps = [fingerprint(t, shingle_words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            texts = batch.column("text").to_pylist()
+            columns = [batch.column("doc_id"), pa.array([fingerprint(t, shingle_words) for t in texts], pa.int64())]
+            if sums:
+                columns.append(pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
         give_back()
 
-    return keyed_texts(documents).mapInArrow(run, "doc_id long, fp long")
+    return keyed_texts(documents).mapInArrow(run, "doc_id long, fp long" + ", sum binary" * sums)
 
 
 def _counts(fp: Column, half: int) -> Column:
@@ -128,6 +133,14 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(fps: DataFrame, first: Column, max_bits: int) -> DataFrame:
+    """``fp, first, root``: each fingerprint once, the least ``first`` of its rows, and its component."""
+    nodes = stored(fps.groupBy("fp").agg(F.min(first).alias("first")), "fingerprint-nodes")
+    roots = components(stored(links(nodes, max_bits), "fingerprint-links"))
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return stored(rooted, "fingerprint-roots")
+
+
 def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fingerprint, component_id``: the fingerprint in 16 hex digits and the smallest doc_id that links reach.
 
@@ -136,19 +149,24 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, ma
     smallest; a component of null doc_ids only has a null id. No rows give no rows; other columns are left out.
     """
     fps = stored(fingerprints(documents, shingle_words), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    roots = components(stored(links(nodes, max_bits), "fingerprint-links"))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "fingerprint-roots")
+    rooted = _rooted(fps, F.col("doc_id"), max_bits)
     ids = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "fingerprint-components")
     named = stored(rooted.join(ids, "root").select("fp", "component_id"), "fingerprint-ids")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents, all columns, of which each component keeps one row: that of its smallest doc_id."""
-    found = near_duplicates(documents, shingle_words, max_bits)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    kept = stored(kept, "fingerprint-kept")
-    rows = documents.join(kept, documents["doc_id"].cast("long").eqNullSafe(kept["kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The documents, all columns, of which each component keeps one row: that of its smallest doc_id.
+
+    A null doc_id comes after all others. Of different texts under one doc_id in one component, that of the smallest SHA-256
+    stays; in different components each text stays. Of rows of equal doc_id and text any one stays (null: as empty).
+    """
+    fps = stored(fingerprints(documents, shingle_words, sums=True), "fingerprints")
+    # A doc_id and a text belong to one component only, so together they name what it keeps.
+    rooted = _rooted(fps, F.struct(F.col("doc_id").isNull(), "doc_id", "sum"), max_bits)
+    kept = stored(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.sum"), "fingerprint-kept")
+    rows = documents.select(F.struct("*").alias("doc"))
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    rows = rows.select("doc", F.col("doc.doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sum"))
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["sum"] == kept["sum"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "sum"]).select("doc.*")

@@ -88,3 +88,16 @@ def test_first_of_each_nulls_and_no_rows(spark):
     kept = simhash.first_of_each(frame).collect()
     assert sorted((r.doc_id or -1, r.text, r.lang) for r in kept) == [(-1, "x", "en"), (3, "a b c d", "en"), (9, "other words here", "en")]
     assert simhash.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_first_of_each_keeps_a_row_of_every_component(spark):
+    """Different texts under one doc_id or under null are not one document; a null row does not bring back a copy of a kept one."""
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)) for _ in range(5))
+    frame = docs(spark, [a, b, c, d, e, a, c, d, d], [9, 9, None, None, 1, None, None, None, 4])
+    for rows in (frame, clash(frame, "kept", "sum", "first", "doc", "root")):
+        kept = simhash.first_of_each(rows)
+        assert kept.columns == rows.columns
+        assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([(9, a), (9, b), (-1, c), (4, d), (1, e)])
+    one = docs(spark, ["same words here", "Same words here", "SAME words here"], [2, 2, None])
+    assert [r.doc_id for r in simhash.first_of_each(one).collect()] == [2]
