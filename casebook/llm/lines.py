@@ -27,33 +27,39 @@ def line_keys(text: str, min_chars: int = MIN_CHARS) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(k.encode()) if len(k) >= min_chars else None for k in keys]
 
 
+def _part(text: Column) -> Column:
+    """Tells rows of one doc_id (or of none) apart. Those that share a hash lose the same keys, so a collision changes no result."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def exploded(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, key``: each key of a row once."""
+    """``doc_id, part, key``: each key of a row once; ``part`` is a hash of the row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids, keys = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids, parts, keys = [], [], []
+            for doc, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "text")), strict=True):
                 own = set(line_keys(text, min_chars)) - {None}
                 ids.extend([doc] * len(own))
+                parts.extend([part] * len(own))
                 keys.extend(own)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "part": pa.array(parts, pa.int64()), "key": pa.array(keys, pa.binary())})
 
-    return keyed_texts(documents).mapInArrow(run, "doc_id long, key binary")
+    return keyed_texts(documents).withColumn("part", _part(F.col("text"))).mapInArrow(run, "doc_id long, part long, key binary")
 
 
 def marked(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``doc_id, keys``: for every document that loses lines, the keys it loses.
+    """``doc_id, part, keys``: for every doc_id and text that loses lines, the keys it loses.
 
     Distinct documents are counted in two steps, by (key, document) and then by key, so a line that a third of all
     documents hold is combined before it moves. The repeated keys are written, and the join back is between two
-    plain shuffles, which the adaptive skew join can split. A document's list is at most as long as its lines.
+    plain shuffles, which the adaptive skew join can split. A list is at most as long as the lines of one row, however many rows share a doc_id.
     """
     lines = stored(exploded(documents, min_chars), "line-keys")
     holders = lines.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n"), F.min("doc_id").alias("first"))
     repeated = stored(holders.filter(F.col("n") >= min_docs).select("key", "first"), "line-repeated")
     losing = lines.join(repeated, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return stored(losing.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "line-marked")
+    return stored(losing.groupBy("doc_id", "part").agg(F.collect_set("key").alias("keys")), "line-marked")
 
 
 def _kept(min_chars: int):
@@ -86,9 +92,11 @@ def drop_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     comes after all others. Further columns ride inside the struct, so their names cannot clash.
     """
     marks = marked(documents, min_chars, min_docs)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("doc"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _part(F.col("text")).alias("part"), F.struct("*").alias("doc"))
     text: Column = F.col("doc.text").cast("string")
-    joined = rows.join(marks.withColumnRenamed("doc_id", "losing"), F.col("doc_id").eqNullSafe(F.col("losing")), "left")
+    marks = marks.withColumnsRenamed({"doc_id": "losing", "part": "losing_part"})
+    same = F.col("doc_id").eqNullSafe(F.col("losing")) & (F.col("part") == F.col("losing_part"))
+    joined = rows.join(marks, same, "left")
     # Texts without a mark do not travel to Python.
     cut = joined.withColumn("kept", _kept(min_chars)(F.when(F.col("keys").isNotNull(), text), F.col("keys")))
     breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))

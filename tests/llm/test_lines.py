@@ -57,3 +57,12 @@ def test_other_columns_stay_and_no_rows(spark):
     got = {r.doc.doc_id: r.doc for r in lines.drop_lines(frame).collect()}
     assert got[1].text == "and mine alone" and got[1].lang == "en" and got[0].text == "one long line here"
     assert lines.digests(frame.limit(0)).collect() == []
+
+
+def test_lists_are_bounded_by_one_row(spark):
+    """Many rows without doc_id, or of one doc_id, that each lose lines of their own."""
+    held = ["\n".join(f"line {j} of document number {i}" for j in range(3)) for i in range(40)]
+    rows = [*enumerate(held), *((None, f"{t}\nmy own line {i} here") for i, t in enumerate(held)), *((99, t) for t in held), (None, held[0]), (None, None)]
+    frame = clash(docs(spark, [t for _, t in rows], [d for d, _ in rows]), "part", "losing_part", "keys")
+    assert max(len(r["keys"]) for r in lines.marked(frame).collect()) == 3
+    assert sorted(map(tuple, lines.digests(frame).collect()), key=repr) == expected(rows)
