@@ -9,7 +9,7 @@ of least hash, so equal windows meet wherever they stand. Consecutive windows wi
 3. Open fragments travel as bytes, in two halves (windows that reach far to the left or to the right of the anchor), each
    dealt by 35 bytes that all its windows share. Halves of one such key go through external induced sorting
    (``induced``); runs of suffixes with a common prefix of ``length`` are equal windows, and all but those of the
-   smallest doc_id are marked.
+   smallest doc_id are marked. A key with more than ``sort_bytes`` of halves is not sorted: its windows are dealt one by one.
 4. Each slice collects what was found for its fragments and takes the covered bytes out.
 
 A common passage counts once for each slice before it moves, and is compared as a fragment, not as pairs of documents. A short
@@ -234,6 +234,10 @@ def _decide(table: pa.Table, shards: int) -> pa.Table:
     return pa.table([pa.array([names[r] for r in _first(row[tell])], pa.string()), *columns], ["slice", "hash", "first", "open"])
 
 
+_HALVES = ["shard", "slice", "key", "hash", "doc", "first", "size", "body"]
+_HALVES_SCHEMA = "shard int, slice string, key array<long>, hash array<long>, doc array<long>, first array<tinyint>, size array<tinyint>, body binary"
+
+
 def _halves(found: Fragments, chosen: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """The halves of fragments: index in ``chosen``, key, first window (counted in the fragment), start, size."""
     context = (length - GRAM) // 2
@@ -249,8 +253,11 @@ def _halves(found: Fragments, chosen: np.ndarray, length: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def opened(decided: DataFrame, shards: int, length: int) -> DataFrame:
-    """``shard, slice, key, hash, doc, first, size, body``: the open fragments' halves with their bytes, one after the other."""
+def opened(decided: DataFrame, shards: int, length: int, many: int = 0) -> DataFrame:
+    """``shard, slice, key, hash, doc, first, size, body, heavy, heavy_bytes``: the open fragments' halves with their bytes, one after the other.
+
+    ``heavy`` are the keys whose halves hold more than ``many`` bytes in the slice.
+    """
     wanted = decided.select("slice", F.expr("transform(filter(arrays_zip(hash, open), x -> x.open), x -> x.hash)").alias("hash")).filter("size(hash) > 0")
 
     def run(table: pa.Table) -> pa.Table:
@@ -270,12 +277,92 @@ def opened(decided: DataFrame, shards: int, length: int) -> DataFrame:
         del parts
         give_back()
         columns = _grouped(shard, key.view(np.int64), found.hash[mine[which]].view(np.int64), docs[mine[which]], window.astype(np.int8), size.astype(np.uint8).view(np.int8))
-        return pa.table([pa.array(keys), pa.array([name] * len(keys), pa.string()), *columns, pa.array(bodies, pa.binary())], ["shard", "slice", "key", "hash", "doc", "first", "size", "body"])
-
-    schema = "shard int, slice string, key array<long>, hash array<long>, doc array<long>, first array<tinyint>, size array<tinyint>, body binary"
+        known, place, of = np.unique(key, return_index=True, return_inverse=True)
+        held = np.bincount(of, weights=size, minlength=len(known)).astype(np.int64)
+        heavy = np.flatnonzero(held > many)
+        heavy = heavy[np.argsort(shard[place[heavy]], kind="stable")]
+        cuts = np.append(np.searchsorted(shard[place[heavy]], keys), len(heavy)).astype(np.int32)
+        reports = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(c)) for c in (known[heavy].view(np.int64), held[heavy])]
+        return pa.table([pa.array(keys), pa.array([name] * len(keys), pa.string()), *columns, pa.array(bodies, pa.binary()), *reports], [*_HALVES, "heavy", "heavy_bytes"])
+
+    schema = f"{_HALVES_SCHEMA}, heavy array<long>, heavy_bytes array<long>"
     return wanted.groupBy("slice").applyInArrow(run, schema)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, bytes, dict[str, np.ndarray]]]:
+    """Each row of halves: shard, slice, body, and its lists as arrays, with the place ``at`` of each half in the body."""
+    for batch in batches:
+        for i in range(len(batch)):
+            row = pa.Table.from_batches([batch.slice(i, 1)])
+            lists = {c: _lists(row, c)[0] for c in _HALVES[2:7]}
+            lists["size"] = lists["size"].view(np.uint8).astype(np.int64)
+            lists["at"] = np.cumsum(lists["size"]) - lists["size"]
+            yield row.column("shard")[0].as_py(), row.column("slice")[0].as_py(), row.column("body")[0].as_py(), lists
+
+
+def hot_keys(halves: DataFrame, many: int) -> np.ndarray:
+    """Keys of which the slices report more than ``many`` bytes together: one for each ``many`` bytes of all halves at most."""
+    told = halves.select(F.explode(F.arrays_zip("heavy", "heavy_bytes")).alias("x")).groupBy("x.heavy").agg(F.sum("x.heavy_bytes").alias("n"))
+    return np.array([r[0] for r in told.filter(F.col("n") > many).select("heavy").collect()], np.int64)
+
+
+def _without(hot: np.ndarray):
+    """Halves without those of hot keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, name, body, x in _rows(batches):
+            left = np.flatnonzero(~np.isin(x["key"], hot))
+            if not len(left):
+                continue
+            if len(left) < len(x["key"]):
+                body = b"".join([body[a : a + n] for a, n in zip(x["at"][left].tolist(), x["size"][left].tolist(), strict=True)])
+            lists = (x["key"][left], x["hash"][left], x["doc"][left], x["first"][left], x["size"][left].astype(np.uint8).view(np.int8))
+            columns = _grouped(np.zeros(len(left), np.int8), *lists)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name], pa.string()), *columns, pa.array([body], pa.binary())], _HALVES)
+
+    return run
+
+
+def _single_windows(hot: np.ndarray, length: int):
+    """Each different window in a slice's halves of hot keys: its smallest doc_id there, and all the fragments that hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, name, body, x in _rows(batches):
+            mine = np.flatnonzero(np.isin(x["key"], hot))
+            mine = mine[np.argsort(x["key"][mine], kind="stable")]
+            # Equal windows have one key, so keys may be taken one by one, and few windows are in memory at once.
+            for part in np.split(mine, np.flatnonzero(np.diff(x["key"][mine])) + 1) if len(mine) else ():
+                count = x["size"][part] - length + 1
+                half = np.repeat(part, count)
+                nth = np.arange(len(half)) - np.repeat(np.cumsum(count) - count, count)
+                data = np.frombuffer(body, np.uint8)
+                strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[x["at"][half] + nth]).view(f"V{length}").ravel()
+                known, of = np.unique(strings, return_inverse=True)
+                order = np.lexsort((x["doc"][half], of))
+                half, nth, of = half[order], nth[order], of[order]
+                new = np.append(True, of[1:] != of[:-1])
+                columns = _grouped(of, x["hash"][half], x["doc"][half], (x["first"][half] + nth).astype(np.int8))
+                windows = pa.array([k.tobytes() for k in known], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(known), pa.string()), windows, pa.array(x["doc"][half][new]), *columns], ["slice", "window", "least", "hash", "doc", "first"])
+        give_back()
+
+    return run
+
+
+def repeated_by_window(halves: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
+    """``slice, hash, first, mask`` for the halves of hot keys, whose windows meet one by one, byte by byte.
+
+    The smallest doc_id of a window is combined before it moves, and the join back is between two plain shuffles, which the
+    adaptive skew join can split: no task holds all that shares a key, or a window.
+    """
+    windows = stored(halves.mapInArrow(_single_windows(hot, length), "slice string, window binary, least long, hash array<long>, doc array<long>, first array<tinyint>"), "hot-windows")
+    first = stored(windows.groupBy("window").agg(F.min("least").alias("smallest")), "hot-windows-first")
+    held = windows.join(first, "window").select("slice", "smallest", F.explode(F.arrays_zip("hash", "doc", "first")).alias("x")).filter("x.doc > smallest")
+    masks = held.groupBy("slice", "x.hash").agg(F.bit_or(F.expr("shiftleft(1L, x.first)")).alias("mask"))
+    lists = masks.groupBy("slice").agg(F.collect_list(F.struct("hash", "mask")).alias("x"))
+    return stored(lists.select("slice", "x.hash", F.transform("x", lambda _: F.lit(LAST)).alias("first"), "x.mask"), "hot-windows-found")
+
+
 def repeated_windows(parts: list[bytes], docs: np.ndarray, length: int, scratch: induced.Scratch | None, most: int = induced.QUEUE_BYTES) -> list[np.ndarray]:
     """For each part the starts of windows that also stand in a part of a smaller doc_id, by suffix order of all parts."""
     # Bytes of UTF-8 end at 244: one up, and 0 between the parts.
@@ -411,13 +498,20 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, shard_bytes: int
     sorts = max(1, -(-n_open * 2 * length // (4 * sort_bytes)))
     folder = shared_folder(documents.sparkSession, "queues")
     sort = _sorted_shard(length, folder, sort_bytes, queue_bytes)
+    # A key that no slice reports holds half of sort_bytes at most, and what goes unreported of any other is no more than that.
+    halves = stored(opened(decided.repartition(tasks, "slice"), sorts, length, sort_bytes // (2 * max(1, n_slices))), "fragments-open")
+    hot = hot_keys(halves, sort_bytes // 2)
+    cold = halves.select(*_HALVES)
+    if len(hot):
+        cold = cold.mapInArrow(_without(hot), _HALVES_SCHEMA)
     found = stored(
-        opened(decided.repartition(tasks, "slice"), sorts, length)
-        .repartition(sorts, "shard")
+        cold.repartition(sorts, "shard")
         .groupBy("shard")
         .applyInArrow(sort, "slice string, hash array<long>, first array<long>, mask array<long>"),
         "fragments-found",
     )
+    if len(hot):
+        found = found.unionByName(repeated_by_window(halves.select(*_HALVES), hot, length))
     news = decided.select("slice", "hash", "first", F.transform("hash", lambda x: F.lit(0).cast("long")).alias("mask")).unionByName(found)
     schema = documents.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).schema
     kind = pa.struct([f.with_nullable(True) for f in to_arrow_schema(schema)])

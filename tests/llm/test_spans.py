@@ -123,3 +123,25 @@ def test_hot_key_goes_through_files(tmp_path):
         for i in range(len(p) - 49):
             first.setdefault(p[i : i + 50], d)
     assert scratch.written and [g.tolist() for g in got] == [[i for i in range(len(p) - 49) if first[p[i : i + 50]] < d] for d, p in enumerate(parts)]
+
+
+def test_no_sort_holds_a_hot_key(spark, monkeypatch):
+    """One passage in many surroundings: its edges are keys of far more than ``sort_bytes``, and no task may sort them at once."""
+    most, sort = 5000, spans.repeated_windows
+
+    def bounded(parts, *rest):
+        assert sum(map(len, parts)) <= 2 * most
+        return sort(parts, *rest)
+
+    monkeypatch.setattr(spans, "repeated_windows", bounded)
+    monkeypatch.setattr(spans, "SLICE_BYTES", 6000)
+    rng = random.Random(8)
+    passage = "The same notice stands in each of these documents, whatever else is in them."
+
+    def side():
+        return rng.choice([str(rng.random()), "some usual words", f"{rng.random()} some", ""]) + rng.choice("ab ")
+
+    rows = [(rng.choice([None, i, i, i, 7]), side() + side() + passage + rng.choice("ab ") + side()) for i in range(500)]
+    key = [d for d, _ in rows]
+    got = found(docs(spark, [t for _, t in rows], key), sort_bytes=most)
+    assert got == brute(rows) and sum(r[2] for r in got) > 20_000
