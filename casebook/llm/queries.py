@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import bpe, lines, packing, quality, sharding, simhash, spans, topk, toxicity, warc
+from casebook.llm import bpe, ftrl, lines, packing, quality, sharding, simhash, spans, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_suffix")
 def op10_suffix(spark: SparkSession, folder: str) -> DataFrame:
     return spans.digests(table(spark, folder, "documents"))
+
+
+@query("op13_ftrl")
+def op13_ftrl(spark: SparkSession, folder: str) -> DataFrame:
+    return ftrl.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
