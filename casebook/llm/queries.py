@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import bpe, ftrl, lines, packing, quality, sharding, simhash, spans, topk, toxicity, warc
+from casebook.llm import audit, bpe, ftrl, lines, packing, phrases, quality, sharding, simhash, spans, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,81 @@ def op10_suffix(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_ftrl")
 def op13_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     return ftrl.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    "op11_phrases",
+    """
+    WITH p AS (
+      SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[.,;:!?\\x0A-\\x0D]')) AS piece
+      FROM documents),
+    w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS ws FROM p),
+    g AS (
+      SELECT lang, ws[i:i + k - 1] AS words, k
+      FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), range(1, 6) AS t(k)
+      WHERE i + k - 1 <= len(ws)),
+    f AS (SELECT lang, words, k, array_to_string(words, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+    t AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT * FROM f WHERE k >= 2 AND f >= 100),
+    h AS (SELECT c.*, j, array_to_string(words[1:j], ' ') AS one, array_to_string(words[j + 1:], ' ') AS two FROM c, range(1, 5) AS u(j) WHERE j < k),
+    s AS (
+      SELECT h.lang, h.phrase, h.f AS a, x.f AS l, y.f AS r, t.n, h.words, h.k, j,
+             (1000::HUGEINT * h.f * t.n) // (x.f::HUGEINT * y.f) AS score
+      FROM h JOIN f AS x ON x.lang = h.lang AND x.phrase = h.one JOIN f AS y ON y.lang = h.lang AND y.phrase = h.two JOIN t ON t.lang = h.lang),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    z AS (
+      SELECT b.* FROM b
+      WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.f >= 100 * b.a
+                        AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+    SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+    """,
+)
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query(
+    "op12_audit",
+    """
+    WITH d AS (
+      SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+             [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws
+      FROM documents),
+    l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    m AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed
+      FROM d LEFT JOIN l USING (doc_id)),
+    c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, failed),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+    o AS (
+      SELECT v.f || w.f || x.f || y.f || z.f AS filter_order
+      FROM f AS v JOIN f AS w ON w.f <> v.f JOIN f AS x ON x.f NOT IN (v.f, w.f) JOIN f AS y ON y.f NOT IN (v.f, w.f, x.f)
+      JOIN f AS z ON z.f NOT IN (v.f, w.f, x.f, y.f)),
+    s AS (SELECT filter_order, step::INTEGER AS step, filter_order[step] AS filter, filter_order[:step - 1] AS before FROM o, range(1, 6) AS r(step)),
+    r AS (
+      SELECT part, filter_order, step, filter, n, good, toxic,
+             before <> '' AND regexp_matches(failed, '[' || before || '-]') AS earlier, contains(failed, filter) AS fails, failed = filter AS alone
+      FROM c, s),
+    a AS (
+      SELECT part, filter_order, step, filter,
+             coalesce(sum(n) FILTER (NOT earlier AND NOT fails), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (NOT earlier AND fails), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (earlier AND fails), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (NOT earlier AND fails), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (NOT earlier AND fails), 0)::BIGINT AS toxic_lost
+      FROM r GROUP BY part, filter_order, step, filter)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+    FROM a
+    """,
+)
+def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
