@@ -131,19 +131,20 @@ def op13_ftrl(spark: SparkSession, folder: str) -> DataFrame:
              unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                           '[.,;:!?\\x0A-\\x0D]')) AS piece
       FROM documents),
-    w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS ws FROM p),
-    g AS (
-      SELECT lang, ws[i:i + k - 1] AS words, k
-      FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), range(1, 6) AS t(k)
-      WHERE i + k - 1 <= len(ws)),
-    f AS (SELECT lang, words, k, array_to_string(words, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+    w AS (SELECT lang, row_number() OVER () AS id, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS ws FROM p),
+    e AS (SELECT lang, id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM w),
+    v AS (
+      SELECT lang, [w, lead(w, 1) OVER b, lead(w, 2) OVER b, lead(w, 3) OVER b, lead(w, 4) OVER b] AS ws
+      FROM e WINDOW b AS (PARTITION BY id ORDER BY pos)),
+    g AS (SELECT lang, ws[:k] AS words, k FROM v, range(1, 6) AS t(k) WHERE ws[k] IS NOT NULL),
+    f AS MATERIALIZED (SELECT lang, words, k, array_to_string(words, ' ') AS phrase, lang || chr(10) || phrase AS key, count(*) AS f FROM g GROUP BY ALL),
     t AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
-    c AS (SELECT * FROM f WHERE k >= 2 AND f >= 100),
-    h AS (SELECT c.*, j, array_to_string(words[1:j], ' ') AS one, array_to_string(words[j + 1:], ' ') AS two FROM c, range(1, 5) AS u(j) WHERE j < k),
+    c AS MATERIALIZED (SELECT * FROM f WHERE k >= 2 AND f >= 100),
+    h AS (SELECT c.*, j, lang || chr(10) || array_to_string(words[:j], ' ') AS one, lang || chr(10) || array_to_string(words[j + 1:], ' ') AS two FROM c, range(1, 5) AS u(j) WHERE j < k),
     s AS (
       SELECT h.lang, h.phrase, h.f AS a, x.f AS l, y.f AS r, t.n, h.words, h.k, j,
              (1000::HUGEINT * h.f * t.n) // (x.f::HUGEINT * y.f) AS score
-      FROM h JOIN f AS x ON x.lang = h.lang AND x.phrase = h.one JOIN f AS y ON y.lang = h.lang AND y.phrase = h.two JOIN t ON t.lang = h.lang),
+      FROM h JOIN f AS x ON x.key = h.one JOIN f AS y ON y.key = h.two JOIN t ON t.lang = h.lang),
     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
     z AS (
       SELECT b.* FROM b
