@@ -32,7 +32,11 @@ inputs(
         UNION ALL SELECT n_nationkey, 'Suppliers', 2, 3, ' ', true FROM {nation}
         UNION ALL SELECT doc_id, 'Suppliers', CAST(rn AS INT), 1, s_name, true FROM {supplier_rows}
         UNION ALL SELECT doc_id, 'Suppliers', CAST(rn AS INT), 2, CAST(s_suppkey AS STRING), false FROM {supplier_rows}
-        UNION ALL SELECT doc_id, 'Suppliers', CAST(rn AS INT), 3, CASE WHEN s_acctbal > 5000 THEN '7' ELSE '' END, false FROM {supplier_rows}""",
+        UNION ALL SELECT doc_id, 'Suppliers', CAST(rn AS INT), 3, CASE WHEN s_acctbal > 5000 THEN '7' ELSE '' END, false FROM {supplier_rows}
+        -- a wordy record with more labels than the header, between two plain ones
+        UNION ALL SELECT n_nationkey, 'Suppliers', 100000 + p, 1, 'nut', true FROM {nation}, (SELECT 0 AS p UNION ALL SELECT 4) x
+        UNION ALL SELECT n_nationkey, 'Suppliers', 100000 + p, 2, '5', false FROM {nation}, (SELECT 0 AS p UNION ALL SELECT 4) x
+        UNION ALL SELECT n_nationkey, 'Suppliers', 100002, c, 'see note', true FROM {nation}, (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) x""",
     figure_images="""
         SELECT l_suppkey AS doc_id, CASE WHEN l_returnflag = 'A' THEN 'docx' ELSE 'pdf' END AS kind,
           l_orderkey * 10 + l_linenumber AS ord, CAST(l_quantity * 10 AS INT) AS width, CAST(l_quantity * 20 AS INT) AS height,
@@ -219,7 +223,9 @@ def markdown_sections(spark, sf):
 
 @query("sheet_records", """
     SELECT doc_id, rn AS ord, 'Sheet Suppliers — Row ' || rn || ' — Name: ' || s_name || ' | Key: ' || s_suppkey
-      || CASE WHEN s_acctbal > 5000 THEN ' | Column 3: 7' ELSE '' END AS text, 'Suppliers' AS section FROM {supplier_rows}""")
+      || CASE WHEN s_acctbal > 5000 THEN ' | Column 3: 7' ELSE '' END AS text, 'Suppliers' AS section FROM {supplier_rows}
+    UNION ALL SELECT n_nationkey, 100000 + p, 'Sheet Suppliers — Row ' || (100000 + p) || ' — Name: nut | Key: 5', 'Suppliers' FROM {nation}, (SELECT unnest([0, 4]) AS p)
+    UNION ALL SELECT n_nationkey, 100002, 'Sheet Suppliers — Row 100002 — Name: see note | Key: see note | Column 3: see note | Column 4: see note', 'Suppliers' FROM {nation}""")
 def sheet_records(spark, sf):
     return blocks.sheet_records(given(spark, sf, "supplier_cells")).select("doc_id", "ord", "text", "section")
 
@@ -227,7 +233,9 @@ def sheet_records(spark, sf):
 @query("record_parse", """
     SELECT doc_id, rn AS row, 'Name' AS header, s_name AS value FROM {supplier_rows}
     UNION ALL SELECT doc_id, rn, 'Key', CAST(s_suppkey AS VARCHAR) FROM {supplier_rows}
-    UNION ALL SELECT doc_id, rn, 'Column 3', '7' FROM {supplier_rows} WHERE s_acctbal > 5000""")
+    UNION ALL SELECT doc_id, rn, 'Column 3', '7' FROM {supplier_rows} WHERE s_acctbal > 5000
+    UNION ALL SELECT n_nationkey, 100000 + p, h, CASE h WHEN 'Name' THEN 'nut' ELSE '5' END FROM {nation}, (SELECT unnest([0, 4]) AS p), (SELECT unnest(['Name', 'Key']) AS h)
+    UNION ALL SELECT n_nationkey, 100002, h, 'see note' FROM {nation}, (SELECT unnest(['Name', 'Key', 'Column 3', 'Column 4']) AS h)""")
 def record_parse(spark, sf):
     chunks = blocks.sheet_records(given(spark, sf, "supplier_cells")).withColumnRenamed("text", "content")
     found = evidence.records(chunks, ["doc_id"], ["ord"])

@@ -448,7 +448,10 @@ inputs(
         UNION ALL SELECT 1000000 + s_suppkey, 17 + s_nationkey, 'Joint', 'WPS No.', 'Welder ID' FROM {supplier} WHERE s_suppkey % 9 NOT IN (4, 5) AND s_suppkey % 10 <> 7
         UNION ALL SELECT 1000000 + s_suppkey, 60, 'J-1', 'WPS-1', 'W-' || s_nationkey FROM {supplier} WHERE s_suppkey % 9 <> 4 AND s_suppkey % 10 <> 7
         UNION ALL SELECT 1000000 + s_suppkey, 61, 'J-2', 'WPS-1', ' ' FROM {supplier} WHERE s_suppkey % 9 <> 4 AND s_suppkey % 10 <> 7
-        UNION ALL SELECT 1000000 + s_suppkey, 62, ' ', '', ' ' FROM {supplier} WHERE s_suppkey % 9 <> 4 AND s_suppkey % 10 <> 7""",
+        UNION ALL SELECT 1000000 + s_suppkey, 62, ' ', '', ' ' FROM {supplier} WHERE s_suppkey % 9 <> 4 AND s_suppkey % 10 <> 7
+        -- records whose wording names columns, one of them with more names than the header
+        UNION ALL SELECT 1000000 + s_suppkey, 63, 'joint 9, welder stamp and thickness 8', 'WPS-3', 'W-1' FROM {supplier} WHERE s_suppkey % 9 <> 4 AND s_suppkey % 10 <> 7
+        UNION ALL SELECT 1000000 + s_suppkey, 64, 'welder and position', 'date of WPS', 'W-2' FROM {supplier} WHERE s_suppkey % 9 NOT IN (4, 5) AND s_suppkey % 10 <> 7""",
 )
 
 
@@ -460,7 +463,8 @@ def _raw_logs(spark, sf):
 
 @query("unread_logs", """
     SELECT 1000000 + s_suppkey AS doc_id, CASE WHEN s_suppkey % 9 IN (4, 5) THEN NULL ELSE 'W-' || s_nationkey END AS welder, s_suppkey % 9 IN (4, 5) AS unreadable
-    FROM {supplier} WHERE s_suppkey % 10 <> 7""")
+    FROM {supplier} WHERE s_suppkey % 10 <> 7
+    UNION ALL SELECT 1000000 + s_suppkey, unnest(['W-1', 'W-2']), false FROM {supplier} WHERE s_suppkey % 9 NOT IN (4, 5) AND s_suppkey % 10 <> 7""")
 def unread_logs(spark, sf):
     """Logs read from raw rows: empty ones and ones without a header are reported, blank rows and rows without a welder left out."""
     rows, errors, _ = _raw_logs(spark, sf)

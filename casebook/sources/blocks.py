@@ -112,9 +112,11 @@ def html(pages: DataFrame, doc: str = "page_id", source: str = "html") -> DataFr
 def sheet_records(cells: DataFrame, header_rows: int | None = None) -> DataFrame:
     """Spreadsheet rows as record blocks.
 
-    ``cells``: doc_id, sheet, row, col (from 1), value, is_text. The header is the best row (of the first
-    ``header_rows``, if given) by text labels, filled cells, then position. Grouping is by (document, sheet, row): a
-    huge sheet is many small groups, and its header is a map-side combined maximum over them.
+    ``cells``: doc_id, sheet, row, col (from 1), value, is_text. The header stands above the records, and records have
+    numbers: it is the best row above the first one with a numeric cell, by text labels, filled cells, then position. Where
+    nothing stands above, it is the first row; where no cell is numeric, the first row of two cells or more. So no later
+    row, however wordy, cuts off the records above it. With ``header_rows`` only the first so many rows are looked at.
+    Grouping is by (document, sheet, row): a huge sheet is many small groups, combined in the map tasks.
     """
     sheet = ["doc_id", "sheet"]
     filled = cells.filter(F.col("value").isNotNull() & (strip(F.col("value")) != ""))
@@ -124,9 +126,15 @@ def sheet_records(cells: DataFrame, header_rows: int | None = None) -> DataFrame
         tried.groupBy(*sheet, "row")
         .agg(F.count_if(is_label).alias("labels"), F.count(F.lit(1)).alias("cells"))
     )
-    heads = scored.groupBy(*sheet).agg(
-        F.max_by("row", F.struct("labels", "cells", (-F.col("row")).alias("early"))).alias("head_row")
+    edges = scored.groupBy(*sheet).agg(
+        F.min(F.when(F.col("labels") < F.col("cells"), F.col("row"))).alias("first_number"),
+        F.min(F.when(F.col("cells") > 1, F.col("row"))).alias("first_wide"),
+        F.min("row").alias("first_row"),
     )
+    above = scored.filter("labels = cells").join(edges, sheet).filter("row < first_number")
+    best = above.groupBy(*sheet).agg(F.max_by("row", F.struct("labels", "cells", (-F.col("row")).alias("early"))).alias("best"))
+    order = F.when(F.col("first_number").isNull(), F.col("first_wide")).otherwise(F.col("best"))
+    heads = edges.join(best, sheet, "left").select(*sheet, F.coalesce(order, "first_row").alias("head_row"))
     head_cells = (
         tried.join(heads, sheet)
         .filter("row = head_row")

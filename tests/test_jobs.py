@@ -197,6 +197,18 @@ def test_log_header_may_stand_low(spark):
     assert fields.weld_log(rows, header_rows=15)[1].count() == 1
 
 
+def test_later_rows_are_never_headers(spark):
+    body = [(1, i, [f"J-{i}", f"WPS-{i % 3}", f"W-{i}", "none"]) for i in range(2, 40)]
+    late = [(1, 40, ["joint 9", "WPS-3", "welder W-1", "position changed to 2G"]), (1, 41, ["Joint and date", "WPS", "Welder", "Position"]), (1, 42, ["J-42", "WPS-1", "W-42", ""])]
+    rows = spark.createDataFrame([(1, 1, ["Joint", "WPS No.", "Welder ID", "Remarks"]), *body, *late], "doc_id bigint, row int, cells array<string>")
+    log, errors = fields.weld_log(rows)
+    read = {r.row for r in log.collect()}
+    assert read >= {*range(2, 41), 42} and errors.count() == 0
+    # one cell that names both columns is a title
+    title = spark.createDataFrame([(1, 1, ["Welder and WPS register"]), (1, 2, ["Welder", "WPS"]), (1, 3, ["W-1", "WPS-1"])], "doc_id bigint, row int, cells array<string>")
+    assert [r.row for r in fields.weld_log(title)[0].collect()] == [3]
+
+
 def test_attachments_are_judged(spark):
     jobs = spark.createDataFrame([("J", 1)], "job_id string, library bigint")
     asked = spark.createDataFrame([("J", 1, None), ("J", 2, None), ("J", 3, None), ("X", 1, None), ("J", 4, "wps")], "job_id string, doc_id bigint, doc_type string")

@@ -159,6 +159,25 @@ def test_sheet_records(spark):
     assert rows[0].text == "Sheet Roster — Row 4 — Student Name: Student 1 | Student ID: 1 | Column 4: Due"
 
 
+def sheet(spark, *rows):
+    cells = [(1, "S", i, j, v, not v.isdigit()) for i, row in rows for j, v in enumerate(row, 1)]
+    return spark.createDataFrame(cells, "doc_id bigint, sheet string, row int, col int, value string, is_text boolean")
+
+
+def test_sheet_header_is_chosen_by_order(spark):
+    body = [(i, (f"part {i}", "7")) for i in range(2, 60)]
+    wordy = sheet(spark, (1, ("Name", "Qty")), *body, (60, ("nut", "many", "see note")), (61, ("bolt", "8")))
+    rows = blocks.sheet_records(wordy).orderBy("ord").collect()
+    assert [r.ord for r in rows] == list(range(2, 62))
+    assert rows[58].text == "Sheet S — Row 60 — Name: nut | Qty: many | Column 3: see note"
+    assert [r.ord for r in blocks.sheet_records(wordy, header_rows=20).orderBy("ord").collect()] == list(range(2, 62))
+    # nothing above the first number: the first row; no number at all: the first row of two cells
+    years = sheet(spark, (1, ("Region", "2023")), (2, ("north", "5")), (3, ("a", "b", "c")))
+    assert [r.text for r in blocks.sheet_records(years).orderBy("ord").collect()] == ["Sheet S — Row 2 — Region: north | 2023: 5", "Sheet S — Row 3 — Region: a | 2023: b | Column 3: c"]
+    words = sheet(spark, (1, ("Title",)), (2, ("Name", "State")), (3, ("x", "due")), (4, ("y", "late", "twice")))
+    assert [r.ord for r in blocks.sheet_records(words).orderBy("ord").collect()] == [3, 4]
+
+
 def test_captions(spark):
     got = apply(spark, lambda a: blocks.caption(a, F.lit(5)), ["text\n Figure 3. Power tree\nmore", "as the diagram shows", "nothing"])
     assert got == ["Figure 3. Power tree", "as the diagram shows", "Image from page 5"]
