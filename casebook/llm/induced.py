@@ -19,7 +19,7 @@ import numpy as np
 from casebook.llm.warc import store
 
 BATCH = 1 << 20
-QUEUE_BYTES = 128 << 20
+QUEUE_BYTES = 16 << 20
 RECURSION_SYMBOLS = 4096
 
 

@@ -65,25 +65,53 @@ def _hash(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def _gram(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of strings of ``GRAM`` bytes, by their first eight, eight from the ninth on, and last eight."""
+    grams = (first * _A) ^ ((last * _B) >> np.uint64(3))
+    grams ^= middle * _C
+    grams *= _A
+    grams ^= grams >> np.uint64(32)
+    grams *= _B
+    return grams
+
+
 class Fragments:
-    """The fragments of some texts: ``doc`` (place in the list), ``start`` and ``size`` in ``data``, ``anchor`` place, ``gram`` and ``hash``."""
+    """The fragments of some texts: ``doc`` (place in the list), ``start`` and ``size`` in ``data``, ``anchor`` place, ``gram`` and ``hash``.
 
-    def __init__(self, texts: list[bytes], length: int):
+    Finding the anchors is most of the work. ``cuts`` states them in two bytes a fragment, from which they are built again.
+    """
+
+    def __init__(self, texts: list[bytes], length: int, cuts: np.ndarray | None = None):
         self.data = b"\xff".join(texts) + b"\xff" * (2 * length + 16)  # no UTF-8 text has byte 255
         self.words = _words(self.data)
-        self.ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1
-        parts = [self._part(low, length) for low in range(0, int(self.ends[-1]) + 1, PART_BYTES)]
-        self.doc, self.start, self.size, self.anchor, self.gram = (np.concatenate(p) for p in zip(*parts, strict=True))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(sizes + 1) - 1
+        if cuts is None:
+            parts = [self._part(low, length) for low in range(0, int(self.ends[-1]) + 1, PART_BYTES)]
+            self.doc, self.start, self.size, self.anchor, self.gram = (np.concatenate(p) for p in zip(*parts, strict=True))
+        else:
+            self._rebuilt(cuts, sizes, length)
         self.hash = _hash(self.words, self.start, self.size)
 
+    def cuts(self, length: int) -> np.ndarray:
+        """A row for each fragment: how many windows it has, and how far behind its start its anchor lies."""
+        return np.stack([self.size - length + 1, self.anchor - self.start], axis=1).astype(np.uint8)
+
+    def _rebuilt(self, cuts: np.ndarray, sizes: np.ndarray, length: int) -> None:
+        """Fragments divide the windows of the texts, one text after the other, without a gap."""
+        windows = cuts[:, 0].astype(np.int64)
+        before, held = np.cumsum(windows) - windows, np.maximum(sizes - length + 1, 0)
+        through = np.cumsum(held)
+        self.doc = np.searchsorted(through, before, side="right")
+        self.start = before - (through - held)[self.doc] + (self.ends - sizes)[self.doc]
+        self.size = windows + length - 1
+        self.anchor = self.start + cuts[:, 1]
+        self.gram = _gram(*(self.words[self.anchor + at] for at in (0, 8, GRAM - 8)))
+
     def _part(self, low: int, length: int) -> tuple[np.ndarray, ...]:
         high, reach = min(int(self.ends[-1]) + 1, low + PART_BYTES), length - GRAM + 1
         m = high - low + reach
-        grams = (self.words[low : low + m] * _A) ^ ((self.words[low + GRAM - 8 : low + m + GRAM - 8] * _B) >> np.uint64(3))
-        grams ^= self.words[low + 8 : low + m + 8] * _C
-        grams *= _A
-        grams ^= grams >> np.uint64(32)
-        grams *= _B
+        grams = _gram(*(self.words[low + at : low + m + at] for at in (0, 8, GRAM - 8)))
         # Hash first, place second: the least of a window is its leftmost gram of least hash.
         least, width = (grams & ~_PLACE) | np.arange(m, dtype=np.uint64), 1
         while width * 2 <= reach:
@@ -107,17 +135,33 @@ def _table(name: str) -> pa.Table:
         return pa.ipc.open_file(file).read_all()
 
 
+def _put_table(name: str, batch: pa.RecordBatch) -> None:
+    fs, path = store(name)
+    with fs.open_output_stream(path) as out, pa.ipc.new_file(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+        file.write_batch(batch)
+
+
 def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
     """Whole texts as bytes (null: empty) and doc_ids (null: larger than all others)."""
     texts = [b"" if t is None else t for t in table.column("text").cast(pa.binary()).to_pylist()]
     return texts, table.column("doc_id").fill_null(LAST).to_numpy()
 
 
-def _fragments(name: str, length: int) -> tuple[pa.Table, Fragments, np.ndarray, np.ndarray]:
-    """A slice, its fragments, their doc_ids, and the smallest doc_id of each fragment's copies in the slice."""
+def _fragments(name: str, length: int, new: bool = False) -> tuple[pa.Table, Fragments, np.ndarray, np.ndarray]:
+    """A slice, its fragments, their doc_ids, and the smallest doc_id of each fragment's copies in the slice.
+
+    When ``new``, the fragments are found and their cuts written beside the slice, where later steps read them. A repeated task
+    writes the same bytes again.
+    """
     table = _table(name)
     texts, ids = _texts(table)
-    found = Fragments(texts, length)
+    if new:
+        found = Fragments(texts, length)
+        cuts = found.cuts(length)
+        _put_table(f"{name}.cuts", pa.RecordBatch.from_arrays([pa.array(c) for c in cuts.T], ["windows", "anchor"]))
+    else:
+        cuts = _table(f"{name}.cuts")
+        found = Fragments(texts, length, np.stack([cuts.column(c).to_numpy() for c in ("windows", "anchor")], axis=1))
     docs = ids[found.doc]
     order = np.lexsort((docs, found.hash))
     new = np.append(True, found.hash[order][1:] != found.hash[order][:-1])[: len(order)]
@@ -157,10 +201,9 @@ def written(documents: DataFrame) -> DataFrame:
         fs.create_dir(path, recursive=True)
         for part in slices(batches, "text", SLICE_BYTES):
             name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.arrow"
-            options = pa.ipc.IpcWriteOptions(compression="zstd")
-            with fs.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_file(out, part.schema, options=options) as file:
-                file.write_batch(part)
-            yield pa.RecordBatch.from_pydict({"slice": [f"{folder}/{name}"], "bytes": pa.array([part.get_total_buffer_size()], pa.int64())})
+            _put_table(f"{folder}/{name}", part)
+            # not the buffers behind the part, which are those of the whole batch it was cut from
+            yield pa.RecordBatch.from_pydict({"slice": [f"{folder}/{name}"], "bytes": pa.array([part.nbytes], pa.int64())})
 
     return stored(rows.mapInArrow(run, "slice string, bytes long"), "slice-names")
 
@@ -181,7 +224,7 @@ def sent(names: DataFrame, shards: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("slice").to_pylist():
-                _, found, docs, least = _fragments(name, length)
+                _, found, docs, least = _fragments(name, length, new=True)
                 mine = np.flatnonzero(docs == least)
                 mine = mine[np.unique(found.hash[mine], return_index=True)[1]]
                 mixed = (found.gram[mine] ^ (found.gram[mine] >> np.uint64(31))) * _C
@@ -492,7 +535,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, shard_bytes: int
     names = names.repartition(tasks, "slice")
     decide = "slice string, hash array<long>, first array<long>, open array<boolean>"
     decided = stored(
-        sent(names, shards, length).repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _decide(t, shards), decide), "fragments-decided"
+        sent(names, shards, length).repartitionById(2 * shards, F.col("shard")).groupBy("shard").applyInArrow(lambda t: _decide(t, shards), decide), "fragments-decided"
     )
     n_open = decided.agg(F.sum(F.expr("size(filter(open, x -> x))"))).first()[0] or 0
     sorts = max(1, -(-n_open * 2 * length // (4 * sort_bytes)))
@@ -505,7 +548,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, shard_bytes: int
     if len(hot):
         cold = cold.mapInArrow(_without(hot), _HALVES_SCHEMA)
     found = stored(
-        cold.repartition(sorts, "shard")
+        cold.repartitionById(sorts, F.col("shard"))  # a task for each shard; by hash some would get several and others none
         .groupBy("shard")
         .applyInArrow(sort, "slice string, hash array<long>, first array<long>, mask array<long>"),
         "fragments-found",
