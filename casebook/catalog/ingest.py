@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casebook.catalog.base import given, inputs, query
 from casebook.operators import chunking, embedding, facts, windows
 from casebook.plans import evidence
+from casebook.session import durable
 from casebook.sources import blocks, files
 
 inputs(
@@ -425,6 +426,43 @@ def index_build(spark, sf):
     return index.read_part(spark, folder, "documents", version).join(chunks, "doc_id", "left").fillna(0, ["tokens", "vectors"])
 
 
+inputs(
+    document_versions="""
+        SELECT 1 AS version, doc_id, text FROM {documents}
+        UNION ALL SELECT 2, doc_id, CASE WHEN doc_id % 100 = 7 THEN 'amended ' || text ELSE text END FROM {documents}
+        UNION ALL SELECT 3, doc_id, CASE WHEN doc_id % 100 IN (7, 8) THEN 'amended ' || text ELSE text END FROM {documents} WHERE doc_id % 100 <> 9""",
+)
+
+
+@query("index_update", """
+    SELECT version, doc_id, md5(string_agg(line, ' ' ORDER BY ord)) AS content_md5 FROM (
+      SELECT version, doc_id, ord, regexp_replace(trim(line), '[\\s\\p{Z}]+', ' ', 'g') AS line FROM (
+        SELECT version, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM {document_versions})
+      WHERE trim(line) <> '') GROUP BY version, doc_id""")
+def index_update(spark, sf):
+    """An index of all documents, then a hundredth of them amended, then another amended and a third gone: each version read back."""
+    from casebook.plans.versions import BucketedIndex
+    from casebook.session import work_folder
+
+    index = BucketedIndex(f"{work_folder(spark)}/versions-{uuid.uuid4().hex}")
+    docs, k = given(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id") % 100
+    amended = docs.withColumn("text", F.concat(F.lit("amended "), "text"))
+
+    def parts(rows):
+        packed = durable(chunking.chunk_texts(rows, overlap=0))
+        return {"chunks": packed, "documents": packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"))}
+
+    index.update("v1", parts(docs))
+    index.update("v2", parts(amended.filter(k == 7)))
+    index.update("v3", parts(amended.filter(k == 8)), docs.filter(k == 9))
+    found = None
+    for n in (1, 2, 3):
+        rows = _rejoined(index.read(spark, "chunks", f"v{n}")).join(index.read(spark, "documents", f"v{n}"), "doc_id").filter("passages > 0")
+        rows = rows.select(F.lit(n).alias("version"), "doc_id", "content_md5")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query("section_carry", """
     SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN md5(text) END IGNORE NULLS)
       OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM {conversations}""")

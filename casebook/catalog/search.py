@@ -1,5 +1,7 @@
 """Retrieval, matching, evidence, evaluation."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from casebook.catalog.base import given, inputs, query
@@ -11,7 +13,9 @@ from casebook.operators import windows
 from casebook.operators.embedding import with_vectors
 from casebook.operators.matching import nearest
 from casebook.plans import evidence as ev
+from casebook.plans import lexical
 from casebook.plans import retrieval as rt
+from casebook.session import work_folder
 
 inputs(
     # whole documents as passages, benchmark passages as questions; a source is a library
@@ -91,25 +95,42 @@ def _vectors(chunks):
     return with_vectors(chunks, "content").drop("content")
 
 
+_WRITTEN: dict = {}
+
+
+def _index(spark, sf, name):
+    """The written lexical index of a passages table: the first query of a session writes it, all others read it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        folder = f"{work_folder(spark).rstrip('/')}/lexical-{uuid.uuid4().hex}"
+        _WRITTEN[key] = lexical.write_index(given(spark, sf, name), folder, scoped=name == "prose")
+    return _WRITTEN[key]
+
+
 def _prose(spark, sf, columns=("doc_id",)):
     chunks = given(spark, sf, "prose")
     vectors = _vectors(chunks.select("chunk_id", "content", *rt.SCOPE_COLUMNS))
-    return rt.retrieve(_asked(spark, sf, "prose_questions"), chunks, vectors, columns=columns), chunks
+    return rt.retrieve(_asked(spark, sf, "prose_questions"), chunks, vectors, _index(spark, sf, "prose"), columns=columns), chunks
 
 
 # -- lists and fusion -----------------------------------------------------------------
 
 @query("lexical_top40", "WITH " + list_ctes("prose_questions", "prose", True) + " SELECT question_id, chunk_id, score, rank FROM lx")
 def lexical_top40(spark, sf):
-    chunks = given(spark, sf, "prose").select("chunk_id", "content", *rt.SCOPE_COLUMNS)
-    return rt.lexical_list(given(spark, sf, "prose_questions"), chunks)
+    return rt.lexical_list(given(spark, sf, "prose_questions"), given(spark, sf, "prose"), _index(spark, sf, "prose"))
 
 
-@query("lexical_index_top40", "WITH " + list_ctes("prose_questions", "prose", True) + " SELECT question_id, chunk_id, score, rank FROM lx")
+@query("lexical_index_top40", "WITH " + list_ctes("record_questions", "records", False) + " SELECT question_id, chunk_id, score, rank FROM lx")
 def lexical_index_top40(spark, sf):
-    """The same list by way of the postings table."""
+    """Without scopes, by way of the written index of the workbooks' passages."""
+    return rt.lexical_list(given(spark, sf, "record_questions"), given(spark, sf, "records"), _index(spark, sf, "records"), scoped=False)
+
+
+@query("lexical_scan_top40", "WITH " + list_ctes("prose_questions", "prose", True) + " SELECT question_id, chunk_id, score, rank FROM lx")
+def lexical_scan_top40(spark, sf):
+    """Passages read as they are, for a batch of questions that is not worth an index."""
     chunks = given(spark, sf, "prose").select("chunk_id", "content", *rt.SCOPE_COLUMNS)
-    return rt.lexical_list(given(spark, sf, "prose_questions"), chunks, rt.postings(chunks, rt.SCOPE_COLUMNS))
+    return rt.lexical_list(given(spark, sf, "prose_questions"), chunks)
 
 
 @query("knn_top40", """
@@ -160,7 +181,7 @@ def retrieval_scores(spark, sf):
     SELECT question_id, doc_id, score AS document_score FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) = 1""")
 def best_document(spark, sf):
     chunks = given(spark, sf, "records")
-    ranked = rt.retrieve(_asked(spark, sf, "record_questions"), chunks, _vectors(chunks.select("chunk_id", "content")), k=None, scoped=False)
+    ranked = rt.retrieve(_asked(spark, sf, "record_questions"), chunks, _vectors(chunks.select("chunk_id", "content")), _index(spark, sf, "records"), k=None, scoped=False)
     return rt.best_document(ranked).select("question_id", "doc_id", "document_score")
 
 
@@ -185,7 +206,7 @@ inputs(
 def _chosen(spark, sf):
     chunks = given(spark, sf, "records")
     return rt.chosen_document(_asked(spark, sf, "listing_questions"), chunks, given(spark, sf, "record_documents"),
-                              _vectors(chunks.select("chunk_id", "content")), scoped=False), chunks
+                              _vectors(chunks.select("chunk_id", "content")), _index(spark, sf, "records"), scoped=False), chunks
 
 
 @query("whole_document", "WITH " + _WHOLE + """

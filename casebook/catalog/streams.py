@@ -23,14 +23,18 @@ def _folder(spark, name):
 
 
 BATCHES = 3
+FILES = 4
 
 
 def _arriving(spark, sf, name, part):
-    """A table as files that arrive one after the other, a micro-batch each; ``part`` says which file a row is in."""
+    """A table as files that arrive one after the other; ``part`` says in which of the deliveries a row comes.
+
+    A delivery is several files, written side by side; the stream takes a delivery at a time.
+    """
     rows, folder = table(spark, sf, name), _folder(spark, "arriving")
     for i in range(BATCHES):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return st.file_stream(spark, folder, rows.schema, files_per_batch=1)
+        rows.filter(part == i).repartition(FILES).write.mode("append").parquet(folder)
+    return st.file_stream(spark, folder, rows.schema, files_per_batch=FILES)
 
 
 def _indexed(spark, sf):
@@ -61,8 +65,9 @@ def stream_index(spark, sf):
       SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next FROM {conversations} WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
     WHERE role = 'user' AND next_role = 'assistant'""")
 def stream_exchanges(spark, sf):
+    """Later turns are delivered first, and the turns of a pair in different deliveries."""
     folder = _folder(spark, "pairs")
-    part = F.least(F.floor(F.col("turn") / 2), F.lit(BATCHES - 1))
+    part = F.pmod(F.lit(BATCHES) - F.col("turn"), F.lit(BATCHES))
     st.pair_stream(_arriving(spark, sf, "conversations", part), folder, f"{folder}/checkpoint").awaitTermination()
     rows = spark.read.parquet(f"{folder}/pairs")
     return rows.select("conv_id", "turn", F.md5("question").alias("question"), F.md5("answer").alias("answer"))

@@ -428,7 +428,7 @@ for _i, (_name, _id, _weight, _cond, _shown) in enumerate((
     ("check_before_test", "log_before_qualification", "error", "n_fit > 0 AND day < CAST(tested AS DATE)", "here || fit_tests"),
 )):
     _check(_name, _id, _weight, "consistency", f"WITH {_GATE} SELECT job_id, {_shown} AS places FROM t WHERE {_cond}",
-           partial(lambda i, spark, sf: ck.log_rows(_gated(spark, sf))[i], _i))
+           partial(lambda i, spark, sf: ck.log_rows(_gated(spark, sf), _docs(spark, sf))[i], _i))
 
 _check("check_continuity", "continuity_lapse", "error", "code_rule", f"""
     WITH {_GATE},
@@ -439,7 +439,7 @@ _check("check_continuity", "continuity_lapse", "error", "code_rule", f"""
       l AS (SELECT * FROM q WHERE day > greatest(anchor, coalesce(prev, anchor)) + INTERVAL 6 MONTH
         QUALIFY row_number() OVER (PARTITION BY job_id, doc_id, n, pr ORDER BY day, row) = 1)
     SELECT DISTINCT job_id, [doc_id || ':row ' || row] || shown AS places FROM l""",
-       lambda spark, sf: ck.continuity(_gated(spark, sf)))
+       lambda spark, sf: ck.continuity(_gated(spark, sf), _docs(spark, sf)))
 
 inputs(
     # a log of every ninth job has no row at all, that of another ninth no header; the headers of the others stand low
@@ -514,7 +514,7 @@ def _coverage(spark, sf):
     WITH {_GATE} SELECT CASE WHEN n_quals = 0 THEN 'unqualified' WHEN n_fit = 0 THEN 'wrong_process' ELSE 'pass' END AS gate, job_id, count(*) AS rows, count(wps_doc) AS with_wps FROM t GROUP BY ALL""")
 def log_gate(spark, sf):
     rows = _gated(spark, sf)
-    return rows.groupBy("gate", "job_id").agg(F.count(F.lit(1)).alias("rows"), F.count("proc").alias("with_wps"))
+    return rows.groupBy("gate", "job_id").agg(F.count(F.lit(1)).alias("rows"), F.count("proc_doc").alias("with_wps"))
 
 
 _ALL_FINDINGS = " UNION ALL ".join(f"SELECT *, '{check}' AS check_name FROM ({ORACLES[name]})" for check, name in CHECKS.items()) + (

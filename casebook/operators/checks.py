@@ -1,8 +1,8 @@
 """Cross-checks of job documents against each other and against the weld log, all jobs at once.
 
-Documents are one wide row each; every check is a filter or an equi-join on (job, canonical id) that emits
-findings. A log row is joined to one procedure row and to one row that holds its welder's qualifications, so
-nothing multiplies, and the gate that stops later checks is computed once per log row.
+Documents are one wide row each; every check is a filter or an equi-join on (job, canonical id) that emits findings. A log row
+carries the few values it is judged by: those of its procedure, and a profile of its welder whose size is bounded by the
+lists of process and position codes. Whole records are joined to findings only, which show them.
 """
 
 from __future__ import annotations
@@ -14,21 +14,48 @@ from pyspark.sql import functions as F
 
 from casebook.functions import parsing as ps
 from casebook.operators.fields import DOCUMENT_TYPES, FIELDS
-from casebook.operators.windows import first_row
+from casebook.operators.windows import as_of, first_row
 
 SEVERITIES = ("error", "warning", "note")
 CONTINUITY_MONTHS = 6
+AS_OF_DAYS = 366
 COUPON_LIMIT = 38.0
 
-# The names of the checks, and the titles, details and rules of their findings below, are part of the report.
-RULE_2T = (
-    "ASME IX QW-451.1 (groove welds): a coupon under 38 mm (1½ in) qualifies up to 2T. "
-    "To be verified against the code and edition of this job."
-)
-RULE_CONTINUITY = (
-    "ASME IX QW-322.1(a): a qualification expires after six months without welding in that process. "
-    "Check the code of this job; welds of other jobs are not in this log."
-)
+# The names of the checks, the titles of their findings and the rules they cite are part of the report.
+TITLES = {
+    "missing_field": "%s not found in %s",
+    "wps_no_pqr_ref": "%s doesn't name its supporting PQR",
+    "pqr_missing": "Supporting %s is not in this job",
+    "process_mismatch": "WPS process isn't the process qualified by its PQR",
+    "filler_mismatch_pqr": "Filler classification differs between WPS and PQR",
+    "base_metal_differs": "Base metal differs between WPS and PQR",
+    "thickness_over_2t": "WPS thickness range exceeds what the PQR coupon qualifies",
+    "consumable_mismatch": "Consumable certificate is for a different electrode than the WPS",
+    "welder_process_unused": "%s isn't qualified for this job's processes",
+    "log_unreadable": "Couldn't read %s as a weld log",
+    "log_wps_missing": "Joint %s was welded to %s, which isn't in this job",
+    "log_welder_unqualified": "No qualification on file for welder %s (joint %s)",
+    "log_welder_wrong_process": "Welder %s isn't qualified for %s (joint %s)",
+    "log_position": "Joint %s welded in %s, not listed on welder %s's qualification",
+    "log_position_wps": "Joint %s welded in %s, which %s doesn't list",
+    "log_thickness": "Joint %s is %s mm, outside %s's range",
+    "log_before_qualification": "Joint %s was welded before welder %s qualified",
+    "continuity_lapse": "Welder %s's %s qualification had lapsed when joint %s was welded",
+    "no_wps": "No WPS in this job",
+    "no_pqr": "No PQR in this job",
+    "no_consumable": "No consumable certificate",
+    "no_log": "No weld log",
+}
+RULES = {
+    "thickness_over_2t": (
+        "ASME IX QW-451.1 (groove welds): maximum qualified thickness 2T for coupons under 38 mm (1½ in). "
+        "Verify against the code and edition this job is built to."
+    ),
+    "continuity_lapse": (
+        "ASME IX QW-322.1(a): a welder's qualification expires after 6 months without welding in that process. "
+        "Check the code this job is built to; the log may also be missing welds from other jobs."
+    ),
+}
 
 EVIDENCE = (
     "struct<document_id:string,filename:string,doc_type:string,label:string,value:string,page:int,locator:string,"
@@ -84,18 +111,21 @@ def finding_id(check: str, shown: Column) -> Column:
 
 
 def emit(
-    rows: DataFrame, check: str, severity: str, kind: str, title: Column, detail: Column, shown: Column,
-    rule: str | None = None, seq: Column | None = None,
+    rows: DataFrame, check: str, severity: str, kind: str, names: list, detail: Column, shown: Column, seq: Column | None = None,
 ) -> DataFrame:
+    """Findings of a check; ``names`` fill its title."""
     return rows.select(
         "job_id", finding_id(check, shown).alias("id"), F.lit(check).alias("check"), F.lit(severity).alias("severity"),
-        F.lit(kind).alias("kind"), title.alias("title"), detail.alias("detail"), F.lit(rule).cast("string").alias("rule"),
+        F.lit(kind).alias("kind"), F.format_string(TITLES[check], *names).alias("title"), detail.alias("detail"),
+        F.lit(RULES.get(check)).cast("string").alias("rule"),
         shown.alias("evidence"), (F.lit(0) if seq is None else seq).cast("bigint").alias("seq"),
     )
 
 
-def _say(template: str, *columns) -> Column:
-    return F.format_string(template, *columns)
+def _facts(**values) -> Column:
+    """What a finding rests on, value by value: ``name value; name value``; a missing value leaves its name out."""
+    told = lambda v: v if isinstance(v, Column) else F.lit(str(v))
+    return F.concat_ws("; ", *[F.concat(F.lit(name.replace("_", " ") + " "), told(v).cast("string")) for name, v in values.items()])
 
 
 def _codes(texts: Column) -> Column:
@@ -158,14 +188,16 @@ def job_facts(docs: DataFrame) -> DataFrame:
 def missing_fields(docs: DataFrame) -> DataFrame:
     """K1: a required field is absent."""
     gaps = F.lit(None).cast("array<string>")
+    found = F.lit(0)
     for doc_type, specs in FIELDS.items():
         absent = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(label)) for k, label, _, need, _ in specs if need]))
         gaps = F.when(F.col("doc_type") == doc_type, absent).otherwise(gaps)
-    rows = docs.select("*", F.posexplode(gaps).alias("_i", "_label"))
+        read = F.size(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.lit(1)) for k, *_ in specs])))
+        found = F.when(F.col("doc_type") == doc_type, read).otherwise(found)
+    rows = docs.withColumn("_found", found).select("*", F.posexplode(gaps).alias("_i", "_label"))
     return emit(
-        rows, "missing_field", "note", "missing", _say("%s not found in %s", "_label", "filename"),
-        _say("Checks that need the %s leave this document out; it can be entered by hand.", F.lower("_label")),
-        F.array(evidence(None, None, None)), seq=F.col("_i"),
+        rows, "missing_field", "note", "missing", ["_label", "filename"],
+        _facts(document=F.col("filename"), fields_read=F.col("_found"), absent=F.lower("_label")), F.array(evidence(None, None, None)), seq=F.col("_i"),
     )
 
 
@@ -182,11 +214,10 @@ def supported(docs: DataFrame) -> DataFrame:
 def unreferenced(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     """K2: a procedure names no record although the job has some."""
     rows = docs.filter((F.col("doc_type") == "wps") & ~_has(_value("pqr_refs", "texts"))).join(
-        jobs.filter("n_pqr > 0").select("job_id"), "job_id", "left_semi"
+        jobs.filter("n_pqr > 0").select("job_id", "n_pqr"), "job_id"
     )
     return emit(
-        rows, "wps_no_pqr_ref", "note", "missing", _say("%s doesn't name its supporting PQR", "filename"),
-        F.lit("Without it the procedure could not be compared with a record."), F.array(evidence(None, None, None)),
+        rows, "wps_no_pqr_ref", "note", "missing", ["filename"], _facts(records_in_job=F.col("n_pqr"), records_cited=0), F.array(evidence(None, None, None)),
     )
 
 
@@ -200,33 +231,29 @@ def against_records(pairs: DataFrame) -> list[DataFrame]:
     wf, pf = F.col("wps.filler.value.texts"), F.col("pqr.filler.value.texts")
     wm, pm = F.col("wps.base_metal.value.text"), F.col("pqr.base_metal.value.text")
     top, coupon = F.col("wps.thickness_range.value.hi"), F.col("pqr.test_thickness.value.num")
+    told = lambda a, b: _facts(procedure=names[0], asks=a, record=names[1], covers=b)
+    mm = lambda v: F.concat(ps.plain(v), F.lit(" mm"))
     return [
         emit(
-            pairs.filter("pqr IS NULL"), "pqr_missing", "warning", "missing", _say("Supporting %s is not in this job", "ref"),
-            _say("%s cites %s, which no document of the job carries, so its qualification is unchecked.", names[0], "ref"),
+            pairs.filter("pqr IS NULL"), "pqr_missing", "warning", "missing", ["ref"], _facts(cited=F.col("ref"), by=names[0]),
             F.array(evidence(wps, "pqr_refs", "wps")), seq=F.col("_i"),
         ),
         emit(
-            found.filter(_has(wp) & _has(pp) & (F.size(F.array_except(wp, pp)) > 0)), "process_mismatch", "error", "consistency",
-            F.lit("WPS process isn't the one its PQR qualifies"),
-            _say("%s uses %s; %s qualifies %s.", names[0], _codes(wp), names[1], _codes(pp)), both("process"), seq=F.col("_i"),
+            found.filter(_has(wp) & _has(pp) & (F.size(F.array_except(wp, pp)) > 0)), "process_mismatch", "error", "consistency", [],
+            told(_codes(wp), _codes(pp)), both("process"), seq=F.col("_i"),
         ),
         emit(
-            found.filter(_has(wf) & _has(pf) & ~F.arrays_overlap(wf, pf)), "filler_mismatch_pqr", "warning", "consistency",
-            F.lit("Filler classification differs between WPS and PQR"),
-            _say("WPS: %s; PQR: %s. The code may allow it within one filler group.", _codes(wf), _codes(pf)), both("filler"),
-            seq=F.col("_i"),
+            found.filter(_has(wf) & _has(pf) & ~F.arrays_overlap(wf, pf)), "filler_mismatch_pqr", "warning", "consistency", [],
+            told(_codes(wf), _codes(pf)), both("filler"), seq=F.col("_i"),
         ),
         emit(
-            found.filter(ps.canon_id(wm) != ps.canon_id(pm)), "base_metal_differs", "warning", "consistency",
-            F.lit("Base metal differs between WPS and PQR"), _say("WPS: %s; PQR: %s.", wm, pm), both("base_metal"),
-            seq=F.col("_i"),
+            found.filter(ps.canon_id(wm) != ps.canon_id(pm)), "base_metal_differs", "warning", "consistency", [],
+            told(wm, pm), both("base_metal"), seq=F.col("_i"),
         ),
         emit(
-            found.filter((coupon != 0) & (coupon < COUPON_LIMIT) & (top > 2 * coupon)), "thickness_over_2t", "error", "code_rule",
-            F.lit("WPS thickness range exceeds what the PQR coupon qualifies"),
-            _say("A %s mm coupon qualifies up to %s mm; the WPS claims up to %s mm.", ps.plain(coupon), ps.plain(2 * coupon), ps.plain(top)),
-            F.array(evidence(wps, "thickness_range", "wps"), evidence(pqr, "test_thickness", "pqr")), RULE_2T, seq=F.col("_i"),
+            found.filter((coupon != 0) & (coupon < COUPON_LIMIT) & (top > 2 * coupon)), "thickness_over_2t", "error", "code_rule", [],
+            _facts(coupon=mm(coupon), limit=mm(2 * coupon), claimed=mm(top)),
+            F.array(evidence(wps, "thickness_range", "wps"), evidence(pqr, "test_thickness", "pqr")), seq=F.col("_i"),
         ),
     ]
 
@@ -238,9 +265,8 @@ def consumables(docs: DataFrame, jobs: DataFrame) -> DataFrame:
         jobs.filter("fillers IS NOT NULL").select("job_id", "fillers", "filler_wps"), "job_id"
     )
     return emit(
-        rows.filter(~F.arrays_overlap(classes, F.col("fillers"))), "consumable_mismatch", "error", "consistency",
-        F.lit("Consumable certificate is for another electrode than the WPS"),
-        _say("%s certifies %s; the WPS asks for %s.", "filename", F.array_join(classes, ", "), _codes(F.col("fillers"))),
+        rows.filter(~F.arrays_overlap(classes, F.col("fillers"))), "consumable_mismatch", "error", "consistency", [],
+        _facts(certificate=F.col("filename"), certified=F.array_join(classes, ", "), asked_for=_codes(F.col("fillers"))),
         F.array(evidence(None, "classification", "consumable"), evidence(F.col("filler_wps"), "filler", "wps")),
     )
 
@@ -253,8 +279,8 @@ def unused_welders(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     )
     return emit(
         rows.filter(~F.arrays_overlap(codes, F.col("processes"))), "welder_process_unused", "warning", "consistency",
-        _say("%s isn't qualified for this job's processes", F.coalesce(_value("welder_id", "text"), F.col("filename"))),
-        _say("Qualified for %s; the job uses %s.", _codes(codes), _codes(F.col("processes"))),
+        [F.coalesce(_value("welder_id", "text"), F.col("filename"))],
+        _facts(qualified_for=_codes(codes), job_needs=_codes(F.col("processes"))),
         F.array(evidence(None, "process", "wpq"), evidence(F.col("first_wps"), "process", "wps")),
     )
 
@@ -263,14 +289,11 @@ def coverage(jobs: DataFrame) -> list[DataFrame]:
     """Kinds of document a job lacks."""
     none = F.array().cast(f"array<{EVIDENCE}>")
     gaps = (
-        ("no_wps", "n_wps = 0", "No WPS in this job", "Add the procedure so the rest can be checked against it."),
-        ("no_pqr", "n_wps > 0 AND n_pqr = 0", "No PQR in this job", "Add the record that supports the procedure."),
-        ("no_consumable", "n_wps > 0 AND n_consumable = 0", "No consumable certificate", "Add the certificate of the electrode or wire."),
-        ("no_log", "n_wps > 0 AND n_weld_log = 0", "No weld log", "Add the log to check who welded which joint."),
+        ("no_wps", "n_wps = 0"), ("no_pqr", "n_wps > 0 AND n_pqr = 0"), ("no_consumable", "n_wps > 0 AND n_consumable = 0"),
+        ("no_log", "n_wps > 0 AND n_weld_log = 0"),
     )
-    return [
-        emit(jobs.filter(cond), check, "note", "missing", F.lit(title), F.lit(detail), none) for check, cond, title, detail in gaps
-    ]
+    held = _facts(documents=F.col("documents"), of_them_procedures=F.col("n_wps"))
+    return [emit(jobs.filter(cond), check, "note", "missing", [], held, none) for check, cond in gaps]
 
 
 # -- checks over the log --------------------------------------------------------------
@@ -278,133 +301,148 @@ def coverage(jobs: DataFrame) -> list[DataFrame]:
 def unreadable_logs(docs: DataFrame) -> DataFrame:
     """A log could not be read."""
     rows = docs.filter("doc_type = 'weld_log' AND log_error IS NOT NULL")
-    return emit(
-        rows, "log_unreadable", "warning", "missing", _say("Couldn't read %s as a weld log", "filename"), F.col("log_error"),
-        F.array(evidence(None, None, None)),
-    )
+    return emit(rows, "log_unreadable", "warning", "missing", ["filename"], F.col("log_error"), F.array(evidence(None, None, None)))
+
+
+def _records(docs: DataFrame, *values: Column) -> DataFrame:
+    """A narrow row for each welder's qualification record."""
+    typed = docs.filter((F.col("doc_type") == "wpq") & _value("welder_id", "text").isNotNull())
+    return typed.select("job_id", ps.canon_id(_value("welder_id", "text")).alias("welder_key"), *values)
+
+
+def welder_profiles(docs: DataFrame) -> DataFrame:
+    """(job, canonical welder) -> ``profile``: by process, and under ``*`` by all, the listed positions and the first test.
+
+    A welder may have any number of records; a profile holds the codes of processes and positions only, each once, and is combined
+    in the map tasks.
+    """
+    none = F.array().cast("array<string>")
+    codes = F.explode(F.array_union(F.array(F.lit("*")), F.coalesce(_value("process", "texts"), none))).alias("process")
+    rows = _records(docs, codes, _value("positions", "texts").alias("positions"), _value("test_date", "day").alias("day"))
+    tested = rows.groupBy("job_id", "welder_key", "process").agg(F.min("day").alias("tested"))
+    listed = rows.select("job_id", "welder_key", "process", F.explode("positions").alias("position"))
+    listed = listed.groupBy("job_id", "welder_key", "process").agg(F.collect_set("position").alias("positions"))
+    both = tested.join(listed, ["job_id", "welder_key", "process"], "left")
+    entry = F.struct("process", F.struct(F.coalesce("positions", none).alias("positions"), "tested"))
+    return both.groupBy("job_id", "welder_key").agg(F.map_from_entries(F.collect_list(entry)).alias("profile"))
 
 
 def gated(log: DataFrame, docs: DataFrame) -> DataFrame:
-    """Log rows with procedure, qualifications and gate.
+    """Log rows with what they are judged by, and the gate.
 
     ``log``: job_id, doc_id, filename, row, joint, welder, wps, day, positions, processes, thickness, snippet.
-    gate is 'unqualified', 'wrong_process' or 'pass'; only rows that pass meet the later checks.
+    gate is 'unqualified', 'wrong_process' or 'pass'; only rows that pass meet the later checks. Of the procedure a row gets
+    document, positions and limits, of its welder the codes and first test of the records that fit its process.
     """
-    wps = latest_by(docs, "wps", "number", "proc", "process", "positions", "thickness_range")
-    keyed = log.withColumn("canon", ps.canon_id(F.col("wps"))).join(wps, ["job_id", "canon"], "left").drop("canon")
-    keyed = keyed.withColumn("canon", ps.canon_id(F.col("welder"))).join(qualifications(docs), ["job_id", "canon"], "left")
-    own = F.coalesce("processes", F.array().cast("array<string>"))
-    of_wps = F.coalesce(F.col("proc.process.value.texts"), F.array().cast("array<string>"))
-    keyed = keyed.withColumnRenamed("canon", "welder_key").withColumn(
-        "row_process", F.when(F.size(own) > 0, own).otherwise(of_wps)
-    )
-    fits = lambda q: F.coalesce(F.arrays_overlap(q["process"]["value"]["texts"], F.col("row_process")), F.lit(False))
-    keyed = keyed.withColumn(
-        "relevant", F.when(F.size("row_process") > 0, F.filter("quals", fits)).otherwise(F.col("quals"))
+    none = F.array().cast("array<string>")
+    wps = latest_by(docs, "wps", "number", "proc", "process", "positions", "thickness_range").select(
+        "job_id", F.col("canon").alias("wps_key"), F.col("proc.doc_id").alias("proc_doc"), F.coalesce("proc.process.value.texts", none).alias("_of_wps"),
+        F.col("proc.positions.value.texts").alias("wps_positions"), F.col("proc.thickness_range.value.lo").alias("lo"), F.col("proc.thickness_range.value.hi").alias("hi"),
     )
-    return keyed.withColumn(
-        "gate",
-        F.when(F.col("quals").isNull(), "unqualified").when(F.size("relevant") == 0, "wrong_process").otherwise("pass"),
+    keyed = log.withColumns({"wps_key": ps.canon_id(F.col("wps")), "welder_key": ps.canon_id(F.col("welder"))})
+    keyed = keyed.join(wps, ["job_id", "wps_key"], "left").join(welder_profiles(docs), ["job_id", "welder_key"], "left")
+    own = F.coalesce("processes", none)
+    keyed = keyed.withColumn("row_process", F.when(F.size(own) > 0, own).otherwise(F.coalesce("_of_wps", none)))
+    asked = F.when(F.size("row_process") > 0, F.array_distinct("row_process")).otherwise(F.array(F.lit("*")))
+    fit = F.array_compact(F.transform(asked, lambda p: F.try_element_at("profile", p)))
+    keyed = keyed.withColumn("_fit", F.when(F.col("profile").isNotNull(), fit))
+    gate = F.when(F.col("profile").isNull(), "unqualified").when(F.size("_fit") == 0, "wrong_process").otherwise("pass")
+    return keyed.select(
+        *log.columns, "wps_key", "welder_key", "proc_doc", "wps_positions", "lo", "hi", "row_process",
+        F.array_remove(F.map_keys("profile"), "*").alias("qualified_for"), F.array_distinct(F.flatten("_fit.positions")).alias("listed"),
+        F.array_min("_fit.tested").alias("tested"), gate.alias("gate"),
     )
 
 
-def _texts(quals: Column, key: str) -> Column:
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.flatten(F.transform(quals, lambda q: F.coalesce(q[key]["value"]["texts"], none))))
+def _with_records(found: DataFrame, docs: DataFrame, key: str, fits: Column | None = None) -> DataFrame:
+    """Findings with ``shown``: the log row, and the welder's records (those that fit) in document order.
+
+    The list is what the finding has to show, so it is put together for findings only.
+    """
+    lists = qualifications(docs).withColumnRenamed("canon", "welder_key")
+    joined = found.join(lists, ["job_id", "welder_key"])
+    covers = lambda q: F.coalesce(F.arrays_overlap(q["process"]["value"]["texts"], F.col("row_process")), F.lit(False))
+    chosen = F.col("quals") if fits is None else F.filter("quals", lambda q: fits | covers(q))
+    return joined.withColumn("shown", F.concat(F.array(row_evidence()), F.transform(chosen, lambda q: evidence(q, key, "wpq")))).drop("quals")
 
 
-def _shown(quals: Column, key: str) -> Column:
-    return F.concat(F.array(row_evidence()), F.transform(quals, lambda q: evidence(q, key, "wpq")))
+def _with_procedure(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Findings with ``proc``, the procedure that their log row names."""
+    return found.join(latest_by(docs, "wps", "number", "proc", "positions", "thickness_range").withColumnRenamed("canon", "wps_key"), ["job_id", "wps_key"])
 
 
-def log_rows(rows: DataFrame) -> list[DataFrame]:
-    """K11-K17 over gated log rows."""
+def log_rows(rows: DataFrame, docs: DataFrame) -> list[DataFrame]:
+    """K11-K17 over gated log rows; ``docs`` are the wide documents that findings show."""
     proc = F.col("proc")
-    number = F.col("wps")
+    any_process = F.size("row_process") == 0
     passed = rows.filter("gate = 'pass'")
     spots = passed.select("*", F.posexplode("positions").alias("_i", "position"))
-    listed = _texts(F.col("relevant"), "positions")
-    of_wps = F.col("proc.positions.value.texts")
-    span = F.col("proc.thickness_range.value")
-    tested = F.array_min(F.transform("relevant", lambda q: q["test_date"]["value"]["day"]))
-    outside = (F.col("thickness") < span["lo"]) | (F.col("thickness") > span["hi"])
+    unlisted = (F.size("listed") > 0) & ~F.array_contains(ps.with_equivalents(F.col("listed")), F.col("position"))
+    outside = F.coalesce((F.col("thickness") < F.col("lo")) | (F.col("thickness") > F.col("hi")), F.lit(False))
+    off_wps = _with_procedure(spots.filter(_has(F.col("wps_positions")) & ~F.array_contains(ps.with_equivalents(F.col("wps_positions")), F.col("position"))), docs)
+    thick = _with_procedure(passed.filter(outside), docs)
+    number = F.col("proc.number.value.text")
     return [
         emit(
-            rows.filter(F.col("wps").isNotNull() & proc.isNull()), "log_wps_missing", "error", "consistency",
-            _say("Joint %s was welded to %s, which isn't in this job", "joint", "wps"),
-            F.lit("Add that procedure to the job, or correct the log."), F.array(row_evidence()),
+            rows.filter("wps IS NOT NULL AND proc_doc IS NULL"), "log_wps_missing", "error", "consistency", ["joint", "wps"],
+            _facts(log_names=F.col("wps"), documents_with_that_number=0), F.array(row_evidence()),
         ),
         emit(
-            rows.filter("gate = 'unqualified'"), "log_welder_unqualified", "error", "consistency",
-            _say("No qualification on file for welder %s (joint %s)", "welder", "joint"),
-            F.lit("Add the welder's record to the job, or correct the welder ID."), F.array(row_evidence()),
+            rows.filter("gate = 'unqualified'"), "log_welder_unqualified", "error", "consistency", ["welder", "joint"],
+            _facts(log_names=F.col("welder"), records_with_that_welder=0), F.array(row_evidence()),
         ),
         emit(
-            rows.filter("gate = 'wrong_process'"), "log_welder_wrong_process", "error", "consistency",
-            _say("Welder %s isn't qualified for %s (joint %s)", "welder", _codes(F.col("row_process")), "joint"),
-            _say("The qualification covers %s.", _codes(_texts(F.col("quals"), "process"))), _shown(F.col("quals"), "process"),
+            _with_records(rows.filter("gate = 'wrong_process'"), docs, "process"), "log_welder_wrong_process", "error", "consistency",
+            ["welder", _codes(F.col("row_process")), "joint"],
+            _facts(welded=_codes(F.col("row_process")), qualified_for=_codes(F.col("qualified_for"))), F.col("shown"),
         ),
         emit(
-            spots.filter((F.size(listed) > 0) & ~F.array_contains(ps.with_equivalents(listed), F.col("position"))),
-            "log_position", "warning", "consistency",
-            _say("Joint %s welded in %s, not listed for welder %s", "joint", "position", "welder"),
-            F.lit("A test position may cover others; check the coverage rules of the code."),
-            _shown(F.col("relevant"), "positions"), seq=F.col("_i"),
+            _with_records(spots.filter(unlisted), docs, "positions", any_process), "log_position", "warning", "consistency",
+            ["joint", "position", "welder"], _facts(welded=F.col("position"), listed=_codes(F.col("listed"))), F.col("shown"), seq=F.col("_i"),
         ),
         emit(
-            spots.filter(_has(of_wps) & ~F.array_contains(ps.with_equivalents(of_wps), F.col("position"))),
-            "log_position_wps", "warning", "consistency", _say("Joint %s welded in %s, which %s doesn't list", "joint", "position", number),
-            F.lit("Confirm the procedure covers this position."),
-            F.array(row_evidence(), evidence(proc, "positions", "wps")), seq=F.col("_i"),
+            off_wps, "log_position_wps", "warning", "consistency", ["joint", "position", number],
+            _facts(welded=F.col("position"), listed=_codes(F.col("wps_positions"))), F.array(row_evidence(), evidence(proc, "positions", "wps")), seq=F.col("_i"),
         ),
         emit(
-            passed.filter(F.coalesce(outside, F.lit(False))), "log_thickness", "error", "consistency",
-            _say("Joint %s is %s mm, outside the range of %s", "joint", ps.plain(F.col("thickness")), number),
-            _say("The WPS covers %s.", ps.display(F.lit("range_mm"), span)),
+            thick, "log_thickness", "error", "consistency", ["joint", ps.plain(F.col("thickness")), number],
+            _facts(welded=F.concat(ps.plain(F.col("thickness")), F.lit(" mm")), range=ps.display(F.lit("range_mm"), proc["thickness_range"]["value"])),
             F.array(row_evidence(), evidence(proc, "thickness_range", "wps")),
         ),
         emit(
-            passed.filter(F.col("day") < tested), "log_before_qualification", "error", "consistency",
-            _say("Joint %s was welded before welder %s qualified", "joint", "welder"),
-            _say("Welded %s; qualification test %s.", F.col("day").cast("string"), tested.cast("string")),
-            _shown(F.col("relevant"), "test_date"),
+            _with_records(passed.filter("day < tested"), docs, "test_date", any_process), "log_before_qualification", "error", "consistency",
+            ["joint", "welder"], _facts(welded=F.col("day"), first_test=F.col("tested")), F.col("shown"),
         ),
     ]
 
 
-def continuity(rows: DataFrame, months: int = CONTINUITY_MONTHS) -> DataFrame:
+def continuity(rows: DataFrame, docs: DataFrame, months: int = CONTINUITY_MONTHS) -> DataFrame:
     """The first weld after more than six idle months, per (log, welder, process).
 
-    Rows are first combined to one per day, which no key can have many of; the window then runs over days.
+    Rows are first combined to one per day, which no key can have many of; the window then runs over days. A key's clock starts
+    at the last test on or before its first day, found by an as-of join of days and tests, or at its first test.
     """
-    unknown = F.array(F.lit("?"))
+    unknown = F.array(F.lit("*"))
     active = rows.filter("gate = 'pass' AND day IS NOT NULL").withColumn(
-        "process", F.explode(F.when(F.size("row_process") > 0, F.col("row_process")).otherwise(unknown))
+        "process", F.explode(F.when(F.size("row_process") > 0, F.array_distinct("row_process")).otherwise(unknown))
     )
-    key = ["job_id", "doc_id", "filename", "welder_key", "process"]
-    kept = F.struct("row", "joint", "welder", "snippet")
-    days = active.groupBy(*key, "day").agg(F.min_by(kept, "row").alias("weld"), F.min_by("quals", "row").alias("quals"))
-    covers = lambda q: (F.col("process") == "?") | F.coalesce(
-        F.array_contains(q["process"]["value"]["texts"], F.col("process")), F.lit(False)
-    )
-    days = days.withColumn("quals", F.filter("quals", covers)).withColumn(
-        "tests", F.array_compact(F.transform("quals", lambda q: q["test_date"]["value"]["day"]))
-    ).filter(F.size("tests") > 0)
+    key, of_welder = ["job_id", "doc_id", "filename", "welder_key", "process"], ["job_id", "welder_key", "process"]
+    days = active.groupBy(*key, "day").agg(F.min_by(F.struct("row", "joint", "welder", "snippet"), "row").alias("weld"))
+    none = F.array().cast("array<string>")
+    codes = F.explode(F.array_union(unknown, F.coalesce(_value("process", "texts"), none))).alias("process")
+    tests = _records(docs, codes, _value("test_date", "day").alias("test_day")).filter("test_day IS NOT NULL").distinct()
+    first_test = tests.groupBy(*of_welder).agg(F.min("test_day").alias("first_test"))
+    starts = days.groupBy(*key).agg(F.min("day").alias("first_day"))
+    anchors = as_of(starts, tests, of_welder, F.unix_date("first_day"), F.unix_date("test_day"), F.col("test_day"), "last_test", AS_OF_DAYS)
+    anchors = anchors.join(first_test, of_welder).select(*key, F.coalesce("last_test", "first_test").alias("anchor"))
     w = Window.partitionBy(*key).orderBy("day")
-    first = F.min("day").over(Window.partitionBy(*key))
-    days = days.withColumn("_first", first).withColumn("_previous", F.lag("day").over(w))
-    earlier = F.filter("tests", lambda d: d <= F.col("_first"))
-    anchor = F.when(F.size(earlier) > 0, F.array_max(earlier)).otherwise(F.array_min("tests"))
-    days = days.withColumn("last", F.greatest(anchor, F.col("_previous")))
-    lapsed = days.filter(F.col("day") > F.add_months("last", months))
-    found = first_row(lapsed, key, F.col("day")).select("*", "weld.*")
-    label = F.when(F.col("process") == "?", "welding").otherwise(F.col("process"))
+    since = days.withColumn("_previous", F.lag("day").over(w)).join(anchors, key).withColumn("last", F.greatest("anchor", "_previous"))
+    lapsed = since.filter(F.col("day") > F.add_months("last", months))
+    found = first_row(lapsed, key, F.col("day")).select("*", "weld.*").withColumn("row_process", F.array("process"))
+    label = F.when(F.col("process") == "*", "welding").otherwise(F.col("process"))
     return emit(
-        found, "continuity_lapse", "error", "code_rule",
-        _say("Welder %s's %s qualification had lapsed when joint %s was welded", "welder", label, "joint"),
-        _say(f"No %s welding is logged between %s and %s, more than {months} months.", label,
-             F.col("last").cast("string"), F.col("day").cast("string")),
-        _shown(F.col("quals"), "test_date"), RULE_CONTINUITY,
+        _with_records(found, docs, "test_date", F.col("process") == "*"), "continuity_lapse", "error", "code_rule", ["welder", label, "joint"],
+        _facts(process=label, idle_from=F.col("last"), idle_to=F.col("day"), months_allowed=months), F.col("shown"),
     )
 
 
@@ -436,7 +474,7 @@ def cross_check(documents: DataFrame, fields: DataFrame, log: DataFrame, durable
     rows = durable(gated(log.join(known.select("job_id", "doc_id"), ["job_id", "doc_id"], "left_semi"), docs))
     parts = [
         missing_fields(docs), unreferenced(docs, jobs), *against_records(supported(docs)), consumables(docs, jobs),
-        unused_welders(docs, jobs), unreadable_logs(docs), *log_rows(rows), continuity(rows), *coverage(jobs),
+        unused_welders(docs, jobs), unreadable_logs(docs), *log_rows(rows, docs), continuity(rows, docs), *coverage(jobs),
     ]
     return unique(reduce(DataFrame.unionByName, parts))
 

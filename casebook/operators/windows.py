@@ -9,6 +9,7 @@ a range of the order column, so it follows from the data alone and a re-run task
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,6 +72,26 @@ def carried_forward(
     )
 
 
+def as_of(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Column, right_order: Column, value: Column, name: str, width: int
+) -> DataFrame:
+    """Each left row with the ``value`` of the latest right row of its keys at or before it, null where there is none.
+
+    Both sides are merged along one numeric order, in blocks of ``width``; the latest value is carried into later blocks by
+    per-block summaries, so a key that holds a third of either side is many tasks' work. Of right rows at one place the
+    largest value counts. Null keys meet nothing.
+    """
+    keys = list(keys)
+    # At one place right rows come first: doubled places leave room for that.
+    events = right.select(*keys, (right_order.cast("bigint") * 2).alias("_at"), value.alias("_carried"))
+    events = events.groupBy(*keys, "_at").agg(F.max("_carried").alias("_carried")).withColumn("_left", F.lit(None).cast(left.schema))
+    asked = left.select(*keys, (left_order.cast("bigint") * 2 + 1).alias("_at"), F.lit(None).cast(events.schema["_carried"].dataType).alias("_carried"), F.struct("*").alias("_left"))
+    merged = carried_forward(events.unionByName(asked), keys, "_at", F.col("_carried"), "_found", 2 * width)
+    found = merged.filter("_left IS NOT NULL").select("_left.*", F.col("_found").alias(name))
+    keyless = left.filter(reduce(Column.__or__, [F.col(k).isNull() for k in keys]))
+    return found.unionByName(keyless.withColumn(name, F.lit(None).cast(found.schema[name].dataType)))
+
+
 def with_preceding(
     df: DataFrame, keys: Sequence[str], order: str, payload: Column, size: int, name: str, width: int
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from casebook.functions import scoring as sc
 from casebook.functions import text as tx
 from casebook.operators.matching import small_side
 from casebook.operators.windows import interleaved, top_k
+from casebook.plans.lexical import LexicalIndex
 from casebook.session import durable
 
 Scorer = Callable[[list[str], list[str]], list[float]]
@@ -118,7 +119,7 @@ def evidence_text(numbered: DataFrame, questions: DataFrame | None = None) -> Da
 
 def prepare(
     questions: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame, vectors: DataFrame | None = None,
-    index: DataFrame | None = None, scorer: Scorer | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+    index: DataFrame | LexicalIndex | None = None, scorer: Scorer | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(sources, confidence) of a batch of questions."""
     return _prepared(questions, chunks, documents, facts, vectors, index, scorer, floor, scoped)[:2]
@@ -126,7 +127,7 @@ def prepare(
 
 def prepared_answers(
     questions: DataFrame, messages: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame, vectors: DataFrame | None = None,
-    index: DataFrame | None = None, scorer: Scorer | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+    index: DataFrame | LexicalIndex | None = None, scorer: Scorer | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> DataFrame:
     """All that a model is asked with, a row per question (P3): ``exhaustive, confidence, sources, evidence, evidence_found``,
     the counted spreadsheet ``records, label, labels`` (null without a workbook), ``history`` and ``num_ctx``.
@@ -154,7 +155,7 @@ def prepared_answers(
 
 
 def _prepared(
-    questions: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame, vectors: DataFrame | None, index: DataFrame | None,
+    questions: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame, vectors: DataFrame | None, index: DataFrame | LexicalIndex | None,
     scorer: Scorer | None, floor: float, scoped: bool,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(sources, confidence, questions as written, documents chosen for count/list questions).
@@ -252,7 +253,7 @@ def spreadsheet_counts(selected: DataFrame, chunks: DataFrame) -> DataFrame:
 # -- figures, audits, views ----------------------------------------------------------
 
 def figure_or_passages(
-    requests: DataFrame, figures: DataFrame, chunks: DataFrame, scoped_figures: bool = False, vectors: DataFrame | None = None, index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
+    requests: DataFrame, figures: DataFrame, chunks: DataFrame, scoped_figures: bool = False, vectors: DataFrame | None = None, index: DataFrame | LexicalIndex | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> DataFrame:
     """The matching figure of each diagram request, else the six best passages (P5)."""
     from casebook.operators.facts import best_figures

@@ -10,6 +10,7 @@ from casebook.functions import text as tx
 from casebook.operators.facts import best_filename
 from casebook.operators.matching import nearest, shared_terms, small_side, term_rows
 from casebook.operators.windows import first_row, numbered, top_k
+from casebook.plans.lexical import LexicalIndex, search
 from casebook.session import durable
 
 SCOPE_COLUMNS = ["library", "thread", "is_reference"]
@@ -38,14 +39,20 @@ def postings(chunks: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def lexical_list(
-    questions: DataFrame, chunks: DataFrame, index: DataFrame | None = None, k: int = sc.LIST_SIZE, scoped: bool = True
+    questions: DataFrame, chunks: DataFrame, index: DataFrame | LexicalIndex | None = None, k: int = sc.LIST_SIZE, scoped: bool = True
 ) -> DataFrame:
     """The k passages per question with most uses of its terms.
 
-    With an ``index`` (a written ``postings`` table) its terms are read; without one it is made on the way.
+    With an ``index`` (a written ``LexicalIndex``, or a ``postings`` table) only the asked words are read; without one the
+    passages are read as they are.
     """
     asked = questions.withColumn("terms", tx.lexical_terms(F.col("text")))
     asked = asked.select("question_id", "terms", *(["library", "thread", "use_reference"] if scoped else []))
+    if isinstance(index, LexicalIndex):
+        if index.scoped != scoped:
+            raise ValueError("the index must be scoped as the search is")
+        found = search(asked, index, k)
+        return found.select("question_id", F.col("item_id").alias("chunk_id"), "score", "rank")
     index = postings(chunks, SCOPE_COLUMNS if scoped else []) if index is None else index
     found = shared_terms(asked, index, k, scoped)
     return found.select("question_id", F.col("item_id").alias("chunk_id"), "score", "rank")
@@ -68,7 +75,7 @@ def fuse(vectors: DataFrame, words: DataFrame, floor: float = sc.MIN_SIMILARITY)
 
 
 def retrieve(
-    questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, index: DataFrame | None = None,
+    questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, index: DataFrame | LexicalIndex | None = None,
     k: int | None = sc.CANDIDATES, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, columns: tuple[str, ...] = ("doc_id",),
     n_questions: int | None = None, list_size: int = sc.LIST_SIZE,
 ) -> DataFrame:
@@ -78,7 +85,7 @@ def retrieve(
 
     ``questions``: question_id, text, vector, library, thread, use_reference.
     ``chunks``: chunk_id, doc_id, content, scope columns. ``vectors``: chunk_id, vector, scope columns; left out,
-    the passages carry their vectors. ``index``: a written ``postings`` table, if there is one. Passages are named by id until the cut,
+    the passages carry their vectors. ``index``: a written ``LexicalIndex`` or ``postings`` table, if there is one. Passages are named by id until the cut,
     and only then joined to their document. ``n_questions``: how many there are, when the caller has written them
     already; else they are written here, so that their vectors are computed once.
     """
@@ -135,7 +142,7 @@ def whole_document(selected: DataFrame, chunks: DataFrame, limit: int | None = N
 
 def chosen_document(
     questions: DataFrame, chunks: DataFrame, documents: DataFrame, vectors: DataFrame | None = None,
-    index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, n_questions: int | None = None,
+    index: DataFrame | LexicalIndex | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, n_questions: int | None = None,
 ) -> DataFrame:
     """The one document that fits each count/list question best (P2), written: a row per question that several steps read."""
     if n_questions is None:
@@ -149,7 +156,7 @@ def chosen_document(
 
 def retrieve_whole(
     questions: DataFrame, chunks: DataFrame, documents: DataFrame, vectors: DataFrame | None = None,
-    index: DataFrame | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, limit: int | None = None, n_questions: int | None = None,
+    index: DataFrame | LexicalIndex | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True, limit: int | None = None, n_questions: int | None = None,
 ) -> DataFrame:
     """Count/list questions answered from the one document that fits best."""
     if n_questions is None:

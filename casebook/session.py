@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +41,7 @@ def work_folder(spark: SparkSession) -> str:
     """A folder every executor reaches: the one named in ``spark.checkpoint.dir``.
 
     Only a session whose tasks run in the driver's own process (``local`` or ``local[n]``) gets a folder of its own
-    where none is set.
+    where none is set; it goes when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
@@ -47,6 +49,7 @@ def work_folder(spark: SparkSession) -> str:
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="casebook-work-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 

@@ -1,7 +1,8 @@
 """Incremental indexing and pairing over file streams, and the work-queue tables beside them.
 
-Every micro-batch writes folders named after its batch id and reads only earlier ones, so a batch that is
-run again after a failure replaces its own output and nothing is counted twice.
+Every micro-batch writes folders named after its batch id and reads only earlier ones, so a batch that is run again after a
+failure replaces its own output and nothing is counted twice. What has to be remembered is either a summary
+(``hashes``) or Spark's own keyed state.
 """
 
 from __future__ import annotations
@@ -12,12 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from casebook.operators.chunking import CHUNKS, chunk_id, chunk_texts
 from casebook.operators.embedding import Embedder, with_vectors
-from casebook.operators.windows import first_row
-from casebook.plans.conversations import BLOCK, exchanges
 from casebook.sources.files import mark_duplicates
+from casebook.streaming.hashes import HashStore
 
 ATTEMPTS = 3
-INDEXED = "doc_id bigint, library string, sha256 string, batch_id bigint"
+WAITS = "30 days"
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
 
@@ -29,38 +29,28 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return reader.parquet(folder)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """What the batches before this one wrote."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
-
-
 def _write(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def index_stream(
     documents: DataFrame, folder: str, checkpoint: str, embedder: Embedder | None = None, dimensions: int = 768,
-    vectors: bool = True, overlap: int | None = None,
+    vectors: bool = True, overlap: int | None = None, store: HashStore | None = None,
 ) -> StreamingQuery:
     """Index arriving documents (doc_id, library, text), leaving out content a library already holds.
 
-    Duplicates are decided against the index itself, so they are found however late they come.
+    Duplicates are decided against all that was ever indexed, so they are found however late they come; of the past, a
+    micro-batch reads the Bloom summaries and the few folders that these name.
     """
+    store = store or HashStore(folder)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         hashed = batch.withColumn("sha256", F.sha2(F.encode("text", "utf-8"), 256))
-        held = earlier(spark, f"{folder}/documents", INDEXED, batch_id)
+        held = store.candidates(hashed, batch_id)
         fresh = mark_duplicates(hashed, held).filter("NOT duplicate").drop("duplicate")
-        _write(fresh.select("doc_id", "library", "sha256"), f"{folder}/documents", batch_id)
-        kept = spark.read.parquet(f"{folder}/documents/batch_id={batch_id}").select("doc_id")
+        store.add(fresh, batch_id)
+        kept = spark.read.schema("doc_id bigint").parquet(f"{store.documents}/batch_id={batch_id}").select("doc_id")
         new = batch.join(kept, "doc_id", "left_semi")
         if overlap is not None:
             new = new.withColumn("overlap", F.lit(overlap))
@@ -78,24 +68,26 @@ def read_passages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(CHUNKS + ", chunk_id bigint, vector array<float>").parquet(f"{folder}/chunks")
 
 
-def pair_stream(turns: DataFrame, folder: str, checkpoint: str, width: int = BLOCK) -> StreamingQuery:
-    """Question/answer pairs of arriving turns.
+def pair_stream(turns: DataFrame, folder: str, checkpoint: str, waits: str = WAITS) -> StreamingQuery:
+    """Question/answer pairs of arriving turns, which may come in any order.
 
-    The last turn of each touched thread is kept, so a question and its answer meet across batches. Turns of a
-    thread arrive in order.
+    A question is a user turn, its answer the assistant turn numbered next. Both are keyed by (thread, number of the question) and
+    wait for each other in the state of a stream-stream join: one entry for each open turn, spread by that key, so a
+    thread that holds a third of all turns is no hot key, and nothing that was paired before is read again. A turn that
+    stays alone for ``waits`` leaves the state.
     """
+    arrived = turns.withColumn("_arrived", F.current_timestamp())
+    asked = arrived.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), F.col("_arrived").alias("asked_at"))
+    said = arrived.filter("role = 'assistant'").select(
+        F.col("conv_id").alias("said_in"), (F.col("turn") - 1).alias("said_after"), F.col("text").alias("answer"), F.col("_arrived").alias("said_at"))
+    meet = F.expr(f"""conv_id = said_in AND turn = said_after
+        AND said_at BETWEEN asked_at - INTERVAL {waits} AND asked_at + INTERVAL {waits}""")
+    pairs = asked.withWatermark("asked_at", "1 hour").join(said.withWatermark("said_at", "1 hour"), meet)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        arrived = batch.select("conv_id", "turn", "role", "text")
-        touched = arrived.select("conv_id").distinct()
-        tails = earlier(spark, f"{folder}/tails", TURNS + ", batch_id bigint", batch_id).drop("batch_id")
-        waiting = first_row(tails.join(touched, "conv_id", "left_semi"), ["conv_id"], F.col("turn"), last=True)
-        both = waiting.select("conv_id", "turn", "role", "text").unionByName(arrived)
-        _write(exchanges(both, width=width), f"{folder}/pairs", batch_id)
-        _write(first_row(arrived, ["conv_id"], F.col("turn"), last=True), f"{folder}/tails", batch_id)
-
-    return turns.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        _write(batch.select("conv_id", "turn", "question", "answer"), f"{folder}/pairs", batch_id)
+
+    return pairs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def after_attempt(queue: DataFrame, failures: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:

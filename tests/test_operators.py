@@ -333,3 +333,18 @@ def test_index_is_built_and_published(spark, tmp_path):
     index.publish(index.build(docs, table, images, dimensions=16), str(tmp_path), "v1")
     got = index.read_part(spark, str(tmp_path), "documents", "v1")
     assert rows(got, "doc_id", "passages", "facts", "figures") == [(1, 1, 1, 0), (2, 1, 0, 2)]
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_as_of_equals_brute_force(spark, width):
+    rng = random.Random(5)
+    left = [(rng.choice(["a", "a", "b", "c", None]), rng.randint(-30, 60), i) for i in range(200)]
+    right = [(rng.choice(["a", "a", "b", "d", None]), rng.randint(-30, 60), rng.randint(0, 9)) for _ in range(60)]
+    frames = spark.createDataFrame(left, "k string, at int, id int"), spark.createDataFrame(right, "k string, day int, v int")
+    got = windows.as_of(*frames, ["k"], F.col("at"), F.col("day"), F.col("v"), "last", width)
+    want = []
+    for k, at, i in left:
+        held = [(day, v) for key, day, v in right if key == k and day <= at]
+        want.append((i, k, max(held)[1] if held else None))
+    assert sorted((r.id, r.k, r["last"]) for r in got.filter("k IS NOT NULL").collect()) == sorted(w for w in want if w[1] is not None)
+    assert got.columns == ["k", "at", "id", "last"] and got.count() == 200

@@ -1,10 +1,12 @@
 """Streams end in the same tables as one batch, also when files arrive over several runs."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from casebook.operators.chunking import chunk_texts
 from casebook.plans.conversations import exchanges
 from casebook.sources.files import mark_duplicates
+from casebook.streaming import hashes
 from casebook.streaming import ingest as st
 
 
@@ -35,11 +37,51 @@ def test_pairs_meet_across_batches(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for n, (low, high) in enumerate(((0, 2), (3, 3), (4, 7))):
         put(turns.filter(F.col("turn").between(low, high)), source, n)
-        st.pair_stream(st.file_stream(spark, f"{source}/part*", turns.schema), out, str(tmp_path / "cp"), width=2).awaitTermination()
+        st.pair_stream(st.file_stream(spark, f"{source}/part*", turns.schema), out, str(tmp_path / "cp")).awaitTermination()
     key = lambda df: sorted((r.conv_id, r.turn, r.answer) for r in df.collect())
     assert key(spark.read.parquet(f"{out}/pairs")) == key(exchanges(turns)) and exchanges(turns).count() == 6
 
 
+def test_pairs_meet_in_any_order(spark, tmp_path):
+    """Answers arrive runs before their questions, threads are mixed, and the stream is restarted in between."""
+    roles = ["user", "assistant", "system", "user", "user", "assistant", "assistant", "user", "assistant"]
+    turns = spark.createDataFrame([(c, t, r, f"{c}-{t}") for c in (1, 2, 3) for t, r in enumerate(roles)], st.TURNS)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n, rest in enumerate((2, 1, 0)):
+        put(turns.filter((F.col("turn") + F.col("conv_id")) % 3 == rest), source, n)
+        st.pair_stream(st.file_stream(spark, f"{source}/part*", turns.schema, files_per_batch=1), out, str(tmp_path / "cp")).awaitTermination()
+    key = lambda df: sorted((r.conv_id, r.turn, r.question, r.answer) for r in df.collect())
+    assert key(spark.read.parquet(f"{out}/pairs")) == key(exchanges(turns)) and exchanges(turns).count() == 9
+
+
+def test_summaries_name_the_folders_to_open(spark, tmp_path):
+    """New content opens nothing, however many batches came before; a copy opens the folder that holds it."""
+    store = hashes.HashStore(str(tmp_path / "store"), buckets=4)
+
+    def batch(ids):
+        rows = spark.createDataFrame([(i, f"l{i % 2}", f"text {i}") for i in ids], "doc_id bigint, library string, text string")
+        return rows.withColumn("sha256", F.sha2(F.encode("text", "utf-8"), 256))
+
+    for n in range(6):
+        new = batch(range(50 * n, 50 * n + 50))
+        assert store.candidates(new, n).count() == 0
+        store.add(new, n)
+    assert [store.opened.get(n, 0) for n in range(6)] == [0] * 6
+    held = store.candidates(batch([60, 1000]), 6)
+    assert 60 in {r.doc_id for r in held.collect()} and store.opened[6] == 1
+    # a batch that runs again does not see itself, nor later ones
+    assert store.candidates(batch([60]), 1).count() == 0
+    store.add(batch(range(50, 100)), 1)
+    assert spark.read.parquet(store.documents).count() == 300
+
+
+def test_bloom_holds_what_was_put_in():
+    rng = np.random.default_rng(0)
+    one, two, other = (rng.integers(-(2**62), 2**62, 5000) for _ in range(3))
+    stored = hashes.bloom(one, two)
+    assert hashes.may_hold(stored, one, two).all() and hashes.may_hold(stored, other, two).sum() < 5
+
+
 def test_third_failure_is_final(spark):
     queue = spark.createDataFrame([(1, "running", 1, None), (2, "running", 3, "old"), (3, "running", 2, None), (4, "queued", 0, None)],
                                   "doc_id bigint, status string, attempts int, last_error string")
