@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.llm.common import stored
+from casebook.llm.common import shuffles_removed, stored
 
 ORDER = 5
 LEAST = 100
@@ -49,8 +49,9 @@ def frequent_pairs(rows: DataFrame, least: int, bits: int) -> DataFrame:
     pairs = led(rows, 2).filter("w2 IS NOT NULL").groupBy(_pair("w1", "w2").alias("pair")).count().filter(F.col("count") >= least)
     bucket = pairs.select(F.pmod("pair", F.lit(1 << bits)).alias("bucket"))
     bit = F.expr("shiftleft(1L, cast(bucket & 63 as int))")
-    # At most 2 ** bits / 64 numbers come to the driver.
-    found = bucket.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    # At most 2 ** bits / 64 numbers come to the driver, and the shuffled counts go as soon as they are there.
+    with shuffles_removed(rows.sparkSession):
+        found = bucket.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
     full = [0] * (1 << bits - 6)
     for r in found:
         full[r.word] = r.bits
