@@ -1,4 +1,4 @@
-from casebook.catalog import access, ingest, search, streams, texts, welding
+from casebook.catalog import access, files, ingest, search, streams, texts, welding
 from casebook.catalog.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "access", "ingest", "search", "streams", "texts", "welding"]
+__all__ = ["ORACLES", "QUERIES", "access", "files", "ingest", "search", "streams", "texts", "welding"]

@@ -373,18 +373,35 @@ def html_chunks(spark, sf):
     return _compared(chunking.chunk_blocks(blocks.html(given(spark, sf, "pages"))))
 
 
-@query("hashed_vectors", """
+_SLOTS = """
     WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\\-]*')) AS w FROM {documents}),
       b AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) % 768 AS b, count(*) AS n FROM w GROUP BY ALL)
-    SELECT doc_id, count(*) AS buckets, round(max(n) / sqrt(sum(n * n)), 5) AS largest, CAST(sum(b) AS BIGINT) AS positions FROM b GROUP BY doc_id""")
+    SELECT doc_id, count(*) AS buckets, round(max(n) / sqrt(sum(n * n)), 5) AS largest, CAST(sum(b) AS BIGINT) AS positions FROM b GROUP BY doc_id"""
+
+
+@query("hashed_vectors", _SLOTS)
 def hashed_vectors(spark, sf):
-    rows = embedding.with_vectors(given(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    return _slots(embedding.with_vectors(given(spark, sf, "documents").select("doc_id", "text"), "text").drop("text"))
+
+
+def _slots(rows):
     slots = F.filter(F.transform("vector", lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: s["v"] > 0)
     return rows.select("doc_id", slots.alias("s")).filter(F.size("s") > 0).select(
         "doc_id", F.size("s").cast("bigint").alias("buckets"), F.round(F.array_max("s.v").cast("double"), 5).alias("largest"),
         F.aggregate("s", F.lit(0).cast("bigint"), lambda a, s: a + s["i"]).alias("positions"))
 
 
+@query("stored_vectors", _SLOTS)
+def stored_vectors(spark, sf):
+    """Vectors by way of a store: one language first, then all documents, of which only new texts are embedded."""
+    from casebook.session import work_folder
+
+    docs = given(spark, sf, "documents").select("doc_id", "lang", "text")
+    store = embedding.VectorStore(f"{work_folder(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}")
+    store.attach(docs.filter("lang = 'en'"), "text")
+    return _slots(store.attach(docs, "text").select("doc_id", "vector"))
+
+
 @query("index_counters", """
     WITH li AS (SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {documents}) WHERE trim(line) <> '' GROUP BY doc_id),
       lab AS (SELECT doc_id, count(*) AS facts FROM {labels} GROUP BY doc_id), conv AS (SELECT conv_id AS doc_id, count(*) AS figures FROM {conversations} GROUP BY conv_id)

@@ -510,3 +510,17 @@ def recheck(changed: DataFrame, documents: DataFrame, fields: DataFrame, log: Da
     """Findings of the jobs whose documents changed, and only of those."""
     keep = lambda df: df.join(changed.select("job_id").distinct(), "job_id", "left_semi")
     return cross_check(keep(documents), keep(fields), keep(log), durable)
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Findings of two versions of a report as a change set: ``job_id, id, change``, unchanged findings left out.
+
+    ``change`` is 'appeared', 'gone' or 'changed' (the same finding by identity, with other content). Content is compared by a
+    hash, so evidence does not travel.
+    """
+    content = F.xxhash64("check", "severity", "kind", "title", "detail", "rule", F.to_json("evidence"))
+    old = before.select("job_id", "id", content.alias("_old"))
+    new = after.select("job_id", "id", content.alias("_new"))
+    both = old.join(new, ["job_id", "id"], "full_outer").filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    change = F.when(F.col("_old").isNull(), "appeared").when(F.col("_new").isNull(), "gone").otherwise("changed")
+    return both.select("job_id", "id", change.alias("change"))

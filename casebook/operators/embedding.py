@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH = 24
 DIMENSIONS = 768
@@ -74,3 +76,31 @@ def with_vectors(
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", vector array<float>"
     return df.mapInPandas(run, schema)
+
+
+class VectorStore:
+    """Vectors by the hash of their text, below ``folder``: a text is embedded once, whichever document, run or question holds it.
+
+    Every run writes a folder of its own with the texts that were new to it; one writer at a time.
+    """
+
+    def __init__(self, folder: str, embedder: Embedder | None = None, dimensions: int = DIMENSIONS):
+        self.folder, self.embedder, self.dimensions = folder.rstrip("/"), embedder, dimensions
+
+    def stored(self, spark: SparkSession) -> DataFrame:
+        place = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        schema = "hash string, vector array<float>"
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{self.folder}/run-*")
+
+    def attach(self, rows: DataFrame, text: str) -> DataFrame:
+        """``rows`` with ``vector``; null texts get none. Copies of a text are combined before they move."""
+        spark = rows.sparkSession
+        keyed = rows.withColumn("_hash", F.sha2(F.col(text).cast("binary"), 256))
+        texts = keyed.filter(F.col(text).isNotNull()).groupBy("_hash").agg(F.any_value(text).alias("_text"))
+        known = self.stored(spark).withColumnRenamed("hash", "_hash")
+        fresh = texts.join(known, "_hash", "left_anti")
+        made = with_vectors(fresh, "_text", self.embedder, self.dimensions).select(F.col("_hash").alias("hash"), "vector")
+        made.write.parquet(f"{self.folder}/run-{uuid.uuid4().hex}")
+        return keyed.join(self.stored(spark).withColumnRenamed("hash", "_hash"), "_hash", "left").drop("_hash")

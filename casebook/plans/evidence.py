@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions import scoring as sc
@@ -16,6 +16,7 @@ from casebook.plans.lexical import LexicalIndex
 from casebook.session import durable
 
 Scorer = Callable[[list[str], list[str]], list[float]]
+JOIN_BLOCK = 256
 
 
 def word_score(question: Column, passage: Column) -> Column:
@@ -64,7 +65,8 @@ def sources(passages: DataFrame, facts: DataFrame) -> DataFrame:
     """Numbered sources per question, passages before facts.
 
     ``passages``: question_id, position, chunk_id, doc_id, filename, page_start, page_end, section, content,
-    rerank_score. ``facts``: question_id, rank, doc_id, filename, page, locator, label, value.
+    rerank_score. ``facts``: question_id, rank, doc_id, filename, page, locator, label, value. Positions and ranks count
+    from 1 without gaps, so facts are numbered on from the last position and no window holds a whole document.
     """
     text = F.concat_ws(": ", "label", "value")
     p = passages.select(
@@ -80,9 +82,10 @@ def sources(passages: DataFrame, facts: DataFrame) -> DataFrame:
         F.col("locator").alias("location"), text.alias("snippet"),
         F.concat(F.lit("(value read from a table) "), text).alias("content"), F.lit(True).alias("exact"),
     )
+    last = passages.groupBy("question_id").agg(F.max("position").alias("_last"))
+    f = f.join(last, "question_id", "left").withColumn("_rank", F.coalesce("_last", F.lit(0)) + F.col("_rank")).drop("_last")
     both = p.unionByName(f, allowMissingColumns=True)
-    order = Window.partitionBy("question_id").orderBy("exact", "_rank")
-    return both.withColumn("index", F.row_number().over(order)).drop("_rank")
+    return both.withColumn("index", F.col("_rank").cast("int")).drop("_rank")
 
 
 def public(rows: DataFrame) -> DataFrame:
@@ -105,13 +108,24 @@ def confidence_labels(questions: DataFrame, passages: DataFrame, facts: DataFram
 EMPTY_EVIDENCE = "No matching passages were found in the selected knowledge base or chat uploads."
 
 
+def joined_text(rows: DataFrame, keys: list[str], block: Column, order: list[str], text: str, between: str) -> DataFrame:
+    """``text`` and ``n`` by key: the texts of its rows in order, put together block by block and then from the blocks.
+
+    ``block`` must rise with the order. A key's rows are many small lists this way; only the finished text is one value.
+    """
+    inner = F.array_sort(F.collect_list(F.struct(*order, text)))
+    blocks = rows.withColumn("_block", block).groupBy(*keys, "_block").agg(
+        F.array_join(F.transform(inner, lambda r: r[text]), between).alias("_piece"), F.count(F.lit(1)).alias("_n"))
+    outer = F.array_sort(F.collect_list(F.struct("_block", "_piece")))
+    return blocks.groupBy(*keys).agg(F.array_join(F.transform(outer, lambda r: r["_piece"]), between).alias("text"), F.sum("_n").alias("n"))
+
+
 def evidence_text(numbered: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """One text per question with all its numbered sources (A19); with ``questions``, a fixed text for those without any."""
     entry = F.format_string("[%d] %s (%s)\n%s", "index", "filename", "location", "content")
-    rows = F.array_sort(F.collect_list(F.struct("index", entry.alias("t"))))
-    packs = numbered.groupBy("question_id").agg(
-        F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("evidence"), F.count(F.lit(1)).alias("sources")
-    )
+    rows = numbered.select("question_id", "index", entry.alias("entry"))
+    block = F.floor(F.col("index") / JOIN_BLOCK)
+    packs = joined_text(rows, ["question_id"], block, ["index"], "entry", "\n\n").select("question_id", F.col("text").alias("evidence"), F.col("n").alias("sources"))
     if questions is None:
         return packs
     return questions.select("question_id").join(packs, "question_id", "left").fillna(EMPTY_EVIDENCE, ["evidence"]).fillna(0, ["sources"])
@@ -236,17 +250,18 @@ def spreadsheet_counts(selected: DataFrame, chunks: DataFrame) -> DataFrame:
         F.max_by("fields", "chunk_index").alias("fields"), F.min("chunk_index").alias("rank")
     )
     data = distinct.filter(~F.exists("fields", lambda c: F.lower(c["value"]).isin(*SUMMARY_VALUES)))
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "row", "sheet", "fields")))
-    books = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), ordered.alias("_rows"))
-    headers = F.array_distinct(F.flatten(F.transform("_rows", lambda r: F.transform(r["fields"], lambda c: c["header"]))))
-    named = F.filter(headers, lambda h: F.lower(h).contains("name"))
-    books = books.withColumn("label", F.coalesce(F.try_element_at(named, F.lit(1)), F.try_element_at(headers, F.lit(1))))
-    value = lambda r: F.coalesce(
-        F.try_element_at(F.transform(F.filter(r["fields"], lambda c: c["header"] == F.col("label")), lambda c: c["value"]), F.lit(-1)),
-        F.lit(""),
-    )
-    labels = F.filter(F.transform("_rows", value), lambda v: v != "")
-    counted = books.select(*keys, "records", "label", F.size(labels).alias("labelled"), F.array_join(labels, "; ").alias("labels"))
+    # Columns by their first place in the workbook, combined in the map tasks; the first that names something is the label.
+    place = F.struct("rank", "row", "sheet", "_i")
+    columns = data.select(*keys, "rank", "row", "sheet", F.posexplode("fields").alias("_i", "_cell")).select(*keys, place.alias("_place"), "_cell.header")
+    names = F.lower("header").contains("name")
+    labels = columns.groupBy(*keys).agg(F.min_by("header", F.when(names, F.col("_place"))).alias("_named"), F.min_by("header", "_place").alias("_first"))
+    labels = labels.select(*keys, F.coalesce("_named", "_first").alias("label"))
+    value = F.try_element_at(F.transform(F.filter("fields", lambda c: c["header"] == F.col("label")), lambda c: c["value"]), F.lit(-1))
+    valued = data.join(labels, keys).select(*keys, "rank", "row", "sheet", value.alias("value")).filter("value <> ''")
+    told = joined_text(valued, keys, F.floor(F.col("rank") / JOIN_BLOCK), ["rank", "row", "sheet"], "value", "; ")
+    told = told.select(*keys, F.col("n").cast("int").alias("labelled"), F.col("text").alias("labels"))
+    counted = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("records")).join(labels, keys, "left").join(told, keys, "left")
+    counted = counted.select(*keys, "records", "label", F.coalesce("labelled", F.lit(0)).alias("labelled"), F.coalesce("labels", F.lit("")).alias("labels"))
     return selected.select("question_id", "doc_id").join(counted, "doc_id")
 
 

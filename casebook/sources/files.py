@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.operators.windows import first_row
+from casebook.sources.logs import read_log  # noqa: F401
 
 # File types that can hold a document.
 EXTENSIONS = (
@@ -85,26 +86,6 @@ def page_route(text: Column, minimum: int = MIN_PAGE_TEXT) -> Column:
     return F.when(F.length(stripped) < minimum, "ocr").otherwise("text")
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Weld-log CSV rows as (file, row, cells); quoted line breaks stay inside a cell."""
-    import csv
-    import io
-
-    def rows(frames):
-        import pandas as pd
-
-        for frame in frames:
-            out = [
-                (name, i, cells)
-                for name, content in zip(frame["path"], frame["content"])
-                for i, cells in enumerate(csv.reader(io.StringIO(bytes(content).decode(errors="replace"))), start=1)
-            ]
-            yield pd.DataFrame(out, columns=["file", "row", "cells"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(rows, "file string, row int, cells array<string>")
-
-
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases from a JSON array."""
     return spark.read.schema(EVALUATION).option("multiLine", True).json(path)

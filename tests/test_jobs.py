@@ -108,6 +108,16 @@ def test_recheck_equals_full_check(spark, job, found):
     assert sorted(r.id for r in again.collect()) == sorted(r.id for r in found.collect())
 
 
+def test_change_set(spark, job, found):
+    documents, extracted, log = job
+    assert checks.changes(found, found).count() == 0
+    kept = checks.cross_check(documents.filter("doc_type <> 'weld_log'"), extracted, log, durable)
+    renamed = kept.withColumn("title", F.when(F.col("check") == "welder_process_unused", "other").otherwise(F.col("title")))
+    got = {r.id.split(":")[0]: r.change for r in checks.changes(found, renamed).collect()}
+    assert got["no_log"] == "appeared" and got["continuity_lapse"] == "gone" and got["welder_process_unused"] == "changed"
+    assert set(got) == {"no_log", "welder_process_unused"} | {r.check for r in found.collect() if r.check.startswith("log_") or r.check == "continuity_lapse"}
+
+
 def one(spark, column, text):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("v")).first().v
 
