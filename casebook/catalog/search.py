@@ -23,6 +23,7 @@ inputs(
         SELECT doc_id AS chunk_id, doc_id, 0 AS chunk_index, text AS content, source AS library, CAST(NULL AS STRING) AS thread,
           source LIKE '%0' AS is_reference, lang || '-' || doc_id || '.txt' AS filename, CAST(NULL AS INT) AS page_start,
           CAST(NULL AS INT) AS page_end, lang AS section FROM {documents}""",
+    ready_prose="SELECT p.* FROM {prose} p JOIN {labels} l ON l.doc_id = p.doc_id WHERE l.quality = 1",
     prose_questions="""
         SELECT item_id AS question_id, text, 'src' || (item_id % 20) AS library, CAST(NULL AS STRING) AS thread, item_id % 2 = 0 AS use_reference FROM {benchmark}""",
     # a workbook per brand and type, a passage per part
@@ -126,6 +127,18 @@ def lexical_index_top40(spark, sf):
     return rt.lexical_list(given(spark, sf, "record_questions"), given(spark, sf, "records"), _index(spark, sf, "records"), scoped=False)
 
 
+@query("ready_top40", "WITH " + list_ctes("prose_questions", "ready_prose", True) + " SELECT question_id, chunk_id, score, rank FROM lx")
+def ready_top40(spark, sf):
+    """Scope taken from documents, their status and their libraries: only ready documents are searched."""
+    docs = given(spark, sf, "documents")
+    state = F.when(F.col("quality") == 1, "ready").when(F.col("quality") == 0, "failed").otherwise("queued")
+    listed = docs.select("doc_id", F.col("source").alias("library"), F.lit(None).cast("string").alias("thread"), F.concat_ws("-", "lang", "doc_id").alias("filename"))
+    listed = listed.join(given(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("status", state)
+    libraries = docs.select(F.col("source").alias("library"), F.col("source").endswith("0").alias("is_reference")).distinct()
+    chunks = rt.ready(docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content")), listed, libraries)
+    return rt.lexical_list(given(spark, sf, "prose_questions"), chunks)
+
+
 @query("lexical_scan_top40", "WITH " + list_ctes("prose_questions", "prose", True) + " SELECT question_id, chunk_id, score, rank FROM lx")
 def lexical_scan_top40(spark, sf):
     """Passages read as they are, for a batch of questions that is not worth an index."""

@@ -71,12 +71,17 @@ def preheat(spark, sf):
 
 
 @query("input_limits", """
-    SELECT count(*) AS rows, count(*) FILTER (voltage > 0 AND voltage <= 100) AS voltage, count(*) FILTER (current > 0 AND current <= 2500) AS current,
-      count(*) FILTER (speed > 0 AND speed <= 20000) AS speed FROM {weld_params}""")
+    WITH l(name, low, high, open_low) AS (VALUES ('voltage', 0, 100, true), ('current', 0, 2500, true), ('travel_speed', 0, 20000, true), ('C', 0, 5, false), ('Mn', 0, 30, false),
+        ('Si', 0, 10, false), ('Cr', 0, 30, false), ('Mo', 0, 10, false), ('V', 0, 10, false), ('Ni', 0, 30, false), ('Cu', 0, 10, false), ('B', 0, 1, false),
+        ('cet', 0, 2, true), ('thickness', 0, 500, true), ('hydrogen', 0, 100, true), ('heat_input', 0, 20, true)),
+      v AS (SELECT l.*, (l_partkey % 401 - 20) * high / 300.0E0 AS v FROM {lineitem}, l)
+    SELECT name, count(*) AS rows, count(*) FILTER (v <= high AND (v > low OR (v = low AND NOT open_low))) AS accepted FROM v GROUP BY name""")
 def input_limits(spark, sf):
-    return given(spark, sf, "weld_params").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(calc.in_limits("voltage", F.col("voltage"))).alias("voltage"),
-        F.count_if(calc.in_limits("current", F.col("current"))).alias("current"), F.count_if(calc.in_limits("travel_speed", F.col("speed"))).alias("speed"))
+    """Every limit, by values on both sides of it and on its two edges."""
+    step = F.col("l_partkey") % 401 - 20
+    limits = [F.struct(F.lit(name).alias("name"), calc.in_limits(name, step * high / 300.0).alias("ok")) for name, (_, high, _) in calc.INPUT_LIMITS.items()]
+    judged = given(spark, sf, "lineitem").select(F.inline(F.array(*limits)))
+    return judged.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.count_if("ok").alias("accepted"))
 
 
 @query("calc_questions", """
@@ -186,6 +191,23 @@ def shown_values(spark, sf):
     return rows.select("p_partkey", shown("range_mm", "size").alias("size"), shown("processes", "process").alias("process"))
 
 
+@query("shown_kinds", """
+    SELECT p_partkey, kind, CASE kind WHEN 'text' THEN p_name WHEN 'id' THEN 'W-' || p_size WHEN 'processes' THEN 'GTAW, SMAW' WHEN 'classifications' THEN 'E7018, E6013'
+      WHEN 'positions' THEN '1G, 2G' WHEN 'refs' THEN 'PQR-0' || p_size WHEN 'range_mm' THEN p_size || '–' || (p_size + 5) || ' mm' WHEN 'mm' THEN p_size || ' mm'
+      WHEN 'temperature_c' THEN p_size || ' °C' ELSE '2025-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END AS shown
+    FROM {part}, (SELECT unnest(['text', 'id', 'processes', 'classifications', 'positions', 'refs', 'range_mm', 'mm', 'temperature_c', 'date']) AS kind)""")
+def shown_kinds(spark, sf):
+    """A value of every kind, read from its notation and shown again."""
+    n = F.col("p_size").cast("string")
+    raw = {
+        "text": F.col("p_name"), "id": F.concat(F.lit("W-"), n), "processes": F.lit("GTAW root + SMAW fill"), "classifications": F.lit("E7018 or E6013"),
+        "positions": F.lit("1G and 2G"), "refs": F.concat(F.lit("see PQR-0"), n), "range_mm": F.concat(n, F.lit(" to "), (F.col("p_size") + 5).cast("string"), F.lit(" mm")),
+        "mm": F.concat(n, F.lit(" mm")), "temperature_c": F.concat(n, F.lit(" C")), "date": F.concat(F.lit("2025-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0")),
+    }
+    rows = given(spark, sf, "part").select("p_partkey", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), r.alias("raw")) for k, r in raw.items()])))
+    return rows.select("p_partkey", "kind", ps.display(F.col("kind"), ps.read_value(F.col("kind"), F.col("raw"))).alias("shown"))
+
+
 @query("doc_type_guess", """
     SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'weld_log' WHEN 1 THEN 'pqr' WHEN 2 THEN 'wpq' WHEN 3 THEN 'wps' WHEN 4 THEN 'consumable' WHEN 5 THEN 'wpq' WHEN 6 THEN 'consumable' ELSE 'other' END AS doc_type FROM {part}""")
 def doc_type_guess(spark, sf):
@@ -361,8 +383,10 @@ def _docs(spark, sf):
 
 
 def _gated(spark, sf):
+    """Gated log rows and the wide documents, which are written because several joins read them."""
     docs, fields, log = _job_tables(spark, sf)
-    return ck.gated(log, ck.wide(docs, fields))
+    docs = durable(ck.wide(docs, fields))
+    return ck.gated(log, docs), docs
 
 
 def _named(found):
@@ -456,7 +480,7 @@ for _i, (_name, _id, _weight, _cond, _shown) in enumerate((
     ("check_before_test", "log_before_qualification", "error", "n_fit > 0 AND day < CAST(tested AS DATE)", "here || fit_tests"),
 )):
     _check(_name, _id, _weight, "consistency", f"WITH {_GATE} SELECT job_id, {_shown} AS places FROM t WHERE {_cond}",
-           partial(lambda i, spark, sf: ck.log_rows(_gated(spark, sf), _docs(spark, sf))[i], _i))
+           partial(lambda i, spark, sf: ck.log_rows(*_gated(spark, sf))[i], _i))
 
 _check("check_continuity", "continuity_lapse", "error", "code_rule", f"""
     WITH {_GATE},
@@ -467,7 +491,7 @@ _check("check_continuity", "continuity_lapse", "error", "code_rule", f"""
       l AS (SELECT * FROM q WHERE day > greatest(anchor, coalesce(prev, anchor)) + INTERVAL 6 MONTH
         QUALIFY row_number() OVER (PARTITION BY job_id, doc_id, n, pr ORDER BY day, row) = 1)
     SELECT DISTINCT job_id, [doc_id || ':row ' || row] || shown AS places FROM l""",
-       lambda spark, sf: ck.continuity(_gated(spark, sf), _docs(spark, sf)))
+       lambda spark, sf: ck.continuity(*_gated(spark, sf)))
 
 inputs(
     # a log of every ninth job has no row at all, that of another ninth no header; the headers of the others stand low
@@ -541,7 +565,7 @@ def _coverage(spark, sf):
 @query("log_gate", f"""
     WITH {_GATE} SELECT CASE WHEN n_quals = 0 THEN 'unqualified' WHEN n_fit = 0 THEN 'wrong_process' ELSE 'pass' END AS gate, job_id, count(*) AS rows, count(wps_doc) AS with_wps FROM t GROUP BY ALL""")
 def log_gate(spark, sf):
-    rows = _gated(spark, sf)
+    rows, _ = _gated(spark, sf)
     return rows.groupBy("gate", "job_id").agg(F.count(F.lit(1)).alias("rows"), F.count("proc_doc").alias("with_wps"))
 
 

@@ -16,7 +16,6 @@ CANDIDATES = 12
 KEPT = 5
 MIN_SIMILARITY = 0.28
 FACT_LIMIT = 8
-SNIPPET_CHARS = 2000
 CONTEXT_CEILING = 16384
 
 

@@ -319,12 +319,10 @@ def welder_profiles(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     codes = F.explode(F.array_union(F.array(F.lit("*")), F.coalesce(_value("process", "texts"), none))).alias("process")
     rows = _records(docs, codes, _value("positions", "texts").alias("positions"), _value("test_date", "day").alias("day"))
-    tested = rows.groupBy("job_id", "welder_key", "process").agg(F.min("day").alias("tested"))
-    listed = rows.select("job_id", "welder_key", "process", F.explode("positions").alias("position"))
-    listed = listed.groupBy("job_id", "welder_key", "process").agg(F.collect_set("position").alias("positions"))
-    both = tested.join(listed, ["job_id", "welder_key", "process"], "left")
-    entry = F.struct("process", F.struct(F.coalesce("positions", none).alias("positions"), "tested"))
-    return both.groupBy("job_id", "welder_key").agg(F.map_from_entries(F.collect_list(entry)).alias("profile"))
+    spots = rows.select("job_id", "welder_key", "process", "day", F.explode_outer("positions").alias("position"))
+    known = spots.groupBy("job_id", "welder_key", "process").agg(F.collect_set("position").alias("positions"), F.min("day").alias("tested"))
+    entry = F.struct("process", F.struct("positions", "tested"))
+    return known.groupBy("job_id", "welder_key").agg(F.map_from_entries(F.collect_list(entry)).alias("profile"))
 
 
 def gated(log: DataFrame, docs: DataFrame) -> DataFrame:

@@ -61,19 +61,20 @@ def diversified(candidates: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
-def sources(passages: DataFrame, facts: DataFrame) -> DataFrame:
+def sources(passages: DataFrame, facts: DataFrame, snippet_chars: int | None = None) -> DataFrame:
     """Numbered sources per question, passages before facts.
 
     ``passages``: question_id, position, chunk_id, doc_id, filename, page_start, page_end, section, content,
     rerank_score. ``facts``: question_id, rank, doc_id, filename, page, locator, label, value. Positions and ranks count
-    from 1 without gaps, so facts are numbered on from the last position and no window holds a whole document.
+    from 1 without gaps, so facts are numbered on from the last position and no window holds a whole document. A snippet
+    is the whole passage, or its first ``snippet_chars``.
     """
     text = F.concat_ws(": ", "label", "value")
     p = passages.select(
         "question_id", F.lit("passage").alias("kind"), F.col("position").alias("_rank"), "chunk_id", "doc_id", "filename",
         "page_start", "page_end", F.coalesce("section", F.lit("")).alias("section"),
         sc.location(F.col("page_start"), F.col("page_end"), F.col("section")).alias("location"),
-        F.left("content", F.lit(sc.SNIPPET_CHARS)).alias("snippet"), "content",
+        (F.col("content") if snippet_chars is None else F.left("content", F.lit(snippet_chars))).alias("snippet"), "content",
         F.round("rerank_score", 1).alias("score"), F.lit(False).alias("exact"),
     )
     f = facts.select(
@@ -144,7 +145,7 @@ def prepared_answers(
     index: DataFrame | LexicalIndex | None = None, scorer: Scorer | None = None, floor: float = sc.MIN_SIMILARITY, scoped: bool = True,
 ) -> DataFrame:
     """All that a model is asked with, a row per question (P3): ``exhaustive, confidence, sources, evidence, evidence_found``,
-    the counted spreadsheet ``records, label, labels`` (null without a workbook), ``history`` and ``num_ctx``.
+    the counted spreadsheet ``records, label, labels`` (null without a workbook), ``history``, ``context_tokens`` and ``num_ctx``, which is that within a model's limits.
 
     ``messages``: question_id, turn, role, text - the turns before each question. A count/list question sees the last two user
     turns only, since earlier answers may hold the very mistake that counting corrects, and its context grows with its evidence.
@@ -165,6 +166,7 @@ def prepared_answers(
     for part in (packs, tokens, counted, past):
         rows = rows.join(part, "question_id", "left")
     budget = sc.context_budget(F.col("exhaustive"), F.col("_tokens"), F.col("_said"))
+    rows = rows.withColumn("context_tokens", sc.context_tokens(F.col("_tokens"), F.col("_said")))
     return rows.withColumn("evidence_found", F.col("sources") > 0).withColumn("num_ctx", budget).drop("_tokens", "_said")
 
 

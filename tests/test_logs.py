@@ -37,7 +37,7 @@ def test_splits_equal_one_reader(spark, tmp_path, size):
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
         lines = logs._lines(spark, str(tmp_path))
-        assert lines.select("file", "block").distinct().count() > (20 if size < 1000 else 2)
+        assert lines.select("file", "block").distinct().count() > {40: 20, 300: 10}.get(size, 2)
         rows = logs.read_log(spark, str(tmp_path)).collect()
     finally:
         for k, v in before.items():
