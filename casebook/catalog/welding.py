@@ -383,9 +383,10 @@ def _docs(spark, sf):
 
 
 def _gated(spark, sf):
-    """Gated log rows and the wide documents, which are written because several joins read them."""
+    """Gated log rows and the wide documents, of which only procedures and qualifications and six fields matter here."""
     docs, fields, log = _job_tables(spark, sf)
-    docs = durable(ck.wide(docs, fields))
+    docs, fields = docs.filter("doc_type IN ('wps', 'wpq')"), fields.filter(F.col("key").isin(*ck.LOG_KEYS))
+    docs = durable(ck.wide(docs, fields).select("job_id", "doc_id", "filename", "doc_type", "order", *ck.LOG_KEYS))
     return ck.gated(log, docs), docs
 
 

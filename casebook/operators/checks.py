@@ -61,6 +61,7 @@ EVIDENCE = (
     "struct<document_id:string,filename:string,doc_type:string,label:string,value:string,page:int,locator:string,"
     "snippet:string,method:string>"
 )
+LOG_KEYS = ("number", "process", "positions", "thickness_range", "welder_id", "test_date")  # what the log is checked against
 KEYS = tuple(dict.fromkeys(key for specs in FIELDS.values() for key, *_ in specs))
 _KIND = {(t, key): (label, kind) for t, specs in FIELDS.items() for key, label, kind, *_ in specs}
 
