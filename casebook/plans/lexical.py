@@ -8,15 +8,14 @@ its highest weight beside it. Rows are stored by bucket of the word: a search op
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +25,6 @@ SHARD_ITEMS = 16384
 BLOCK = 256
 BUCKETS = 32
 QUESTIONS = 1024
-WORD = re.compile("[a-z0-9]+")
 EVERYWHERE = "everywhere"
 POSTINGS = "scope string, part int, bucket int, term string, block int, top int, items array<bigint>, weights array<int>"
 
@@ -65,10 +63,18 @@ def _counted(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [Counter(WORD.findall(t)) for t in batch.column("lowered").to_pylist()]
-            ends = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
-            terms = pa.ListArray.from_arrays(ends, pa.array([w for c in counts for w in c], pa.string()))
-            weights = pa.ListArray.from_arrays(ends, pa.array([n for c in counts for n in c.values()], pa.int32()))
+            words = pc.split_pattern_regex(batch.column("lowered"), pattern="[^a-z0-9]+")
+            coded = words.flatten().dictionary_encode()
+            known = coded.dictionary
+            owner = np.repeat(np.arange(len(batch)), words.value_lengths().to_numpy())
+            # a row and a word as one number; what stands before a first or behind a last mark is an empty word
+            pairs, uses = np.unique(owner * max(1, len(known)) + coded.indices.to_numpy(), return_counts=True)
+            owner, code = np.divmod(pairs, max(1, len(known)))
+            real = (pc.binary_length(known).to_numpy() > 0)[code]
+            owner, code, uses = owner[real], code[real], uses[real]
+            ends = pa.array(np.searchsorted(owner, np.arange(len(batch) + 1)), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, known.take(pa.array(code)))
+            weights = pa.ListArray.from_arrays(ends, pa.array(uses, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("scopes", "item")), terms, weights], ["scopes", "item", "terms", "weights"])
 
     return rows.mapInArrow(run, "scopes array<string>, item bigint, terms array<string>, weights array<int>")
