@@ -108,11 +108,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def _held(rows: list[np.ndarray], bits: int, at_once: int = 256) -> np.ndarray:
+    """How many rows hold each bucket, counted ``at_once`` rows at a time."""
+    counts = np.zeros(1 << bits, np.int64)
+    for start in range(0, len(rows), at_once):
+        counts += np.bincount(np.concatenate(rows[start : start + at_once]), minlength=1 << bits)
+    return counts
+
+
 class Rows:
     """Training rows over the ``most`` buckets whose presence differs most between two groups of rows."""
 
     def __init__(self, one: list[np.ndarray], other: list[np.ndarray], bits: int, most: int, least_rows: int = 3, least_z: float = 0.0):
-        counts = [np.bincount(np.concatenate([*g, np.empty(0, np.int32)]), minlength=1 << bits) for g in (one, other)]
+        counts = [_held(g, bits) for g in (one, other)]
         n, m = max(1, len(one)), max(1, len(other))
         share = (counts[0] + counts[1]) / (n + m)
         spread = np.sqrt(share * (1 - share) * (1 / n + 1 / m)) + 1e-9
@@ -123,8 +131,8 @@ class Rows:
         column = np.full(1 << bits, -1, np.int64)
         column[self.chosen] = np.arange(len(self.chosen))
         rows = [*one, *other]
-        columns = [column[r] for r in rows]
-        columns = [c[c >= 0] for c in columns]
+        # a row is cut to its chosen buckets at once: all rows as numbers of 64 bits never stand side by side
+        columns = [c[c >= 0] for c in (column[r] for r in rows)]
         self.row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
         self.column = np.concatenate([*columns, np.empty(0, np.int64)])
         self.n = len(rows)

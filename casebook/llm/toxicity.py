@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casebook.llm.common import give_back
 from casebook.llm.features import Hashing, Linear, Rows, by_hash, descend, lists_of, sample_features, score_udf, sigmoid
 
 HASHING = Hashing(chars=(4, 5), words=(1,), lower=True, bits=20)
@@ -72,6 +73,8 @@ def train(documents: DataFrame, labels: DataFrame, hashing: Hashing = HASHING, p
         if not one or not two:
             return pa.table({"bucket": pa.array([], pa.int32()), "weight": pa.array([], pa.float64())})
         chosen, weights, bias = fit(one, two, prior, hashing.bits)
+        del table, rows, known, one, two
+        give_back()
         return pa.table({"bucket": pa.array(np.append(chosen, -1), pa.int32()), "weight": pa.array(np.append(weights, bias))})
 
     # At most BUCKETS + 1 numbers of each bag come to the driver.
