@@ -14,6 +14,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from casebook.operators.windows import numbered
 MAX_TOKENS = 420
 OVERLAP = 60
 SEGMENT_BLOCKS = 20_000
+CHARS_OUT = 1 << 20  # passages leave a task in frames of some so many characters
 
 CHUNKS = (
     "doc_id bigint, chunk_index int, content string, token_count int, page_start int, page_end int, section string"
@@ -114,9 +116,10 @@ def pack(texts, pages, sections, max_tokens: int = MAX_TOKENS, overlap: int = OV
     return out
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = ["doc_id", "chunk_index", "content", "token_count", "page_start", "page_end", "section"]
-    return pd.DataFrame(rows, columns=names).astype({"page_start": "Int32", "page_end": "Int32"})
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
 
 def chunk_texts(documents: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
@@ -129,16 +132,22 @@ def chunk_texts(documents: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int
     own = F.col("overlap") if "overlap" in documents.columns else F.lit(overlap)
     rows = documents.select("doc_id", line_array(F.col("text")).alias("lines"), own.cast("int").alias("overlap"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, lines, own_overlap in zip(frame["doc_id"], frame["lines"], frame["overlap"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, held = [], 0
+            # one document at a time is Python text; the others stay in the Arrow batch
+            for doc, lines, own_overlap in zip(*batch.columns, strict=True):
+                doc, lines = doc.as_py(), lines.as_py() or []
                 blank = [None] * len(lines)
-                for i, passage in enumerate(pack(lines, blank, blank, max_tokens, int(own_overlap))):
+                for i, passage in enumerate(pack(lines, blank, blank, max_tokens, own_overlap.as_py())):
                     out.append((doc, i, *passage))
-            yield _frame(out)
+                    held += len(passage[0])
+                    if held > CHARS_OUT:
+                        yield _batch(out)
+                        out, held = [], 0
+            yield _batch(out)
 
-    return rows.mapInPandas(run, CHUNKS)
+    return rows.mapInArrow(run, CHUNKS)
 
 
 def chunk_blocks(
@@ -157,36 +166,29 @@ def chunk_blocks(
     sizes = dense.groupBy("doc_id").agg(F.max("n").alias("blocks"))
     spread = spread.join(sizes, "doc_id")
 
-    def load(frame: pd.DataFrame):
+    def load(seg: int, rows: list[tuple]):
         """Parts of a segment with their (block, part) places, and where the segment itself ends."""
-        frame = frame.sort_values("n")
-        limit = (int(frame["seg"].iloc[0]) + 1) * segment
+        limit = (seg + 1) * segment
         parts, places, counts = [], [], []
-        for n, text, page, section in zip(frame["n"], frame["text"], frame["page"], frame["section"]):
+        for n, text, page, section, *_ in rows:
             for i, (part, tokens) in enumerate(split_text(" ".join(text.split()), max_tokens, overlap)):
                 parts.append((part, page, section))
-                places.append((int(n), i))
+                places.append((n, i))
                 counts.append(tokens)
         inside = bisect_right(places, (limit, 1 << 60))
         return parts, places, _sums(counts), inside, len(parts)
 
-    def exits(frame: pd.DataFrame) -> pd.DataFrame:
-        _, places, sums, inside, total = load(frame)
-        first = (int(frame["seg"].iloc[0])) * segment
+    def exits(doc: int, seg: int, rows: list[tuple]) -> Iterator[tuple]:
+        _, places, sums, inside, total = load(seg, rows)
+        first = seg * segment
         leave: dict[int, tuple[int, int]] = {}
         for start in range(inside - 1, -1, -1):
             end = _run_end(sums, start, max_tokens)
             after = _next_start(sums, start, end, max_tokens, overlap) if end < total else total
             leave[start] = (after, 1) if after >= inside else (leave[after][0], leave[after][1] + 1)
-        rows = [
-            (*places[s], *(places[a] if a < total else (0, 0)), passages)
-            for s, (a, passages) in leave.items()
-            if places[s][0] <= first + halo
-        ]
-        out = pd.DataFrame(rows, columns=["in_block", "in_part", "out_block", "out_part", "passages"])
-        out.insert(0, "seg", int(frame["seg"].iloc[0]))
-        out.insert(0, "doc_id", frame["doc_id"].iloc[0])
-        return out
+        for s, (a, passages) in leave.items():
+            if places[s][0] <= first + halo:
+                yield (doc, seg, *places[s], *(places[a] if a < total else (0, 0)), passages)
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
         table = {
@@ -203,10 +205,13 @@ def chunk_blocks(
         return pd.DataFrame(rows, columns=["doc_id", "seg", "entry_block", "entry_part", "first_index"])
 
     place = "doc_id bigint, seg bigint, "
+    passed = ["doc_id", "seg", "in_block", "in_part", "out_block", "out_part", "passages"]
+    halves = ["n", "text", "page", "section"]
+    long = spread.filter(F.col("blocks") > segment).select("doc_id", "seg", *halves)
     entries = (
-        spread.filter(F.col("blocks") > segment)
-        .groupBy("doc_id", "seg")
-        .applyInPandas(exits, place + "in_block bigint, in_part bigint, out_block bigint, out_part bigint, passages bigint")
+        _segments(long)
+        .mapInArrow(_by_segment(exits, lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], passed), lambda row: 64),
+                    place + "in_block bigint, in_part bigint, out_block bigint, out_part bigint, passages bigint")
         .groupBy("doc_id")
         .applyInPandas(chain, place + "entry_block bigint, entry_part bigint, first_index bigint")
     )
@@ -215,21 +220,62 @@ def chunk_blocks(
         "entry_block", F.when(short, F.lit(1)).otherwise(F.col("entry_block"))
     ).fillna({"entry_part": 0, "first_index": 0}).filter("entry_block IS NOT NULL")
 
-    def emit(frame: pd.DataFrame) -> pd.DataFrame:
-        parts, places, sums, inside, total = load(frame)
-        doc, index = frame["doc_id"].iloc[0], int(frame["first_index"].iloc[0])
-        start = places.index((int(frame["entry_block"].iloc[0]), int(frame["entry_part"].iloc[0])))
-        out = []
+    def emit(doc: int, seg: int, rows: list[tuple]) -> Iterator[tuple]:
+        parts, places, sums, inside, total = load(seg, rows)
+        *_, entry_block, entry_part, index = rows[0]
+        start = places.index((entry_block, entry_part))
         while start < inside:
             end = _run_end(sums, start, max_tokens)
-            out.append((doc, index, *_passage(parts, start, end, sums)))
+            yield (doc, index, *_passage(parts, start, end, sums))
             index += 1
             if end >= total:
                 break
             start = _next_start(sums, start, end, max_tokens, overlap)
-        return _frame(out)
 
-    return entered.groupBy("doc_id", "seg").applyInPandas(emit, CHUNKS)
+    rows = _segments(entered.select("doc_id", "seg", *halves, "entry_block", "entry_part", "first_index"))
+    return rows.mapInArrow(_by_segment(emit, _batch, lambda row: len(row[2])), CHUNKS)
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    """The rows of a segment side by side and in order; a task reads its segments one after the other."""
+    return rows.repartition("doc_id", "seg").sortWithinPartitions("doc_id", "seg", "n")
+
+
+def _by_segment(step, packed, size):
+    """``step(doc, seg, rows)`` for each run of rows of one segment; what it yields leaves in batches of some ``CHARS_OUT``.
+
+    Segments are many and may be small, so they are told apart within the batches instead of being handed over one by one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, place, rows = [], 0, None, []
+
+        def finished():
+            return step(*place, rows) if rows else ()
+
+        for batch in batches:
+            # a slice of the batch at a time is Python text
+            for start in range(0, len(batch), 1024):
+                for doc, seg, *row in zip(*(c.to_pylist() for c in batch.slice(start, 1024).columns), strict=True):
+                    if (doc, seg) != place:
+                        for found in finished():
+                            out.append(found)
+                            held += size(found)
+                            if held > CHARS_OUT:
+                                yield packed(out)
+                                out, held = [], 0
+                        place, rows = (doc, seg), []
+                    rows.append(tuple(row))
+        for found in finished():
+            out.append(found)
+            held += size(found)
+            if held > CHARS_OUT:
+                yield packed(out)
+                out, held = [], 0
+        if out:
+            yield packed(out)
+
+    return run
 
 
 def chunk_id(doc: str = "doc_id", index: str = "chunk_index"):

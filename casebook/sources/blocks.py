@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.text import SPACE, looks_numeric
 
 BLOCKS = "doc_id bigint, ord bigint, text string, page int, section string"
+CHARS_OUT = 1 << 20  # blocks leave a task whenever so many characters of pages have been read
 LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
 
 
@@ -95,18 +96,30 @@ class _Blocks(HTMLParser):
 def html(pages: DataFrame, doc: str = "page_id", source: str = "html") -> DataFrame:
     """Blocks of headings, paragraphs, list items and cells in document order."""
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, markup in zip(frame[doc], frame[source].fillna("")):
+    names = ["doc_id", "ord", "text", "page", "section"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+
+    def framed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, held = [], 0
+            # one page at a time is text of its own; the others stay in the Arrow batch
+            for key, markup in zip(batch.column(0), batch.column(1), strict=True):
+                key, markup = key.as_py(), markup.as_py() or ""
                 parser = _Blocks()
                 parser.feed(markup)
                 parser.close()
                 blocks = [(tag, " ".join(texts)) for tag, texts in parser.found if texts]
                 out += [(key, i, text, None, "Heading" if tag[0] == "h" else "") for i, (tag, text) in enumerate(blocks)]
-            yield pd.DataFrame(out, columns=["doc_id", "ord", "text", "page", "section"]).astype({"page": "Int32"})
+                held += len(markup)
+                if held > CHARS_OUT:
+                    yield framed(out)
+                    out, held = [], 0
+            yield framed(out)
 
-    return pages.select(F.col(doc).cast("bigint").alias(doc), source).mapInPandas(parse, BLOCKS)
+    return pages.select(F.col(doc).cast("bigint").alias(doc), source).mapInArrow(parse, BLOCKS)
 
 
 def sheet_records(cells: DataFrame, header_rows: int | None = None) -> DataFrame:
