@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH = 24
+ROWS_OUT = 40 * BATCH
 DIMENSIONS = 768
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -59,20 +60,23 @@ def with_vectors(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            vectors: list[list[float] | None] = []
-            texts = frame[text].fillna("").tolist()
-            for start in range(0, len(texts), BATCH):
-                batch = texts[start : start + BATCH]
-                try:
-                    reply = embed(batch)
-                    if len(reply) != len(batch) or any(len(v) != dimensions for v in reply):
-                        raise ValueError(f"embedder must return {len(batch)} vectors of {dimensions} numbers")
-                except Exception:
-                    if not optional:
-                        raise
-                    reply = [None] * len(batch)
-                vectors.extend(reply)
-            yield frame.assign(vector=vectors)
+            # a few hundred rows leave at a time, so vectors never pile up, however many rows an Arrow batch holds
+            for first in range(0, len(frame), ROWS_OUT):
+                part = frame.iloc[first : first + ROWS_OUT]
+                vectors: list[list[float] | None] = []
+                texts = part[text].fillna("").tolist()
+                for start in range(0, len(texts), BATCH):
+                    batch = texts[start : start + BATCH]
+                    try:
+                        reply = embed(batch)
+                        if len(reply) != len(batch) or any(len(v) != dimensions for v in reply):
+                            raise ValueError(f"embedder must return {len(batch)} vectors of {dimensions} numbers")
+                    except Exception:
+                        if not optional:
+                            raise
+                        reply = [None] * len(batch)
+                    vectors.extend(reply)
+                yield part.assign(vector=vectors)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", vector array<float>"
     return df.mapInPandas(run, schema)
