@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from casebook.operators.windows import top_k
 
-SHARD_ITEMS = 16384
+SHARD_ITEMS = 4096
+ROWS = 512
 BLOCK = 256
 BUCKETS = 32
 QUESTIONS = 1024
@@ -62,7 +63,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     """``scope, part, item, terms, weights``: the words of each passage with their number of uses, counted row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(start, ROWS) for b in batches for start in range(0, len(b), ROWS)):
             words = pc.split_pattern_regex(batch.column("lowered"), pattern="[^a-z0-9]+")
             coded = words.flatten().dictionary_encode()
             known = coded.dictionary
