@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from casebook.operators.windows import top_k
 
-QUESTION_BLOCK = 1024
-ITEM_BLOCK = 8192
+QUESTION_BLOCK = 16384
+ITEM_BLOCK = 16384
+# A block of questions is scored so many at a time; up to LEAST_BLOCKS blocks are no larger than that, so that few questions keep all cores busy.
+QUESTIONS_AT_ONCE = 1024
+LEAST_BLOCKS = 8
 SCORES_PER_SLICE = 2_000_000
 # Rows of results that may be sent to every task.
 MAX_BROADCAST_RESULTS = 200_000
@@ -49,7 +52,8 @@ def _grid(questions: DataFrame, items: DataFrame, question: str, item: str, scop
     q = questions.select("*", _scopes("use_reference") if scoped else everywhere(question))
     i = items.select("*", _scopes("is_reference") if scoped else everywhere(item))
     n = F.count(F.lit(1))
-    sizes = q.groupBy("_scope").agg(F.ceil(n / QUESTION_BLOCK).alias("_across")).join(
+    across = F.greatest(F.ceil(n / QUESTION_BLOCK), F.least(F.ceil(n / QUESTIONS_AT_ONCE), F.lit(LEAST_BLOCKS).cast("bigint")))
+    sizes = q.groupBy("_scope").agg(across.alias("_across")).join(
         i.groupBy("_scope").agg(F.ceil(n / ITEM_BLOCK).alias("_down")), "_scope"
     )
     sizes = sizes if scoped else F.broadcast(sizes)
@@ -85,18 +89,26 @@ def _grid_top(
     left, right = _grid(questions, items, question, item, scoped)
     left, right = left.drop(*scope_q), right.drop(*(c for c in scope_i if c not in order))
 
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+    def best_of(asked: pa.Table, held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        payload, step = prepare(asked), max(1, SCORES_PER_SLICE // len(asked))
+        for start in range(0, len(held), step):
+            found = score(payload, held.slice(start, step))
+            n = found.shape[1]
+            cut = np.partition(found, n - k, axis=1)[:, n - k] if n > k else np.full(len(asked), -np.inf)
+            rows, cols = np.nonzero((found >= cut[:, None]) & (found > -np.inf))
+            kept = _best(*[np.concatenate(p) for p in zip(kept, (rows, cols + start, found[rows, cols]), strict=True)], k)
+        return kept
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(asked) and len(held):
             # Items in the order that decides ties: a place then stands for the tie-break.
             held = held.take(pc.sort_indices(held, [(c, "ascending") for c in order], null_placement="at_start"))
-            payload, step = prepare(asked), max(1, SCORES_PER_SLICE // len(asked))
-            for start in range(0, len(held), step):
-                found = score(payload, held.slice(start, step))
-                n = found.shape[1]
-                cut = np.partition(found, n - k, axis=1)[:, n - k] if n > k else np.full(len(asked), -np.inf)
-                rows, cols = np.nonzero((found >= cut[:, None]) & (found > -np.inf))
-                kept = _best(*[np.concatenate(p) for p in zip(kept, (rows, cols + start, found[rows, cols]), strict=True)], k)
+            for start in range(0, len(asked), QUESTIONS_AT_ONCE):
+                rows, places, scores = best_of(asked.slice(start, QUESTIONS_AT_ONCE), held)
+                parts.append((rows + start, places, scores))
+        kept = [np.concatenate(p) for p in zip(*parts, strict=True)]
         columns = [asked.column(question).take(pa.array(kept[0]))]
         columns += [held.column(c).take(pa.array(kept[1])) for c in names[1:-1]]
         return pa.table([*columns, pa.array(kept[2], pa.float64())], names)
