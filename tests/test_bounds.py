@@ -77,3 +77,21 @@ def test_training_rows_never_stand_side_by_side():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6  # the rows as 64-bit numbers are 128 MB
+
+
+def test_only_header_like_rows_of_a_log_are_mapped(spark):
+    from casebook.operators import fields
+
+    rows = spark.createDataFrame([(1, 1, ["Welder", "WPS no"]), (1, 2, ["W-1", "WPS-1"]), (1, 3, ["the welder", None])], "doc_id int, row int, cells array<string>")
+    assert [r.row for r in rows.filter(fields._may_be_header(F.col("cells"))).collect()] == [1]
+    log, errors = fields.weld_log(rows)
+    assert [(r.row, r.welder, r.wps) for r in log.orderBy("row").collect()][:1] == [(2, "W-1", "WPS-1")] and errors.count() == 0
+
+
+def test_what_a_report_does_not_show_does_not_travel(spark):
+    from casebook.operators import checks
+
+    found = spark.createDataFrame([(1, "a", "long", 1), (1, "a", "longer", 2)], "job_id int, id string, evidence string, seq bigint")
+    assert [tuple(r) for r in checks.unique(found).collect()] == [(1, "a", "longer")]
+    plan = checks.unique(found).select("job_id", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "evidence" not in plan.split("LogicalRDD")[0]
