@@ -237,8 +237,12 @@ def chunk_blocks(
 
 
 def _segments(rows: DataFrame) -> DataFrame:
-    """The rows of a segment side by side and in order; a task reads its segments one after the other."""
-    return rows.repartition("doc_id", "seg").sortWithinPartitions("doc_id", "seg", "n")
+    """The rows of a segment side by side and in order; a task reads its segments one after the other.
+
+    They are dealt by a hash of their own: a deal by the columns themselves Spark leaves out behind a join on them, whose
+    tasks it may then split.
+    """
+    return rows.repartition(F.xxhash64("doc_id", "seg")).sortWithinPartitions("doc_id", "seg", "n")
 
 
 def _by_segment(step, packed, size):
