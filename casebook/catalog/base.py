@@ -26,7 +26,7 @@ _PLACE = re.compile(r"\{([a-z]\w+)\}")
 
 
 # Tables whose rows take real work: long texts, and the rows that texts are built from.
-_HEAVY = ("documents", "pages", "lineitem")
+_HEAVY = ("documents", "pages", "lineitem", "part")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from casebook.operators.matching import nearest
 from casebook.plans import evidence as ev
 from casebook.plans import lexical
 from casebook.plans import retrieval as rt
-from casebook.session import work_folder
+from casebook.session import durable, work_folder
 
 inputs(
     # whole documents as passages, benchmark passages as questions; a source is a library
@@ -93,7 +93,17 @@ def _asked(spark, sf, name):
 
 
 def _vectors(chunks):
-    return with_vectors(chunks, "content").drop("content")
+    """Vectors of passages, written: counts, blocks and every search of a query read them, none asks the embedder again."""
+    return durable(with_vectors(chunks, "content", packed=True).drop("content"))
+
+
+def _spread(rows):
+    """Rows in several parts for each core: Spark sizes tasks by bytes, so short texts of joined small tables would all be read by one."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _record_vectors(spark, sf):
+    return _vectors(_spread(given(spark, sf, "records").select("chunk_id", "content")))
 
 
 _WRITTEN: dict = {}
@@ -104,7 +114,9 @@ def _index(spark, sf, name):
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _WRITTEN:
         folder = f"{work_folder(spark).rstrip('/')}/lexical-{uuid.uuid4().hex}"
-        _WRITTEN[key] = lexical.write_index(given(spark, sf, name), folder, scoped=name == "prose")
+        rows = given(spark, sf, name)
+        rows = rows if name == "prose" else _spread(rows.select("chunk_id", "content"))
+        _WRITTEN[key] = lexical.write_index(rows, folder, scoped=name == "prose")
     return _WRITTEN[key]
 
 
@@ -194,7 +206,7 @@ def retrieval_scores(spark, sf):
     SELECT question_id, doc_id, score AS document_score FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) = 1""")
 def best_document(spark, sf):
     chunks = given(spark, sf, "records")
-    ranked = rt.retrieve(_asked(spark, sf, "record_questions"), chunks, _vectors(chunks.select("chunk_id", "content")), _index(spark, sf, "records"), k=None, scoped=False)
+    ranked = rt.retrieve(_asked(spark, sf, "record_questions"), chunks, _record_vectors(spark, sf), _index(spark, sf, "records"), k=None, scoped=False)
     return rt.best_document(ranked).select("question_id", "doc_id", "document_score")
 
 
@@ -219,7 +231,7 @@ inputs(
 def _chosen(spark, sf):
     chunks = given(spark, sf, "records")
     return rt.chosen_document(_asked(spark, sf, "listing_questions"), chunks, given(spark, sf, "record_documents"),
-                              _vectors(chunks.select("chunk_id", "content")), _index(spark, sf, "records"), scoped=False), chunks
+                              _record_vectors(spark, sf), _index(spark, sf, "records"), scoped=False), chunks
 
 
 @query("whole_document", "WITH " + _WHOLE + """
@@ -270,7 +282,7 @@ def figure_match(spark, sf):
 def figure_or_passages(spark, sf):
     chunks = given(spark, sf, "records")
     rows = ev.figure_or_passages(_asked(spark, sf, "figure_requests"), given(spark, sf, "part_figures"), chunks,
-                                 vectors=_vectors(chunks.select("chunk_id", "content")), scoped=False)
+                                 vectors=_record_vectors(spark, sf), scoped=False)
     return rows.select("question_id", "rank", F.coalesce("figure_id", F.lit(-1)).alias("figure_id"), F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"))
 
 
@@ -369,7 +381,7 @@ inputs(
 def _prepared(spark, sf, questions):
     chunks = given(spark, sf, "records")
     return ev.prepare(_asked(spark, sf, questions), chunks, given(spark, sf, "record_documents"), given(spark, sf, "record_facts"),
-                      _vectors(chunks.select("chunk_id", "content")), scoped=False)
+                      _record_vectors(spark, sf), scoped=False)
 
 
 @query("citations", _EVIDENCE + """,
@@ -439,7 +451,7 @@ def prepared_answers(spark, sf):
     """The whole answer plan for count/list and ordinary questions together."""
     chunks = given(spark, sf, "records")
     rows = ev.prepared_answers(_asked(spark, sf, "record_questions"), given(spark, sf, "record_turns"), chunks, given(spark, sf, "record_documents"),
-                               given(spark, sf, "record_facts"), _vectors(chunks.select("chunk_id", "content")), scoped=False)
+                               given(spark, sf, "record_facts"), _record_vectors(spark, sf), scoped=False)
     said = F.array_join(F.transform("history", lambda m: F.concat_ws(" ", m["role"], m["text"])), "\n")
     return rows.select("question_id", "exhaustive", "confidence", "sources", F.md5("evidence").alias("evidence_md5"), "evidence_found", "records",
                        F.coalesce(F.md5(said), F.lit("")).alias("history_md5"), "num_ctx")

@@ -6,8 +6,9 @@ import hashlib
 import math
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,11 @@ BATCH = 24
 ROWS_OUT = 40 * BATCH
 DIMENSIONS = 768
 
-Embedder = Callable[[list[str]], list[list[float]]]
+Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
 def hashed_words(dimensions: int = DIMENSIONS) -> Embedder:
-    """Hashed bag of words, unit length: texts that share words are similar."""
+    """Hashed bag of words, unit length: texts that share words are similar. Vectors are arrays, which leave a task without a number boxed."""
 
     buckets: dict[str, int] = {}
 
@@ -39,7 +40,7 @@ def hashed_words(dimensions: int = DIMENSIONS) -> Embedder:
                 bucket = bucket_of(word)
                 counts[bucket] = counts.get(bucket, 0) + 1
             norm = math.sqrt(sum(v * v for v in counts.values())) or 1.0
-            vector = [0.0] * dimensions
+            vector = np.zeros(dimensions, np.float32)
             for bucket, count in counts.items():
                 vector[bucket] = count / norm
             vectors.append(vector)
@@ -49,12 +50,13 @@ def hashed_words(dimensions: int = DIMENSIONS) -> Embedder:
 
 
 def with_vectors(
-    df: DataFrame, text: str, embedder: Embedder | None = None, dimensions: int = DIMENSIONS, optional: bool = False
+    df: DataFrame, text: str, embedder: Embedder | None = None, dimensions: int = DIMENSIONS, optional: bool = False, packed: bool = False
 ) -> DataFrame:
     """Add ``vector`` by calling the embedder on batches of 24 texts inside the tasks.
 
     A reply with the wrong count or length fails the task; with ``optional`` (questions) it leaves the
-    vector null, and the search falls back to words.
+    vector null, and the search falls back to words. ``packed`` vectors are the bytes of their 32-bit numbers, which are
+    written, moved and read as one value; ``matching.nearest`` takes either.
     """
     embed = embedder or hashed_words(dimensions)
 
@@ -63,7 +65,7 @@ def with_vectors(
             # a few hundred rows leave at a time, so vectors never pile up, however many rows an Arrow batch holds
             for first in range(0, len(frame), ROWS_OUT):
                 part = frame.iloc[first : first + ROWS_OUT]
-                vectors: list[list[float] | None] = []
+                vectors: list[Sequence[float] | bytes | None] = []
                 texts = part[text].fillna("").tolist()
                 for start in range(0, len(texts), BATCH):
                     batch = texts[start : start + BATCH]
@@ -75,10 +77,10 @@ def with_vectors(
                         if not optional:
                             raise
                         reply = [None] * len(batch)
-                    vectors.extend(reply)
+                    vectors.extend([None if v is None else np.asarray(v, "<f4").tobytes() for v in reply] if packed else reply)
                 yield part.assign(vector=vectors)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", vector array<float>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + (", vector binary" if packed else ", vector array<float>")
     return df.mapInPandas(run, schema)
 
 

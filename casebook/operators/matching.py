@@ -206,7 +206,10 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        flat = np.frombuffer(b"".join(column.to_pylist()), "<f4").astype(np.float64)
+    else:
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -217,15 +220,25 @@ def nearest(
 
     ``questions``: question, ``vector`` and, when scoped, ``library``, ``thread``, ``use_reference``.
     ``items``: item (bigint), ``vector`` and, when scoped, ``library``, ``thread``, ``is_reference``.
-    Similarity is rounded to nine decimals so equal vectors tie exactly; ties go to the smaller item id.
+    Similarity is rounded to nine decimals so equal vectors tie exactly; ties go to the smaller item id. A vector is an array
+    of numbers or the bytes of its 32-bit numbers.
     """
 
-    def score(matrix: np.ndarray, part: pa.Table) -> np.ndarray:
-        return np.round(matrix @ _unit(_matrix(part.column("vector"))).T, 9)
+    def prepare(table: pa.Table) -> tuple[np.ndarray, np.ndarray | slice]:
+        # dimensions that no question of the block uses add nothing to a product
+        matrix = _unit(_matrix(table.column("vector")))
+        used = matrix.any(axis=0)
+        used = slice(None) if 2 * used.sum() > len(used) else np.flatnonzero(used)
+        return matrix[:, used], used
+
+    def score(payload, part: pa.Table) -> np.ndarray:
+        matrix, used = payload
+        found = matrix @ _unit(_matrix(part.column("vector")))[:, used].T
+        return np.round(found, 9, out=found)
 
     scope_q, scope_i = (["library", "thread", "use_reference"], ["library", "thread", "is_reference"]) if scoped else ([], [])
     asked = questions.filter(F.col("vector").isNotNull()).select(question, "vector", *scope_q)
     held = items.filter(F.col("vector").isNotNull()).select(F.col(item).cast("bigint").alias(item), "vector", *scope_i)
     return _grid_top(
-        asked, held, k, question, item, scoped, [item], lambda table: _unit(_matrix(table.column("vector"))), score, "similarity"
+        asked, held, k, question, item, scoped, [item], prepare, score, "similarity"
     )
