@@ -26,3 +26,14 @@ def test_unattached_pairs_equal_the_plain_loop(spark, monkeypatch, capsys, block
     plan = capsys.readouterr().out
     # the pairs' explode stands above every exchange of the plan
     assert plan.index("Generate explode(CASE") < plan.index("Exchange")
+
+
+def test_links_to_documents_of_other_libraries_are_left_out_before_lists(spark, capsys):
+    jobs = spark.createDataFrame([(1, 7), (2, 8)], "job_id bigint, library bigint")
+    held = spark.createDataFrame([(10, 7), (11, 8)], "doc_id bigint, library bigint")
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "job_id bigint, doc_id bigint")
+    got = scope.unattached(held, links, jobs)
+    assert [tuple(r) for r in got.collect()] == [(2, 11)]
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "LeftSemi" in plan and plan.index("collect_set") < plan.index("LeftSemi")
